@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 # Word bytes of the pattern [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ after A-Z are lower-cased:
 # digits, a-z and every byte of a non-ASCII character. All others become one blank.
@@ -70,5 +71,10 @@ def id_fold(doc_ids: np.ndarray, folds: int) -> np.ndarray:
     return np.fromiter((zlib.crc32(b"%d" % i) % folds for i in doc_ids.tolist()), np.int64, len(doc_ids))
 
 
+def extended(df: DataFrame, columns: list[str], ddl: str) -> StructType:
+    """Schema of some columns of df followed by new ones."""
+    return StructType([*df.select(*columns).schema.fields, *StructType.fromDDL(ddl).fields])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

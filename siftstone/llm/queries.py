@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import histogram_sort, rans, sp_agenda
+from . import cnn, gam, histogram_sort, license_join, rans, sp_agenda
 from .common import table
 
 
@@ -20,6 +20,26 @@ def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.read(spark, path, coder).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_join.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = gam.train(docs, table(spark, sf_dir, "labels"), "quality", folds=5, held_out=0)
+    return gam.score(docs, model, 0.3, keep=["doc_id"]).select(
+        "doc_id", (gam.fold_of(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted"
+    )
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = cnn.train(docs, table(spark, sf_dir, "labels"), "toxic", folds=3, held_out=1)
+    return cnn.score(docs, model, 0.7, keep=["doc_id"]).select(
+        "doc_id", (gam.fold_of(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted"
+    )
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp_agenda.encode_decode(
         table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), digests_only=True
@@ -41,6 +61,9 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_ids": op1_token_ids,
+    "op3_license_scan": op3_license_scan,
+    "op5_quality": op5_quality,
+    "op9_toxicity": op9_toxicity,
     "op7_sentencepiece": op7_sentencepiece,
     "op10_sharding": op10_sharding,
 }

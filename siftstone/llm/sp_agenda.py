@@ -27,7 +27,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_texts
+from .common import as_texts, extended
 
 MARK = "▁"
 NONE = np.int64(1 << 60)
@@ -249,9 +249,11 @@ def encode_decode(
 ) -> DataFrame:
     """Per row: the kept columns, ids (u32 bytes with begin and end), n_tokens, decoded, and their digests."""
     keep = [id_col] if keep is None else keep
-    schema = docs.select(*keep).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
-    if not digests_only:
-        schema = schema.add("ids", "binary").add("decoded", "string")
+    schema = extended(
+        docs,
+        keep,
+        "n_tokens long, ids_sha256 string, decoded_sha256 string" + ("" if digests_only else ", ids binary, decoded string"),
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = Encoder(model_file)
@@ -278,4 +280,4 @@ def encode_decode(
                 yield pa.RecordBatch.from_arrays(columns, schema.names)
                 start = stop
 
-    return docs.select(F.col(text_col).alias("__text"), *keep).mapInArrow(run, schema)
+    return docs.select(F.col(text_col).alias("__text"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(keep))).mapInArrow(run, schema)
