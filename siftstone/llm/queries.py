@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cnn, gam, histogram_sort, license_join, rans, sp_agenda
+from . import cnn, gam, histogram_sort, license_join, positional_index, rans, sp_agenda
 from .common import table
 
 
@@ -24,6 +24,13 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_join.scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = positional_index.contamination(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10
+    )
+    return found.drop("h", "items")
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = gam.train(docs, table(spark, sf_dir, "labels"), "quality", folds=5, held_out=0)
@@ -62,6 +69,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_ids": op1_token_ids,
     "op3_license_scan": op3_license_scan,
+    "op4_decontamination": op4_decontamination,
     "op5_quality": op5_quality,
     "op9_toxicity": op9_toxicity,
     "op7_sentencepiece": op7_sentencepiece,
