@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cnn, gam, histogram_sort, license_join, positional_index, rans, sp_agenda
+from . import bayes_lsh, cnn, gam, histogram_sort, license_join, positional_index, rans, sp_agenda
 from .common import table
 
 
@@ -39,6 +39,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bayes_lsh.similar_documents(table(spark, sf_dir, "documents"), threshold=0.8, shingle=5)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = cnn.train(docs, table(spark, sf_dir, "labels"), "toxic", folds=3, held_out=1)
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_license_scan": op3_license_scan,
     "op4_decontamination": op4_decontamination,
     "op5_quality": op5_quality,
+    "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_toxicity": op9_toxicity,
     "op7_sentencepiece": op7_sentencepiece,
     "op10_sharding": op10_sharding,
