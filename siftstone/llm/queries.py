@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bayes_lsh, cnn, gam, histogram_sort, license_join, positional_index, rans, sp_agenda
+from . import (
+    bayes_lsh,
+    cnn,
+    gam,
+    histogram_sort,
+    kmeans_tree,
+    license_join,
+    positional_index,
+    rans,
+    sp_agenda,
+    template_html,
+)
 from .common import table
 
 
@@ -20,6 +31,14 @@ def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.read(spark, path, coder).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    index = kmeans_tree.build(vectors, k=20)
+    if index is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return kmeans_tree.search(index, vectors.filter(F.col("vec_id") % 20 == 0), k=20)
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_join.scan(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -51,6 +70,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return template_html.extract(table(spark, sf_dir, "pages")).drop("n_template")
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp_agenda.encode_decode(
         table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), digests_only=True
@@ -72,11 +95,13 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_ids": op1_token_ids,
+    "op2_nearest": op2_nearest,
     "op3_license_scan": op3_license_scan,
     "op4_decontamination": op4_decontamination,
     "op5_quality": op5_quality,
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_toxicity": op9_toxicity,
+    "op6_html_text": op6_html_text,
     "op7_sentencepiece": op7_sentencepiece,
     "op10_sharding": op10_sharding,
 }
