@@ -1 +1 @@
-
+"""Query model and query-string parser."""

@@ -1,0 +1,14 @@
+"""The folder that driver and executors share."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import SparkSession
+
+
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder under spark.checkpoint.dir; a temporary one only where the session names none."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="shared-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
