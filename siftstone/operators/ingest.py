@@ -28,8 +28,8 @@ def upsert_actions(current: DataFrame, changes: DataFrame, key: str = "id", crc:
 
 
 def upsert(current: DataFrame, changes: DataFrame, key: str = "id", crc: str = "crc", version: str = "version") -> DataFrame:
-    """The collection after the last change of each key: an unchanged crc keeps the text columns' rows,
-    a negative status only disables."""
+    """The collection after the last change of each key: an unchanged crc keeps the text columns,
+    a negative status only disables, and a change older than the row is ignored (batches may come late)."""
     new = latest(changes, key, version)
     columns = current.columns
     headers = {"status", "rank", "category", "slevel", version}
@@ -40,7 +40,8 @@ def upsert(current: DataFrame, changes: DataFrame, key: str = "id", crc: str = "
         o, n = F.col(f"o.{c}"), F.col(f"n.{c}")
         if c == key:
             return F.coalesce(n, o)
-        missing_new, missing_old = F.col(f"n.{key}").isNull(), F.col(f"o.{key}").isNull()
+        stale = F.coalesce(F.col(f"n.{version}") < F.col(f"o.{version}"), F.lit(False))
+        missing_new, missing_old = F.col(f"n.{key}").isNull() | stale, F.col(f"o.{key}").isNull()
         disabled = F.col("n.status") < 0
         value = F.when(missing_new, o).when(missing_old, n).when(disabled, n if c in ("status", version) else o)
         return value.when(F.coalesce(same, F.lit(False)), n if c in headers else o).otherwise(n)

@@ -79,7 +79,7 @@ class SearchQuery:
 
     def cache_key(self) -> str:
         """Equal for queries that differ only in paging and display."""
-        return hashlib.md5(repr(replace(self, offset=0, count=0, display=(), query_id="")).encode()).hexdigest()
+        return hashlib.md5(repr(replace(self, offset=0, count=0, display=(), query_id="", unused={})).encode()).hexdigest()
 
 
 def bits(text: str) -> int:
