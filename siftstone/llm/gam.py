@@ -83,26 +83,34 @@ def _tree(g: np.ndarray, h: np.ndarray, depth: int, smooth: float, least: float)
     return value
 
 
-def _tree2(g: np.ndarray, h: np.ndarray, depth: int, smooth: float, least: float) -> np.ndarray:
-    """As _tree over a table of two features: each cut is across one of them."""
+def _cut_gain(g: np.ndarray, h: np.ndarray, smooth: float, least: float) -> float:
+    """Largest gain of one cut through a row of sums."""
+    gl, hl = np.cumsum(g)[:-1], np.cumsum(h)[:-1]
+    gr, hr = g.sum() - gl, h.sum() - hl
+    gain = gl**2 / (hl + smooth) + gr**2 / (hr + smooth) - g.sum() ** 2 / (h.sum() + smooth)
+    return max(0.0, float(np.max(gain, initial=0.0, where=(hl >= least) & (hr >= least))))
+
+
+def _tree2(g: np.ndarray, h: np.ndarray, smooth: float, least: float) -> np.ndarray:
+    """Leaf values of a two-level tree over a table of two features: one cut across one of them, then one across the
+    other on each side. The first cut is judged with its best second cuts, as a pure interaction gains nothing at first."""
     value = np.full(g.shape, g.sum() / (h.sum() + smooth))
     best = (1e-9, 0, 0)
-    if depth:
-        for axis in (0, 1):
-            gl, hl = np.cumsum(g.sum(1 - axis))[:-1], np.cumsum(h.sum(1 - axis))[:-1]
-            if not len(gl):
+    for axis in (0, 1):
+        gg, hh = (g, h) if axis == 0 else (g.T, h.T)
+        for k in range(1, len(gg)):
+            sides = [(gg[:k].sum(0), hh[:k].sum(0)), (gg[k:].sum(0), hh[k:].sum(0))]
+            if min(x[1].sum() for x in sides) < least:
                 continue
-            gr, hr = g.sum() - gl, h.sum() - hl
-            gain = gl**2 / (hl + smooth) + gr**2 / (hr + smooth) - g.sum() ** 2 / (h.sum() + smooth)
-            gain[(hl < least) | (hr < least)] = 0
-            k = int(np.argmax(gain))
-            if gain[k] > best[0]:
-                best = (float(gain[k]), axis, k + 1)
-        if best[2]:
-            _, axis, k = best
-            a, b = (np.s_[:k], np.s_[k:]) if axis == 0 else (np.s_[:, :k], np.s_[:, k:])
-            value[a] = _tree2(g[a], h[a], depth - 1, smooth, least)
-            value[b] = _tree2(g[b], h[b], depth - 1, smooth, least)
+            gain = sum(a.sum() ** 2 / (b.sum() + smooth) + _cut_gain(a, b, smooth, least) for a, b in sides)
+            gain -= g.sum() ** 2 / (h.sum() + smooth)
+            if gain > best[0]:
+                best = (float(gain), axis, k)
+    if best[2]:
+        _, axis, k = best
+        out, gg, hh = (value, g, h) if axis == 0 else (value.T, g.T, h.T)
+        out[:k] = _tree(gg[:k].sum(0), hh[:k].sum(0), 1, smooth, least)
+        out[k:] = _tree(gg[k:].sum(0), hh[k:].sum(0), 1, smooth, least)
     return value
 
 
@@ -165,7 +173,7 @@ class Gam:
                 cell = c[i] * t.shape[1] + c[j]
                 g = np.bincount(cell, y - p, t.size).reshape(t.shape)
                 h = np.bincount(cell, p * (1 - p), t.size).reshape(t.shape)
-                step = self.rate * _tree2(g, h, 2, smooth, least / 4)
+                step = self.rate * _tree2(g, h, smooth, least / 4)
                 t += step
                 z += step.ravel()[cell]
                 p = 1 / (1 + np.exp(-z))
@@ -226,11 +234,19 @@ def train(
     return Gam().fit(x[order], rows["y"].to_numpy(np.float64)[order])
 
 
-def score(docs: DataFrame, model: Gam, threshold: float = 0.3, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
-    """The kept columns (all by default) with score and predicted."""
-    keep = docs.columns if keep is None else keep
+def score(
+    docs: DataFrame,
+    model: Gam,
+    threshold: float = 0.3,
+    keep: list[str] | None = None,
+    text_col: str = "text",
+    score_col: str = "score",
+    predicted_col: str = "predicted",
+) -> DataFrame:
+    """The kept columns (all by default) with score_col and predicted_col, which replace columns of these names."""
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in (score_col, predicted_col)]
     kept = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(keep)), F.col(text_col).alias("__text"))
-    schema = extended(docs, keep, "score double, predicted int")
+    schema = extended(docs, keep, f"`{score_col}` double, `{predicted_col}` int")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
