@@ -18,17 +18,18 @@ from siftstone.llm.common import materialise, table
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep what the additive model predicts to be of quality (score of 0.3 or more)."""
     model = gam.train(docs, table(spark, sf_dir, "labels"), "quality", folds=5, held_out=0)
-    return gam.score(docs, model, 0.3).filter("predicted = 1").select(*docs.columns)
+    return gam.score(docs, model, 0.3, score_col="__score", predicted_col="__kept").filter("__kept = 1").select(*docs.columns)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop what the convolutional classifier predicts to be toxic (score of 0.7 or more)."""
     model = cnn.train(docs, table(spark, sf_dir, "labels"), "toxic", folds=3, held_out=1)
-    return cnn.score(docs, model, 0.7).filter("predicted = 0").select(*docs.columns)
+    return cnn.score(docs, model, 0.7, score_col="__score", predicted_col="__toxic").filter("__toxic = 0").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one with the smallest id. Rows without an id stay."""
+    """One document of each group stays: the one with the smallest id. Rows with equal ids are one document; rows
+    without an id stay."""
     classes = bayes_lsh.similar_documents(docs, threshold=0.8, shingle=5)
     gone = classes.filter("doc_id <> class_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
