@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import codecs
 import re
+import zlib
 from collections.abc import Callable
 from html import unescape
 
@@ -69,6 +70,18 @@ def to_utf8(data: bytes | None, header_charset: str | None = None) -> str | None
     return data.decode("utf-8", "replace")
 
 
+def inflate(data: bytes | None) -> bytes | None:
+    """Content of gzip, zlib or raw deflate data; other bytes as they are."""
+    if not data:
+        return data
+    for bits in (47, 15, -15):
+        try:
+            return zlib.decompress(data, bits)
+        except zlib.error:
+            continue
+    return data
+
+
 BLOCK = re.compile(r"(?i)</?(?:p|div|td|tr|table|ul|ol|li|h[1-6]|br|section|article|nav|header|footer|aside|form)\b[^>]*>")
 DROPPED = re.compile(r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>|<title\b.*?</title\s*>")
 LINK = re.compile(r"(?is)<a\b[^>]*>(.*?)</a>")
@@ -109,6 +122,14 @@ def utf8_of(data: Column) -> Column:
     return _udf(to_utf8, "string")(data)
 
 
+def inflated(data: Column) -> Column:
+    @F.arrow_udf("binary")
+    def run(x: pa.Array) -> pa.Array:
+        return pa.array([inflate(v) for v in x.to_pylist()], pa.binary())
+
+    return run(data)
+
+
 def blocks_of(html: Column) -> Column:
     return _udf(content_blocks, "array<string>")(html)
 

@@ -133,3 +133,11 @@ def extract(pages: DataFrame, template: Template, id_col: str = "page_id", html_
     kind = dict(pages.dtypes)[id_col]
     fields = "".join(f", `{f}` string" for f in template.fields)
     return pages.select(id_col, html_col).mapInArrow(run, f"`{id_col}` {kind}, row int{fields}")
+
+
+def over_extract(pages: DataFrame, item: Template, link: Template) -> tuple[DataFrame, DataFrame]:
+    """Records of pages and their child URLs: an item template gives fields, a link template absolute URLs."""
+    records = extract(pages, item)
+    links = extract(pages, link).join(pages.select("page_id", "url"), "page_id")
+    children = links.select("page_id", resolved(F.col("url"), F.col(link.fields[0])).alias("child")).filter("child is not null")
+    return records, children.dropDuplicates(["page_id", "child"])

@@ -25,11 +25,33 @@ UNIT = re.compile(
 LONGEST_UNIT = 33
 
 
+@dataclass(frozen=True)
+class Rule:
+    """A name, place or number rule: a head word joined with a run of single characters beside it.
+
+    side "after" (as surnames have) takes characters behind the head, "before" (as place endings have) those in front
+    of it: at least ``least``, at most ``most``, each of them in ``include`` (if given) and not in ``exclude``.
+    """
+
+    heads: frozenset[str]
+    side: str
+    attr: str
+    idf: float = 3.0
+    least: int = 1
+    most: int = 2
+    include: frozenset[str] = frozenset()
+    exclude: frozenset[str] = frozenset()
+
+    def takes(self, word: str) -> bool:
+        return len(word) == 1 and word not in self.exclude and (not self.include or word in self.include)
+
+
 @dataclass
 class Dictionary:
     words: dict[str, tuple[float, float, str]]  # tf, idf, attr
     pair_ratio: dict[tuple[str, str], float] = field(default_factory=dict)
     single_tf: float = 0.5
+    rules: list[Rule] = field(default_factory=list)
 
     def __post_init__(self) -> None:
         self.longest = max(map(len, self.words), default=1)
@@ -90,6 +112,26 @@ def best_path(run: str, d: Dictionary) -> list[str]:
     return list(max(ranked)[2]) if ranked else []
 
 
+def apply_rules(words: list[str], rules: list[Rule]) -> list[tuple[str, Rule | None]]:
+    """Words with the names that rules form; heads of two characters and rules that come first win."""
+    out: list[tuple[str, Rule | None]] = [(w, None) for w in words]
+    for rule in sorted(rules, key=lambda r: -max(map(len, r.heads), default=0)):
+        i = 0 if rule.side == "after" else len(out) - 1
+        while 0 <= i < len(out):
+            word, used = out[i]
+            step = 1 if rule.side == "after" else -1
+            if used is None and word in rule.heads:
+                n = 0
+                while n < rule.most and 0 <= (k := i + step * (n + 1)) < len(out) and out[k][1] is None and rule.takes(out[k][0]):
+                    n += 1
+                if n >= rule.least:
+                    a, b = (i, i + n + 1) if step > 0 else (i - n, i + 1)
+                    out[a:b] = [("".join(w for w, _ in out[a:b]), rule)]
+                    i = a
+            i += step
+    return out
+
+
 def sub_words(words: list[str], d: Dictionary, mode: str) -> list[str]:
     """Extra cuts: "short" adds dictionary words inside a word, "pairs" all neighbouring pairs, "chars" all characters."""
     out = []
@@ -113,12 +155,12 @@ def segment(text: str | None, d: Dictionary, method: str = "path", mode: str = "
     for m in UNIT.finditer(text or ""):
         unit, at = m.group(), m.start()
         if ord(unit[0]) < 0x3040:
-            words = [unit[:LONGEST_UNIT].lower()]
+            words: list[tuple[str, Rule | None]] = [(unit[:LONGEST_UNIT].lower(), None)]
         else:
-            words = cut(unit, d)
-        for w in words:
+            words = apply_rules(cut(unit, d), d.rules)
+        for w, rule in words:
             for x in sub_words([w], d, mode) if mode else [w]:
-                known = d.words.get(x)
+                known = (0.0, rule.idf, rule.attr) if rule and x == w else d.words.get(x)
                 plain = (2.5 * math.log(len(x)) if len(x) > 1 else 0.0, "en") if x.isascii() else (0.0, "un")
                 idf, attr = (known[1], known[2]) if known else plain
                 out.append({"word": x, "off": at, "idf": idf, "attr": attr})

@@ -189,4 +189,13 @@ ORACLES: dict[str, str] = {
         g AS (SELECT task, arg_max(op, seq) AS op, max(seq) AS last_at, bool_or(head) AS head, min(seq) AS first_seq, sum((op = 'pop')::INTEGER)::BIGINT AS tries FROM l GROUP BY task)
         SELECT task, CASE WHEN op = 'ack' THEN 'done' WHEN op = 'pop' AND (SELECT max(seq) FROM l) - last_at <= 2000 THEN 'working' ELSE 'waiting' END AS state, head, tries, first_seq FROM g""",
     "stream_event_upsert": "SELECT user_id AS id, event_id AS version, event_type AS body FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1",
+    "queue_next": """WITH st AS (WITH l AS (SELECT user_id AS task, event_id AS seq, (['push', 'pop', 'ack', 'requeue'])[event_id % 4 + 1] AS op, user_id % 10 = 0 AS head FROM events),
+        g AS (SELECT task, arg_max(op, seq) AS op, max(seq) AS last_at, bool_or(head) AS head, min(seq) AS first_seq, sum((op = 'pop')::INTEGER)::BIGINT AS tries FROM l GROUP BY task)
+        SELECT task, CASE WHEN op = 'ack' THEN 'done' WHEN op = 'pop' AND (SELECT max(seq) FROM l) - last_at <= 2000 THEN 'working' ELSE 'waiting' END AS state, head, tries, first_seq FROM g) SELECT task, head, first_seq FROM st WHERE state = 'waiting' ORDER BY head DESC, first_seq, task LIMIT 20""",
+    "term_state_table": """WITH c AS (SELECT p_type AS term, 0 AS status, 0::BIGINT AS version FROM part UNION ALL SELECT p_type, p_size % 3, p_partkey FROM part)
+        SELECT term, status::INTEGER AS status, version FROM c QUALIFY row_number() OVER (PARTITION BY term ORDER BY version DESC, status DESC) = 1""",
+    "url_template_fill": f"SELECT page_id, 'http://' || {HOST} || '/list?id=' || page_id AS filled FROM pages",
+    "mime_types": "SELECT p_partkey, (['text/html', 'image/jpeg', 'application/octet-stream', 'text/css'])[p_partkey % 4 + 1] AS mime FROM part",
+    "http_times": "SELECT o_orderkey, epoch(date_trunc('second', o_orderdate))::BIGINT AS epoch FROM orders",
+    "summary_fallback": "SELECT doc_id AS id, md5(text[1:128] || string_split(text[129:], chr(10))[1]) AS head FROM documents",
 }

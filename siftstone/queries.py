@@ -523,3 +523,48 @@ def stream_event_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     run.awaitTermination()
     last = run.lastProgress.batchId if run.lastProgress else 0
     return spark.read.parquet(f"{out}/v={last}").select("id", "version", "body")
+
+
+@query
+def queue_next(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flows.next_tasks(work_queue_state(spark, sf_dir), 20).select("task", "head", "first_seq")
+
+
+@query
+def term_state_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Block-term maintenance: part names as terms, sizes as later states."""
+    part = table(spark, sf_dir, "part")
+    first = part.select(F.col("p_type").alias("term"), F.lit(0).alias("status"), F.lit(0).cast("long").alias("version")).distinct()
+    later = part.select(F.col("p_type").alias("term"), (F.col("p_size") % 3).alias("status"), F.col("p_partkey").alias("version"))
+    return ingest.term_states(first, later)
+
+
+@query
+def url_template_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return pages.select("page_id", text.url_template("http://<1>/list?id=<2>", text.url_host(F.col("url")), F.col("page_id").cast("string")).alias("filled"))
+
+
+@query
+def mime_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.concat(F.lit("/f."), F.element_at(F.array(*(F.lit(x) for x in ("html", "JPG", "bin", "css?v=1"))), (F.col("p_partkey") % 4 + 1).cast("int")))
+    return table(spark, sf_dir, "part").select("p_partkey", text.mime_type(names).alias("mime"))
+
+
+@query
+def http_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stamp = F.unix_timestamp(F.col("o_orderdate").cast("timestamp"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.http_time(text.http_date(stamp)).alias("epoch"))
+
+
+@query
+def summary_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("id", F.md5(summary.fallback(F.col("text"))).alias("head"))
+
+
+@query
+def over_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    item, link = crawl.Template(r"<title>([^<]*)</title>", ("title",)), crawl.Template(r'<a href="([^"]*)"', ("href",), all_rows=True)
+    records, children = crawl.over_extract(pages, item, link)
+    return records.join(children.groupBy("page_id").agg(F.count(F.lit(1)).alias("children")), "page_id", "left")

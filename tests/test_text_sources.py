@@ -80,6 +80,24 @@ def test_segmentation():
     assert segment.segment(None, d) == []
 
 
+def test_name_rules():
+    after = segment.Rule(frozenset("王"), "after", "nr", most=2, exclude=frozenset("的"))
+    before = segment.Rule(frozenset("镇"), "before", "ns", least=1, most=2)
+    d = segment.Dictionary({**WORDS, "王": (1.0, 1.0, "n"), "镇": (1.0, 1.0, "n")}, rules=[after, before])
+    assert [(w["word"], w["attr"]) for w in segment.segment("王小明的人民", d)] == [("王小明", "nr"), ("的", "un"), ("人民", "n")]
+    assert [w["word"] for w in segment.segment("人民乌鱼镇", d)] == ["人民", "乌鱼镇"]
+
+
+def test_inflate():
+    import gzip
+    import zlib
+
+    raw = zlib.compressobj(wbits=-15)
+    for data in (gzip.compress(b"text"), zlib.compress(b"text"), raw.compress(b"text") + raw.flush(), b"text"):
+        assert markup.inflate(data) == b"text"
+    assert markup.inflate(None) is None
+
+
 def test_keywords(spark):
     rows = [("x", 1.0, "n"), ("x", 1.0, "n"), ("y", 1.5, "v"), ("the", 9.0, "n"), ("z", 0.1, "n")]
     words = spark.createDataFrame(rows, "word string, idf double, attr string")
