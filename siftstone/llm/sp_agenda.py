@@ -19,6 +19,7 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import accumulate, chain, pairwise
 
 import numpy as np
@@ -239,6 +240,12 @@ class Encoder:
         return self.agenda.sp.decode([np.frombuffer(b, "<u4").tolist() for b in ids], num_threads=1)
 
 
+@lru_cache(2)
+def encoder_for(model_file: str) -> Encoder:
+    """One for all tasks of a Python worker, so that its memory of runs lasts."""
+    return Encoder(model_file)
+
+
 def encode_decode(
     docs: DataFrame,
     model_file: str,
@@ -256,7 +263,7 @@ def encode_decode(
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(model_file)
+        enc = encoder_for(model_file)
         sp = enc.agenda.sp
         bos, eos = (np.array([x], "<u4").tobytes() for x in (sp.bos_id(), sp.eos_id()))
         for batch in batches:
