@@ -32,7 +32,7 @@ from .common import as_texts, extended
 
 MARK = "▁"
 NONE = np.int64(1 << 60)
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 150_000
 BATCH_CHARS = 1 << 20
 WIDTHS = (5, 7, 9, 12, 16, 32, 64)
 TABLE_BITS = 19
