@@ -193,15 +193,24 @@ def fold_of(row_id: Column, folds: int) -> Column:
     return F.coalesce(F.crc32(row_id.cast("string")) % folds, F.lit(-1))
 
 
-def bounded_labels(labels: DataFrame, target: str, folds: int, held_out: int, max_train: int, id_col: str = "doc_id") -> DataFrame:
-    """At most max_train labelled ids outside the held-out fold: doc_id, y. Small enough to broadcast."""
-    return (
+def bounded_labels(
+    labels: DataFrame, target: str, folds: int, held_out: int, max_train: int, id_col: str = "doc_id", positives: float | None = None
+) -> DataFrame:
+    """At most max_train labelled ids outside the held-out fold: doc_id, y. Small enough to broadcast.
+
+    With positives, at most that share of max_train has label 1 and at most the rest label 0.
+    """
+    known = (
         labels.filter(F.col(target).isNotNull() & F.col(id_col).isNotNull() & (fold_of(F.col(id_col), folds) != held_out))
         .groupBy(F.col(id_col).alias("__id"))
         .agg(F.max(F.col(target).cast("int")).alias("__y"))
-        .orderBy(F.xxhash64("__id"), "__id")
-        .limit(max_train)
     )
+    parts = [known]
+    if positives is not None:
+        parts = [known.filter("__y > 0"), known.filter("__y <= 0")]
+    sizes = [max_train] if positives is None else [int(max_train * positives), max_train - int(max_train * positives)]
+    chosen = [p.orderBy(F.xxhash64("__id"), "__id").limit(n) for p, n in zip(parts, sizes, strict=True)]
+    return chosen[0] if len(chosen) == 1 else chosen[0].union(chosen[1])
 
 
 def train(
