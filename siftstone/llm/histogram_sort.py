@@ -17,6 +17,7 @@ replace columns of the same name.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -27,6 +28,7 @@ from .common import materialise
 LOW_BITS = 24
 KEY_MIN, KEY_END = -(2**63), 2**63
 ROW_OVERHEAD = 16
+MOST_PROBES = 200_000  # candidate keys in a round: the driver holds one pair of sums for each
 
 
 @dataclass
@@ -96,6 +98,7 @@ def find_splitters(
 
     A boundary with a single row left between its two candidates can't get any closer and is done too.
     """
+    probes_each = max(2, min(probes_each, MOST_PROBES // parts))
     goals = [total * i // parts for i in range(1, parts)]
     slack = max(1, int(total / parts * tolerance))
     low = [(KEY_MIN, 0, 0)] * len(goals)
@@ -116,13 +119,14 @@ def find_splitters(
         if probes:
             ordered = sorted(probes)
             rounds += 1
-            for p, b, n in zip(ordered, *counts_below(keys, ordered), strict=True):
-                for i, goal in enumerate(goals):
-                    if chosen[i] is None:
-                        if b <= goal and p > low[i][0]:
-                            low[i] = (p, b, n)
-                        elif b > goal and p < high[i][0]:
-                            high[i] = (p, b, n)
+            bytes_below, rows_below = counts_below(keys, ordered)
+            for i, goal in enumerate(goals):
+                if chosen[i] is None:  # counts rise with the key: the goal lies between two neighbours
+                    j = bisect_right(bytes_below, goal)
+                    if j and ordered[j - 1] > low[i][0]:
+                        low[i] = (ordered[j - 1], bytes_below[j - 1], rows_below[j - 1])
+                    if j < len(ordered) and ordered[j] < high[i][0]:
+                        high[i] = (ordered[j], bytes_below[j], rows_below[j])
         for i, goal in enumerate(goals):
             if chosen[i] is None:
                 options = [x for x in (low[i], high[i]) if KEY_MIN < x[0] < KEY_END]
@@ -138,7 +142,7 @@ def shard(
     docs: DataFrame,
     shards: int = 40,
     tolerance: float = 0.002,
-    part_bytes: int = 256 << 20,
+    part_bytes: int = 512 << 20,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
