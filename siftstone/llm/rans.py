@@ -22,8 +22,9 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import accumulate, chain, pairwise
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,20 +39,66 @@ MAGIC = b"RNS1"
 HEAD = struct.Struct("<4s6I")
 LOW = 1 << 31
 BLOCK_TOKENS = 1 << 20
-CACHE_ENTRIES = 250_000
-BATCH_CHARS = 1 << 20
+CACHE_ENTRIES = 400_000
+BATCH_CHARS = 8 << 20
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letters that byte-level vocabularies write for bytes: printable bytes stand for themselves."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+BYTE_LETTERS = _byte_letters()
+# Texts of ASCII (but odd blanks) and extended Latin letters, whose classes no Unicode version has changed.
+PLAIN = re.compile("[\\n\x01-\x08\x0e-\x1b\x20-\x7fÀ-ÖØ-öø-ɏ]*\\Z")
+# Classes of their UTF-8 bytes: letter, digit, blank, other.
+LETTER, DIGIT, BLANK, OTHER = range(4)
+CLASSES = np.full(256, OTHER, np.uint8)
+CLASSES[[*range(65, 91), *range(97, 123), *range(128, 256)]] = LETTER
+CLASSES[48:58] = DIGIT
+CLASSES[[10, 32]] = BLANK
+
+
+def piece_starts(data: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Where the byte-level pre-tokenizer's pieces start in plain texts, one after another in data.
+
+    Its pattern: 's|'t|'re|'ve|'m|'ll|'d| ?letters| ?digits| ?others|blanks; first are the texts' own starts.
+    """
+    kind = CLASSES[data]
+    start = np.empty(len(data), bool)
+    start[:1] = True
+    start[1:] = (kind[1:] != kind[:-1]) & (data[:-1] != 32)
+    start |= kind == BLANK
+    start[first] = True
+    quotes = np.flatnonzero((data == 39) & start)
+    if len(quotes):
+        padded = np.concatenate([data, np.zeros(3, np.uint8)])
+        text_end = np.concatenate([first, [len(data)]])
+        left = text_end[np.searchsorted(text_end, quotes, "right")] - quotes - 1
+        a, b = padded[quotes + 1], padded[quotes + 2]
+        one = (left >= 1) & np.isin(a, [115, 116, 109, 100])  # s t m d
+        two = (left >= 2) & (((a == 114) | (a == 118)) & (b == 101) | (a == 108) & (b == 108))  # re ve ll
+        for hit, size in ((quotes[one], 1), (quotes[two & ~one], 2)):
+            start[hit + 1] = False
+            after = hit + 1 + size
+            after = after[after < len(data)]
+            start[after[kind[after] == LETTER]] = True
+    return np.flatnonzero(start)
 
 
 # --- tokenizing ---------------------------------------------------------------------------
 
 
-class ChunkTokenizer:
-    """The tokenizers library's ids of whole texts, looked up by blank-separated chunk.
+class PieceTokenizer:
+    """The tokenizers library's ids of whole texts, looked up by the pieces of its pre-tokenizer.
 
-    A byte-level pre-tokenizer starts a new piece at every single blank between two
-    non-blank characters, so the text between two such places encodes on its own. Chunks not
-    seen before are encoded by the library, in one call a batch; texts with added
-    tokens, and all texts of other kinds of tokenizers, go to the library whole.
+    A byte-level pre-tokenizer cuts a text by a pattern, and merges never cross its pieces. The texts of a
+    batch are cut by the same pattern as one vector of bytes, and Arrow numbers the distinct pieces; those
+    not met before are encoded by the library's model, and the ids of the texts are gathered from their
+    pieces'. Texts with added tokens, unusual characters or several blanks in a row, and all texts of other
+    kinds of tokenizers, go to the library whole.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -60,14 +107,14 @@ class ChunkTokenizer:
         self.tok.no_truncation()
         kind = self.tok.pre_tokenizer.__getstate__() if self.tok.pre_tokenizer else b""
         kind = kind if isinstance(kind, bytes) else str(kind).encode()
-        self.by_chunk = b'"ByteLevel"' in kind and b'"add_prefix_space":false' in kind and self.tok.normalizer is None
-        self.added = [x.content for x in self.tok.get_added_tokens_decoder().values()]
-        self.added_re = re.compile("|".join(map(re.escape, self.added))) if self.added else None
+        plain = b'"add_prefix_space":false' in kind and b'"use_regex":true' in kind
+        self.by_piece = b'"ByteLevel"' in kind and plain and self.tok.normalizer is None
+        added = [x.content for x in self.tok.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.end = np.uint32(end_id).tobytes()
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.other_blank = re.compile(r"[^\S \n]|^ | \Z")
-        self.boundary = re.compile(r"(?<=\S) (?=\S)")
+        # Recent pieces, two generations.
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     def library(self, texts: list[str]) -> list[bytes]:
         return [
@@ -75,42 +122,70 @@ class ChunkTokenizer:
             for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)
         ]
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """For each text its ids and the end id, as little-endian u32 bytes."""
-        chunks: list[list[str]] = []
-        whole: dict[int, str] = {}
-        for i, t in enumerate(texts):
-            if not self.by_chunk or self.added_re and self.added_re.search(t):
-                whole[i] = t
-                chunks.append([])
-                continue
-            odd = "  " in t or "\n " in t or " \n" in t or self.other_blank.search(t)
-            parts = self.boundary.split(t) if odd else t.split(" ")
-            parts[0] = "\x00" + parts[0]  # not preceded by a blank
-            chunks.append(parts)
+    def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of pieces of the pre-tokenizer, as the library's model merges them."""
+        one = self.tok.model.tokenize
+        return [array("I", [t.id for t in one(p.decode("latin1").translate(BYTE_LETTERS))]).tobytes() for p in pieces]
+
+    def looked_up(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of distinct pieces."""
         young, old = self.young, self.old
-        flat = list(chain.from_iterable(chunks))
-        found = list(map(young.get, flat))
-        if None in found:
-            places = [i for i, x in enumerate(found) if x is None]
-            missing = []
-            for c in {flat[i] for i in places}:
-                if c in old:
-                    young[c] = old[c]
+        found = list(map(young.get, pieces))
+        missing = []
+        for i, x in enumerate(found):
+            if x is None:
+                if (x := old.get(pieces[i])) is not None:
+                    young[pieces[i]] = found[i] = x
                 else:
-                    missing.append(c)
-            plain = [c[1:] if c[:1] == "\x00" else " " + c for c in missing]
-            young.update(zip(missing, self.library(plain), strict=True))
-            for i in places:
-                found[i] = young[flat[i]]
-        ends = list(accumulate(map(len, chunks), initial=0))
-        out = [b"".join(found[a:b]) + self.end for a, b in pairwise(ends)]
-        if whole:
-            for i, b in zip(whole, self.library(list(whole.values())), strict=True):
-                out[i] = b + self.end
+                    missing.append(i)
+        new = [pieces[i] for i in missing]
+        for i, p, x in zip(missing, new, self.encode_pieces(new), strict=True):
+            young[p] = found[i] = x
         if len(young) > CACHE_ENTRIES:
             self.old, self.young = young, {}
-        return out
+        return found
+
+    def whole(self, t: str) -> bool:
+        """Whether a text has to go to the library as it is."""
+        if not self.by_piece or self.added and self.added.search(t):
+            return True
+        return "  " in t or "\n " in t or " \n" in t or "\n\n" in t or not PLAIN.match(t)
+
+    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts one after another, each text's followed by the end id, and their numbers."""
+        alone = [i for i, t in enumerate(texts) if self.whole(t)]
+        odd = set(alone)
+        plain = [b"" if i in odd else t.encode() for i, t in enumerate(texts)]
+        data = np.frombuffer(b"".join(plain), np.uint8)
+        bounds = np.concatenate([[0], np.cumsum(np.fromiter(map(len, plain), np.int64, len(plain)))])
+        begin = bounds[:-1][np.diff(bounds) > 0]
+        at = piece_starts(data, begin) if len(data) else np.zeros(0, np.int64)
+        offsets = np.append(at, len(data)).astype(np.int64)
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+        numbered = pieces.dictionary_encode()
+        known = self.looked_up(numbered.dictionary.to_pylist())
+        known += [x + self.end for x in self.library([texts[i] for i in alone])]
+        known.append(self.end)
+        index = numbered.indices.to_numpy().astype(np.int64)
+        cuts = np.searchsorted(at, bounds)
+        # One more entry behind each text: the end id, or the whole text with it.
+        last = np.full(len(texts), len(known) - 1, np.int64)
+        last[alone] = len(known) - 1 - len(alone) + np.arange(len(alone))
+        index = np.insert(index, cuts[1:], last)
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        values = np.frombuffer(b"".join(known), "<u4")
+        n = sizes[index]
+        ends = np.cumsum(n)
+        flat = values[np.repeat(starts[index] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        doc_ends = ends[cuts[1:] + np.arange(len(texts))] if len(texts) else np.zeros(0, np.int64)
+        return flat, np.diff(np.concatenate([[0], doc_ends]))
+
+
+@lru_cache(2)
+def tokenizer_for(path: str, end_id: int) -> PieceTokenizer:
+    """One for all tasks of a Python worker, so that its memory of pieces lasts."""
+    return PieceTokenizer(path, end_id)
 
 
 def runs(texts: list[str], chars: int = BATCH_CHARS) -> Iterator[slice]:
@@ -130,17 +205,18 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "d
     narrow = Tokenizer.from_file(tokenizer_path).get_vocab_size() <= 65536
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = ChunkTokenizer(tokenizer_path, end_id)
+        tok = tokenizer_for(tokenizer_path, end_id)
         for batch in batches:
             texts = as_texts(batch.column(1))
             for part in runs(texts):
-                ids = tok.ids(texts[part])
-                n = [len(b) // 4 for b in ids]
-                if narrow:
-                    ids = [np.frombuffer(b, "<u4").astype("<u2").tobytes() for b in ids]
+                flat, n = tok.ids(texts[part])
+                data = flat.astype("<u2" if narrow else "<u4")
+                at = np.concatenate([[0], np.cumsum(n)]) * data.itemsize
+                ids = pa.Array.from_buffers(
+                    pa.binary(), len(n), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data)]
+                )
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[part.start : part.stop], pa.array(n, pa.int64()), pa.array(ids, pa.binary())],
-                    ["doc_id", "n_tokens", "ids"],
+                    [batch.column(0)[part.start : part.stop], pa.array(n, pa.int64()), ids], ["doc_id", "n_tokens", "ids"]
                 )
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
