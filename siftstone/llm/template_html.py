@@ -9,7 +9,9 @@ page (each page reports a digest of their order; a valid class has one); classes
 inside each other's gaps nest, as the tokens carry their place. The valid classes are the host's template:
 their tags cut a page into slots, their texts are boilerplate. What is extracted are the slots that
 remain: inside the article element if the page has one, else all but those in menus, headers,
-footers, sidebars, notices, adverts, forms, comments and slots of mostly links.
+footers, sidebars, notices, adverts, forms, comments and slots of mostly links. A class name or id tells such an
+element only as a whole ("site-footer", not "has-sidebar" or "related-work"), never on html, body, main or headings; on
+an article only if it is a comment.
 
 A host's template needs few pages; hosts with a single page, or none valid, fall back to the
 slots alone. Templates are joined to pages by host (broadcast only when counted to be few).
@@ -25,6 +27,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
 from urllib.parse import urlsplit
 
@@ -47,6 +50,20 @@ OUTSIDE_WORDS = set(
     "sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead comment comments reply replies discussion share "
     "sharing social related newsletter subscribe popup modal toolbar pagination pager login signup".split()
 )
+# Inside the article: where its own title stands.
+TITLE_WORDS = set("header masthead banner".split())
+COMMENT_WORDS = set("comment comments reply replies".split())
+# Sections of an article may be about these.
+SUBJECT_WORDS = OUTSIDE_WORDS - COMMENT_WORDS - set("sidebar footer ads advert adverts advertisement advertisements".split())
+# What may stand beside outside words in one class name or id, as in "site-footer".
+NEUTRAL_WORDS = set(
+    "area bar block body bottom box btn button buttons container form global inner item items left link links list main modal "
+    "outer page panel post posts primary right row secondary section site slot text title top unit widget widgets wrap wrapper".split()
+)
+# Articles in these are teasers or comments, in other outside elements (forms, adverts) the page's own.
+ASIDE = set("nav footer aside menu dialog".split())
+ASIDE_WORDS = COMMENT_WORDS | set("discussion sidebar related nav navbar navigation menu footer".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 MAIN = set("article main".split())
 CLOSED_BY = {  # start tags that end an open element of these names
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "p": {"p"},
@@ -58,8 +75,9 @@ TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)|<[!?][^>]*>?|([^<]+|<)",
     re.S | re.I,
 )
-MARKS = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+MARKS = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORD = re.compile(r"[a-z]+")
+ARTICLE = re.compile(r"<(?:article|main)\b|=\s*[\"']?main\b", re.I)
 
 
 class Piece:
@@ -67,14 +85,49 @@ class Piece:
 
     __slots__ = ("text", "token", "outside", "main", "block", "link")
 
-    def __init__(self, token: str, text: str | None, outside: bool, main: bool, block: bool, link: bool):
+    def __init__(self, token: str, text: str | None, outside: int, main: bool, block: bool, link: bool):
         self.token, self.text, self.outside, self.main, self.block, self.link = token, text, outside, main, block, link
 
 
-def pieces(html: str) -> Iterator[Piece]:
-    """Tags and texts in page order, with the element state that decides about a slot."""
+@lru_cache(20_000)
+def outside_words(mark: str) -> frozenset[str]:
+    """The outside words of one class name, id or role that consists of nothing else but neutral words."""
+    found = WORD.findall(mark)
+    own = OUTSIDE_WORDS.intersection(found)
+    return frozenset(own) if own and all(w in own or w in NEUTRAL_WORDS for w in found) else frozenset()
+
+
+@lru_cache(20_000)
+def outside_level(name: str, marks: tuple[tuple[str, str], ...], main: bool) -> int:
+    """0 if an element does not lie outside the main text by its name or marks, 2 if articles in it do too, else 1."""
+    if name in HEADINGS or name in ("html", "body", "main") or ("role", "main") in marks:
+        return 0
+    level = 0
+    if name in (("nav", "footer", "aside", "form") if main else OUTSIDE):
+        level = 2 if name in ASIDE else 1
+    section = name == "section" or any(kind == "class" and "section" in value.split() for kind, value in marks)
+    for kind, value in marks:
+        for mark in value.split():
+            own = outside_words(mark)
+            if name == "article":
+                own = own & COMMENT_WORDS
+            if main:
+                own = own - TITLE_WORDS
+            if section and (main or kind == "id"):
+                own = own - SUBJECT_WORDS
+            if own:
+                level = max(level, 1 if ASIDE_WORDS.isdisjoint(own) else 2)
+    return level
+
+
+def pieces(html: str, enclosed: bool = False) -> Iterator[Piece]:
+    """Tags and texts in page order, with the element state that decides about a slot.
+
+    An article that is no comment starts inside whatever form or advert encloses it; with enclosed also in menus,
+    sidebars and comments.
+    """
     # Open elements: name, path, outside, main, skipped, link.
-    stack: list[tuple[str, str, bool, bool, bool, bool]] = [("", "", False, False, False, False)]
+    stack: list[tuple[str, str, int, bool, bool, bool]] = [("", "", 0, False, False, False)]
     for m in TOKEN.finditer(html):
         text = m.group(5)
         if text is not None:
@@ -100,16 +153,17 @@ def pieces(html: str) -> Iterator[Piece]:
                 k -= 1
             if k and stack[k][0] in ends:
                 del stack[k:]
-        marks = " ".join((a or b or c).lower() for _, a, b, c in MARKS.findall(m.group(4))) if m.group(4) else ""
+        found = tuple((kind.lower(), (a or b or c).lower()) for kind, a, b, c in MARKS.findall(m.group(4))) if m.group(4) else ()
+        marks = " ".join(value for _, value in found)
         _, path, outside, main, skipped, link = stack[-1]
         if name not in INLINE:
             path = f"{path}/{name}" + (f"[{marks}]" if marks else "")
-        own = not main and name in OUTSIDE or bool(marks and not OUTSIDE_WORDS.isdisjoint(WORD.findall(marks)))
-        if main and name in ("nav", "footer", "aside", "form"):
-            own = True
-        if name in MAIN or "main" in marks.split():
-            main, own = True, own and name != "main"
-        state = (name, path, outside or own, main, skipped or name in SKIPPED, link or name == "a")
+        own = outside_level(name, found, main)
+        if not own and (name in MAIN or found and name not in OUTSIDE and name not in ("html", "body") and "main" in marks.split()):
+            if outside < 2 or enclosed or name == "main" or ("role", "main") in found:
+                outside = 0
+            main = main or not outside
+        state = (name, path, max(outside, own), main, skipped or name in SKIPPED, link or name == "a")
         yield Piece(path if name not in INLINE else f"{path}/{name}", None, state[2], main, name not in INLINE, state[5])
         if name not in VOID and not m.group(0).endswith("/>"):
             stack.append(state)
@@ -141,6 +195,14 @@ def host_of(url: str | None) -> str:
 def template_text(html: str, template: set[str]) -> str:
     """The remaining slots of a page as blocks joined by blank lines."""
     seen = list(pieces(html))
+    text = slots_text(seen, template)
+    if not any(p.main and not p.outside and p.text and not p.text.isspace() for p in seen) and ARTICLE.search(html):
+        # An unclosed menu or sidebar may hold the page's article: the longer text is the page's.
+        text = max(text, slots_text(list(pieces(html, enclosed=True)), template), key=len)
+    return text
+
+
+def slots_text(seen: list[Piece], template: set[str]) -> str:
     has_main = any(p.main for p in seen)
     slots: list[tuple[list[str], bool, bool]] = []  # blocks, wanted, linked
     blocks: list[str] = []

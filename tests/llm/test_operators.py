@@ -287,6 +287,28 @@ def test_html_text(spark):
     assert template_html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body class='has-sidebar'><article>{}</article></body>",
+        "<body class='home sidebar'><div id=page class='with-comments'><article class='post share-enabled'>{}</article></div>",
+        "<form id=aspnetForm><article>{}</article></form>",
+        "<div class=ad>buy<article>{}</article>",
+        "<p>intro</p><aside class=sidebar><p>unclosed<article>{}</article>",
+        "<div class=comments><main>{}</main></div>",
+        "<article>{}<div id=comments><article>Nice!</article></div><aside><article>teaser</article></aside></article>",
+        "<article>{}</article><article class=comment id=comment-12>Nice!</article>",
+        "<nav class=main>menu</nav><article>{}</article>",
+        "<div>{}</div><div id=comments><article class=comment>Nice!</article></div><div class=cookie-notice>c</div><div class=site-footer>f</div>",
+    ],
+)
+def test_html_articles_survive_what_encloses_them(page):
+    inner = "<header class=header><h1>Title</h1></header><section id=discussion><h2 id=header-files>Files</h2></section><div class=related-work>Work</div>"
+    if "<article>{}" not in page and "<main>" not in page and "share-enabled" not in page:
+        inner = "<h1>Title</h1><section id=discussion><h2 id=header-files>Files</h2></section><div class=related-work>Work</div>"
+    assert template_html.template_text(page.format(inner), set()) == "Title\n\nFiles\n\nWork"
+
+
 # --- 7: SentencePiece ------------------------------------------------------------------------------------
 
 
