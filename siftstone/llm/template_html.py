@@ -6,10 +6,12 @@ host says how often it occurs on each page; it is aggregated as commutative sums
 pages, so no page has to meet another. Tokens of a host with equal vectors and enough
 support form an equivalence class. A class is valid if its tokens stand in the same order on every
 page (each page reports a digest of their order; a valid class has one); classes whose tokens lie
-inside each other's gaps nest, as the tokens carry their place. The valid classes are the host's template:
+inside each other's gaps nest, as the tokens carry their place. A text also needs distinct pages: every page has a
+sketch of its texts that copies and most near copies share, a bit of the sketch is or-ed per token, and a text
+belongs to a class only if it has 5 bits and half of its host's. The valid classes are the host's template:
 their tags cut a page into slots, their texts are boilerplate. What is extracted are the slots that
 remain: inside the article element if the page has one, else all but those in menus, headers,
-footers, sidebars, notices, adverts, forms, comments and slots of mostly links. A class name or id tells such an
+footers, sidebars, notices, adverts, forms, comments and slots mostly of links where the template has links. A class name or id tells such an
 element only as a whole ("site-footer", not "has-sidebar" or "related-work"), never on html, body, main or headings; on
 an article only if it is a comment.
 
@@ -77,6 +79,7 @@ TOKEN = re.compile(
 )
 MARKS = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORD = re.compile(r"[a-z]+")
+LONG_TEXT = 60
 ARTICLE = re.compile(r"<(?:article|main)\b|=\s*[\"']?main\b", re.I)
 
 
@@ -173,16 +176,31 @@ def squeeze(text: str) -> str:
     return " ".join(text.split())
 
 
+def text_token(path: str, text: str) -> str:
+    return f"{path}#{zlib.crc32(text.encode('utf-8', 'replace')):08x}{len(text)}"
+
+
 def tokens(html: str) -> list[str]:
     """Template tokens of a page in order: block tags, and texts outside the article."""
+    return tokens_and_sketch(html)[0]
+
+
+def tokens_and_sketch(html: str) -> tuple[list[str], int]:
+    """Template tokens, and what copies share: the least hash of the long texts, or a hash of all texts if none is long."""
     out = []
+    least, short = 1 << 32, 0
     for p in pieces(html):
         if p.text is None:
             if p.block:
                 out.append(p.token)
-        elif not p.main and (t := squeeze(p.text)) and len(t) <= 400:
-            out.append(f"{p.token}#{zlib.crc32(t.encode('utf-8', 'replace')):08x}{len(t)}")
-    return out
+        elif t := squeeze(p.text):
+            if len(t) >= LONG_TEXT:
+                least = min(least, zlib.crc32(t.encode("utf-8", "replace")))
+            elif least == 1 << 32:
+                short = zlib.crc32(t.encode("utf-8", "replace"), short)
+            if not p.main and len(t) <= 400:
+                out.append(text_token(p.token, t))
+    return out, short if least == 1 << 32 else least
 
 
 def host_of(url: str | None) -> str:
@@ -204,6 +222,8 @@ def template_text(html: str, template: set[str]) -> str:
 
 def slots_text(seen: list[Piece], template: set[str]) -> str:
     has_main = any(p.main for p in seen)
+    # Places where the template holds the text of a link.
+    menus = {p.token for p in seen if p.link and p.text and text_token(p.token, squeeze(p.text)) in template} if template and not has_main else set()
     slots: list[tuple[list[str], bool, bool]] = []  # blocks, wanted, linked
     blocks: list[str] = []
     run: list[str] = []
@@ -240,11 +260,11 @@ def slots_text(seen: list[Piece], template: set[str]) -> str:
             t = p.text
             if not has_main and template:
                 s = squeeze(t)
-                if s and f"{p.token}#{zlib.crc32(s.encode('utf-8', 'replace')):08x}{len(s)}" in template:
+                if s and text_token(p.token, s) in template:
                     continue
             run.append(t)
             chars += len(t)
-            linked += len(t) if p.link else 0
+            linked += len(t) if p.link and p.token in menus else 0
     end_slot()
     return "\n\n".join(b for own, good, links in slots if good and not links for b in own)
 
@@ -254,7 +274,7 @@ def _page_hash(page: str, count: int, seed: int) -> int:
 
 
 def occurrence_vectors(pages: DataFrame) -> DataFrame:
-    """host, token, pages, total and the two sums that stand for the token's occurrence vector."""
+    """host, token, pages, total, the two sums that stand for the token's occurrence vector, and the bits of its pages' sketches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[str, str], list[int]] = {}
@@ -262,38 +282,45 @@ def occurrence_vectors(pages: DataFrame) -> DataFrame:
         def rows() -> pa.RecordBatch:
             keys, values = list(sums), list(sums.values())
             columns = [pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys])]
-            columns += [pa.array([v[j] for v in values], pa.int64()) for j in range(4)]
-            return pa.RecordBatch.from_arrays(columns, ["host", "token", "pages", "total", "s1", "s2"])
+            columns += [pa.array([v[j] for v in values], pa.int64()) for j in range(5)]
+            return pa.RecordBatch.from_arrays(columns, ["host", "token", "pages", "total", "s1", "s2", "bits"])
 
         for batch in batches:
             for key, url, html in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 host = host_of(url)
-                for token, n in [("#page", 1), *Counter(tokens(html or "")).items()]:
-                    v = sums.setdefault((host, token), [0, 0, 0, 0])
+                found, sketch = tokens_and_sketch(html or "")
+                bit = 1 << (zlib.crc32(b"%d" % sketch) & 63)
+                bit -= (bit >> 63) << 64
+                for token, n in [("#page", 1), *Counter(found).items()]:
+                    v = sums.setdefault((host, token), [0, 0, 0, 0, 0])
                     v[0] += 1
                     v[1] += n
                     v[2] += _page_hash(str(key), n, 1)
                     v[3] += _page_hash(str(key), n, 2)
+                    v[4] |= bit
             if len(sums) > 100_000:
                 yield rows()
                 sums.clear()
         if sums:
             yield rows()
 
-    schema = "host string, token string, pages long, total long, s1 long, s2 long"
+    schema = "host string, token string, pages long, total long, s1 long, s2 long, bits long"
     return (
         pages.mapInArrow(run, schema)
         .groupBy("host", "token")
-        .agg(*(F.sum(c).alias(c) for c in ("pages", "total", "s1", "s2")))
+        .agg(*(F.sum(c).alias(c) for c in ("pages", "total", "s1", "s2")), F.bit_or("bits").alias("bits"))
     )
 
 
-def classes(vectors: DataFrame, support: float = 0.5, least_pages: int = 2) -> DataFrame:
-    """host, classes (arrays of tokens): tokens with equal vectors on at least a share of a host's pages."""
-    size = vectors.filter("token = '#page'").select("host", F.col("pages").alias("host_pages"))
+def classes(vectors: DataFrame, support: float = 0.5, least_pages: int = 2, least_distinct: int = 5) -> DataFrame:
+    """host, classes (arrays of tokens): tokens with equal vectors on at least a share of a host's pages, texts also of its distinct pages."""
+    size = vectors.filter("token = '#page'").select("host", F.col("pages").alias("host_pages"), F.bit_count("bits").alias("host_bits"))
+    distinct = F.bit_count("bits") >= F.greatest(F.lit(least_distinct), F.ceil(F.col("host_bits") * support))
+    is_text = F.col("token").rlike("#[0-9a-f]{8}[0-9]+$")
     return (
         vectors.join(size, "host")
         .filter((F.col("pages") >= F.greatest(F.lit(least_pages), F.ceil(F.col("host_pages") * support))) & (F.col("token") != "#page"))
+        .filter(~is_text | distinct)
         .groupBy("host", "pages", "total", "s1", "s2")
         .agg(F.array_sort(F.collect_list("token")).alias("tokens"))
         .filter(F.size("tokens") >= 2)
@@ -321,11 +348,12 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             for own, html, many in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 where = {t: k for k, c in enumerate(many) for t in c}
                 digest = [0] * len(many)
-                for t in tokens(html or ""):
+                own_tokens = tokens(html or "")
+                for t in own_tokens:
                     if (k := where.get(t)) is not None:
                         digest[k] = zlib.crc32(t.encode("utf-8", "replace"), digest[k])
                 # Pages without the class say nothing; a class repeated n times is in order n times over.
-                n = Counter(where[t] for t in tokens(html or "") if t in where) if any(digest) else {}
+                n = Counter(where[t] for t in own_tokens if t in where) if any(digest) else {}
                 seen.update((own, k, digest[k] if n.get(k) == len(many[k]) else -1) for k in range(len(many)) if digest[k])
         rows = sorted(seen)
         if rows:

@@ -309,6 +309,26 @@ def test_html_articles_survive_what_encloses_them(page):
     assert template_html.template_text(page.format(inner), set()) == "Title\n\nFiles\n\nWork"
 
 
+def test_html_copies_are_no_template(spark):
+    page = lambda *texts: "<body><div class=menu>m</div><div>Fixed banner line</div><div>" + "".join(f"<p>{t}</p>" for t in texts) + "</div></body>"
+    rng = random.Random(11)
+    long = lambda: " ".join(rng.choice("abcdef") * 3 for _ in range(30))
+    shared = [long() for _ in range(8)]
+    hosts = {
+        "two": [page("Copied a", "Copied b")] * 2,
+        "four": [page("Copied a", "Copied b")] * 2 + [page(f"Own {n}", f"More {n}") for n in range(2)],
+        "half": [page(*shared)] * 20 + [page(long(), long()) for _ in range(20)],
+        "near": [page(*shared, f"edited {n}") for n in range(20)] + [page(long(), long()) for _ in range(20)],
+        "links": [page(*(f"<a href=/{n}>Reference {n} {k}</a>" for k in range(5))) for n in range(6)],
+    }
+    rows = [(1000 * k + n, f"http://{h}.com/{n}", x) for k, (h, pages) in enumerate(hosts.items()) for n, x in enumerate(pages)]
+    got = {r["page_id"]: r["text"] for r in template_html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all("Copied a\n\nCopied b" in got[i] for i in (0, 1, 1000, 1001)) and "Own 1\n\nMore 1" in got[1003]
+    assert all("\n\n".join(shared) in got[i] for i in (*range(2000, 2020), *range(3000, 3020)))
+    assert "banner" not in got[2039] + got[3039]  # on distinct pages it is the template's
+    assert got[4003] == "\n\n".join(f"Reference 3 {k}" for k in range(5))
+
+
 # --- 7: SentencePiece ------------------------------------------------------------------------------------
 
 
