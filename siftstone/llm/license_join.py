@@ -1,13 +1,16 @@
 """License scan: exact set-similarity join of text blocks against license notices.
 
-A block is a line of a text; it is joined to a template when it holds at least the threshold
-of the template's distinct words (containment). The join is exact: tokens are ordered
-by their frequency over all blocks of all documents (rarest first, ties by the token);
-a template of n tokens needs overlap a = ceil(threshold * n), so a matching block must hold one of
-the template's first n - a + 1 tokens (prefix filter), have a tokens of the
-templates' vocabulary at all (length filter), and at each shared token have enough tokens left on both
-sides to still reach a (positional filter). Candidates that pass are verified by their full
-overlap. The templates are a short list in the program, so their index goes to every task.
+A block is a window of a text's words, across line ends, of one and a half times the template's words;
+it is joined to a template when it holds at least the threshold of the template's distinct words
+(containment). The join is exact: tokens are ordered by their frequency over all lines of all
+documents (rarest first, ties by the token); a template of n tokens needs overlap
+a = ceil(threshold * n), so a matching block must hold one of the template's first n - a + 1 tokens
+(prefix filter), have a tokens of the templates' vocabulary at all (length filter), and at each shared
+token have enough tokens left on both sides to still reach a (positional filter). The filters judge the
+stretches of text within the longest window's reach of a prefix token, which hold all blocks that can
+match; in those that pass, the windows slide word by word and are verified by their full overlap. Of
+overlapping windows the best is reported, cut to the shortest span with these words. The templates
+are a short list in the program, so their index goes to every task.
 
 Beside it every place is found where a base phrase's words stand consecutively, across
 line ends too.
@@ -20,6 +23,7 @@ those of the result.
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -46,6 +50,8 @@ TEMPLATES: list[tuple[str, str]] = [
             "provided that the following conditions are met"),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 ]
+# Words of a block per word of the template.
+WINDOW = 1.5
 # Base phrases by label.
 PHRASES: list[tuple[str, str]] = [
     ("mit license", "mit"),
@@ -67,6 +73,8 @@ class TemplateIndex:
         self.rank = {w: i for i, w in enumerate(vocabulary)}
         self.labels = [label for label, _ in sets]
         self.tokens = [sorted(self.rank[w] for w in s) for _, s in sets]
+        self.width = [math.ceil(WINDOW * len(words(t.encode()))) for _, t in templates]
+        self.reach = max(self.width, default=0)
         self.need = [max(1, math.ceil(threshold * len(t) - 1e-9)) for t in self.tokens]
         self.prefix: dict[int, list[tuple[int, int]]] = {}
         for k, t in enumerate(self.tokens):
@@ -98,9 +106,52 @@ class TemplateIndex:
                 found.append((k, both / len(self.tokens[k])))
         return found
 
+    def spans(self, text: list[bytes]) -> list[tuple[int, int, int, float]]:
+        """Template, first and end word, and containment of the best of overlapping windows that hold a template."""
+        if self.prefix_words.isdisjoint(text):
+            return []
+        stretches: list[list[int]] = []
+        for i, w in enumerate(text):
+            if w in self.prefix_words:
+                if stretches and i - self.reach < stretches[-1][1]:
+                    stretches[-1][1] = i + self.reach
+                else:
+                    stretches.append([max(0, i - self.reach + 1), i + self.reach])
+        found = []
+        for start, end in stretches:
+            block = text[start:end]
+            for k, _ in self.match(block):
+                found += [(k, start + a, start + b, c) for a, b, c in self.windows(block, k)]
+        return found
+
+    def windows(self, block: list[bytes], k: int) -> list[tuple[int, int, float]]:
+        """First and end word and containment of the best windows of a block for one template."""
+        own = set(self.tokens[k])
+        get = self.rank.get
+        at = [(i, r) for i, w in enumerate(block) if (r := get(w)) in own]
+        count: dict[int, int] = {}
+        best: list[tuple[int, int, int]] = []
+        left = 0
+        for i, r in at:
+            count[r] = count.get(r, 0) + 1
+            # A word that left a window leaves for good; one that occurs again later isn't needed at the left.
+            while i - at[left][0] >= self.width[k] or count[at[left][1]] > 1:
+                old = at[left][1]
+                count[old] -= 1
+                if not count[old]:
+                    del count[old]
+                left += 1
+            if len(count) >= self.need[k]:
+                new = (at[left][0], i + 1, len(count))
+                if not best or new[0] >= best[-1][1]:
+                    best.append(new)
+                elif (new[2], new[0] - new[1]) > (best[-1][2], best[-1][0] - best[-1][1]):
+                    best[-1] = new
+        return [(a, b, n / len(own)) for a, b, n in best]
+
 
 def token_frequency(docs: DataFrame, templates: list[tuple[str, str]], text_col: str) -> dict[bytes, int]:
-    """In how many blocks of all documents each template token occurs."""
+    """In how many lines of all documents each template token occurs."""
     vocabulary = sorted({w for _, t in templates for w in words(t.encode())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,6 +171,7 @@ def token_frequency(docs: DataFrame, templates: list[tuple[str, str]], text_col:
 # As WORD_BYTES, with line ends kept.
 BLOCKS = bytes(10 if b == 10 else x for b, x in enumerate(WORD_BYTES))
 
+# block is the line in which a span begins.
 SPAN = "array<struct<label:string,block:int,first_word:bigint,end_word:bigint,containment:double>>"
 
 
@@ -156,15 +208,13 @@ def scan(
                 lines = [x.split() for x in text.translate(BLOCKS).split(b"\n")]
                 starts = list(accumulate(map(len, lines), initial=0))
                 spans = []
-                for b, line in enumerate(lines):
-                    for k, c in index.match(line):
-                        spans.append(
-                            {"label": index.labels[k], "block": b, "first_word": starts[b], "end_word": starts[b + 1], "containment": c}
-                        )
+                flat = [w for x in lines for w in x]
+                for k, a, b, c in index.spans(flat):
+                    line = bisect_right(starts, a) - 1
+                    spans.append({"label": index.labels[k], "block": line, "first_word": a, "end_word": b, "containment": c})
                 places: list[int] = []
                 base_labels: set[str] = set()
                 if any(w in text.lower() for w in last):
-                    flat = [w for x in lines for w in x]
                     for p, label in base:
                         n = len(p)
                         at = [i for i, w in enumerate(flat) if w == p[0] and flat[i : i + n] == p]

@@ -173,6 +173,41 @@ def test_license_join_is_exact():
             assert {k for k, _ in index.match(block)} == want
 
 
+def test_license_spans_cross_lines(spark):
+    wrapped = lambda text, n: "\n".join(" * " + " ".join(text.split()[i : i + n]) for i in range(0, len(text.split()), n))
+    rows = [(k, "Some file.\n\n" + wrapped(t, n) + "\nint x;") for k, (_, t) in enumerate(license_join.TEMPLATES) for n in (3, 8)]
+    for r in license_join.scan(frame(spark, rows)).collect():
+        assert license_join.TEMPLATES[r["doc_id"]][0] in r["labels"].split(",") and r["score"] == 1.0
+        n = len(words(license_join.TEMPLATES[r["doc_id"]][1]))
+        # Leading words that occur again in the notice may be left out of its span.
+        assert any(2 <= s["first_word"] <= 4 and s["end_word"] == 2 + n for s in r["spans"])
+    twice = [(1, "Released under the MIT License. Released under the MIT License."), (2, "released " + "x " * 9 + "under the mit license " + "x " * 9 + "released")]
+    got = {r["doc_id"]: r["spans"] for r in license_join.scan(frame(spark, twice)).collect()}
+    assert [(s["block"], s["first_word"], s["end_word"]) for s in got[1]] == [(0, 0, 5), (0, 5, 10)]
+    assert [(s["first_word"], s["end_word"], s["containment"]) for s in got[2]] == [(10, 14, 0.8)]
+
+
+def test_license_windows_are_exact():
+    rng = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(12)]
+    templates = [(f"t{k}", " ".join(rng.sample(vocabulary, rng.randrange(1, 9)))) for k in range(8)]
+    for threshold in (0.5, 0.8, 1.0):
+        index = license_join.TemplateIndex(templates, {w.encode(): rng.randrange(50) for w in vocabulary}, threshold)
+        for _ in range(200):
+            text = [rng.choice([*vocabulary, *["other"] * 12]).encode() for _ in range(rng.randrange(0, 60))]
+            best = {}
+            for k, (_, t) in enumerate(templates):
+                own, width = {*t.encode().split()}, -(-len(t.split()) * 3 // 2)
+                n = max((len(own & {*text[i : i + width]}) for i in range(len(text))), default=0)
+                if n >= threshold * len(own) - 1e-9:
+                    best[k] = n / len(own)
+            got = {}
+            for k, a, b, c in index.spans(text):
+                assert b - a <= index.width[k] and c == len({*text[a:b]} & {*templates[k][1].encode().split()}) / len(templates[k][1].split())
+                got[k] = max(got.get(k, 0), c)
+            assert got == best
+
+
 # --- 4: decontamination ----------------------------------------------------------------------------
 
 
