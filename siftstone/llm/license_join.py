@@ -9,8 +9,9 @@ a = ceil(threshold * n), so a matching block must hold one of the template's fir
 token have enough tokens left on both sides to still reach a (positional filter). The filters judge the
 stretches of text within the longest window's reach of a prefix token, which hold all blocks that can
 match; in those that pass, the windows slide word by word and are verified by their full overlap. Of
-overlapping windows the best is reported, cut to the shortest span with these words. The templates
-are a short list in the program, so their index goes to every task.
+overlapping windows the best is reported, cut to the shortest span with these words. A window must
+also hold the words by which a template differs from other licenses' notices (their names). The
+templates are a short list in the program, so their index goes to every task.
 
 Beside it every place is found where a base phrase's words stand consecutively, across
 line ends too.
@@ -50,6 +51,8 @@ TEMPLATES: list[tuple[str, str]] = [
             "provided that the following conditions are met"),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 ]
+# Names that a block must hold if its template does: other licenses have the remaining words.
+NAMES = frozenset("mit apache gnu general public cc nc noncommercial sharealike creative commons mozilla".encode().split())
 # Words of a block per word of the template.
 WINDOW = 1.5
 # Base phrases by label.
@@ -73,6 +76,7 @@ class TemplateIndex:
         self.rank = {w: i for i, w in enumerate(vocabulary)}
         self.labels = [label for label, _ in sets]
         self.tokens = [sorted(self.rank[w] for w in s) for _, s in sets]
+        self.names = [{self.rank[w] for w in NAMES.intersection(s)} for _, s in sets]
         self.width = [math.ceil(WINDOW * len(words(t.encode()))) for _, t in templates]
         self.reach = max(self.width, default=0)
         self.need = [max(1, math.ceil(threshold * len(t) - 1e-9)) for t in self.tokens]
@@ -141,7 +145,7 @@ class TemplateIndex:
                 if not count[old]:
                     del count[old]
                 left += 1
-            if len(count) >= self.need[k]:
+            if len(count) >= self.need[k] and count.keys() >= self.names[k]:
                 new = (at[left][0], i + 1, len(count))
                 if not best or new[0] >= best[-1][1]:
                     best.append(new)

@@ -208,6 +208,18 @@ def test_license_windows_are_exact():
             assert got == best
 
 
+def test_license_names_decide(spark):
+    others = [
+        "Released under the BSD License.", "Released under the Apache License, Version 2.0.", "Licensed under the Mozilla Public License, Version 2.0.",
+        "Licensed under CC BY-SA 4.0.", "Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+        "It was released in May under a new name, and " + "so on " * 30 + "the license of mit " + "and more " * 30,
+    ]
+    cc = "This work is licensed under a Creative Commons Attribution-{} 4.0 International License"
+    rows = [*enumerate(others), (50, cc.format("NonCommercial")), (51, cc.format("ShareAlike")), (52, "Released under\nthe terms of the MIT\nLicense")]
+    got = {r["doc_id"]: r["labels"] for r in license_join.scan(frame(spark, rows)).collect()}
+    assert got == {0: "", 1: "apache", 2: "", 3: "", 4: "", 5: "", 6: "", 50: "cc-by-nc", 51: "cc-by-sa", 52: "mit"}
+
+
 # --- 4: decontamination ----------------------------------------------------------------------------
 
 
