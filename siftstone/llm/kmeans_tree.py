@@ -108,14 +108,15 @@ class Tree:
                     todo.append((child, own))
         return out
 
-    def visits(self, q: np.ndarray, most: int) -> list[int]:
-        """The first leaves of a best-bin-first walk."""
+    def visits(self, q: np.ndarray, most: int, sizes: dict[int, int] | None = None, least: int = 0) -> list[int]:
+        """The first leaves of a best-bin-first walk, and those after them until leaves of these sizes give the least number of rows."""
         key = self.centres @ q + np.linalg.norm(q) * self.spread
-        heap, out = [(-key[0], 0)], []
-        while heap and len(out) < most:
+        heap, out, met = [(-key[0], 0)], [], 0
+        while heap and (len(out) < most or sizes is not None and met < least):
             _, node = heapq.heappop(heap)
             if self.leaf[node] >= 0:
                 out.append(self.leaf[node])
+                met += sizes.get(self.leaf[node], 0) if sizes is not None else 0
             for child in self.children[node]:
                 heapq.heappush(heap, (-key[child], child))
         return out
@@ -225,7 +226,7 @@ def build(
 
 def search(index: Index, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: up to k nearest of each usable query but itself."""
-    tree, visits, dim = index.tree, index.visits, index.tree.centres.shape[1]
+    tree, visits, sizes, dim = index.tree, index.visits, index.sizes, index.tree.centres.shape[1]
     own = queries.select(F.col(id_col).cast("long").alias("query_id"), F.col(vector_col).alias("v")).filter(
         F.col("query_id").isNotNull() & usable(F.col("v")) & (F.size("v") == dim)
     ).dropDuplicates()
@@ -236,7 +237,8 @@ def search(index: Index, queries: DataFrame, k: int, id_col: str = "vec_id", vec
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                seen = [tree.visits(v, visits) for v in matrix(batch.column(0))]
+                # k + 1, as the query's own row is one of them.
+                seen = [tree.visits(v, visits, sizes, k + 1) for v in matrix(batch.column(0))]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(1), batch.column(0), pa.array(seen, pa.list_(pa.int64()))], ["qid", "v", "leaves"]
                 )

@@ -147,6 +147,17 @@ def test_nearest_neighbours(spark):
     assert kmeans_tree.build(few.filter("false")) is None
 
 
+def test_nearest_neighbours_of_small_leaves(spark):
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(60, 8)).repeat(5, 0) + 0.001 * rng.normal(size=(300, 8))  # tight clusters of fewer than k rows
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    index = kmeans_tree.build(df, k=4, leaf_size=8)
+    index.visits = 1
+    assert max(index.sizes.values()) < 21
+    got = kmeans_tree.search(index, df, 20).groupBy("query_id").count().collect()
+    assert len(got) == 300 and {r["count"] for r in got} == {20}
+
+
 # --- 3: license scan -----------------------------------------------------------------------------
 
 
