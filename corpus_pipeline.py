@@ -8,7 +8,7 @@ return the columns of documents.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftstone.llm import bayes_lsh, cnn, gam, positional_index, sp_agenda
@@ -28,11 +28,30 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one with the smallest id. Rows with equal ids are one document; rows
-    without an id stay."""
-    classes = bayes_lsh.similar_documents(docs, threshold=0.8, shingle=5)
-    gone = classes.filter("doc_id <> class_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group stays: the one with the smallest id (of its texts the one with the smallest hash). Texts
+    under one id are told apart; rows without an id or without words stay."""
+    classes = bayes_lsh.similar_documents(docs, threshold=0.8, shingle=5, hashed=True)
+    members = classes.filter("doc_id is not null and n_links > 0").groupBy("class_key", F.struct("doc_id", "h").alias("own")).agg(F.count("*").alias("n"))
+    members = materialise(members, "members")
+    first = members.groupBy("class_key").agg(F.min("own").alias("first"))
+    named = members.join(first, "class_key").select(
+        F.col("own.doc_id").alias("__id"), F.col("own.h").alias("__h"), "n", (F.col("own") != F.col("first")).alias("gone")
+    )
+    h = bayes_lsh.text_hash("text")
+
+    def same(rows: DataFrame) -> Column:
+        return (rows["doc_id"] == F.col("__id")) & (h == F.col("__h"))
+
+    gone = named.filter("gone").select("__id", "__h")
+    copied = materialise(named.filter("not gone and n > 1").select("__id", "__h"), "copied")
+    kept = docs.join(gone, same(docs), "left_anti")
+    if copied.isEmpty():
+        return kept.select(*docs.columns)
+    # Equal rows under one id: one of each stays, the least by its remaining columns.
+    rest = F.to_json(F.struct(*docs.columns))
+    place = F.row_number().over(Window.partitionBy("doc_id", h).orderBy(rest))
+    one = docs.join(copied, same(docs), "left_semi").withColumn("__place", place).filter("__place = 1")
+    return kept.join(copied, same(kept), "left_anti").select(*docs.columns).unionByName(one.select(*docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

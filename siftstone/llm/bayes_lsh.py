@@ -28,7 +28,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, materialise, words_of
@@ -98,8 +98,13 @@ def least_matches(threshold: float, tolerance: float) -> list[int]:
     return out
 
 
-def signatures(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """id, key (digest of the shingle set), n (shingles), signature, buckets of each document with an id."""
+def text_hash(text_col: str) -> Column:
+    """Tells texts under one id apart; null is as empty."""
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h")
+
+
+def signatures(docs: DataFrame, shingle: int, id_col: str, text_col: str, hashed: bool = False) -> DataFrame:
+    """id, key (digest of the shingle set), n (shingles), signature, buckets and with hashed h (hash of the text) of each document with an id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(shingle)
@@ -121,14 +126,15 @@ def signatures(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> Dat
                         pa.array(sizes, pa.int64()),
                         pa.array(sigs, pa.binary()),
                         pa.array(cells, pa.list_(pa.int64())),
+                        *part.columns[2:],
                     ],
-                    ["id", "key", "n", "signature", "buckets"],
+                    ["id", "key", "n", "signature", "buckets", *part.schema.names[2:]],
                 )
 
     return (
         docs.filter(F.col(id_col).isNotNull())
-        .select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-        .mapInArrow(run, "id long, key binary, n long, signature binary, buckets array<bigint>")
+        .select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *([text_hash(text_col)] if hashed else []))
+        .mapInArrow(run, "id long, key binary, n long, signature binary, buckets array<bigint>" + (", h long" if hashed else ""))
     )
 
 
@@ -368,9 +374,13 @@ def similar_documents(
     tolerance: float = 1e-6,
     id_col: str = "doc_id",
     text_col: str = "text",
+    hashed: bool = False,
 ) -> DataFrame:
-    """doc_id, class_id (smallest id of its connected class), n_links (other documents within the threshold)."""
-    signed = materialise(signatures(docs, shingle, id_col, text_col), "signatures")
+    """doc_id, class_id (smallest id of its connected class), n_links (other documents within the threshold).
+
+    With hashed also h (text_hash) and class_key, which tells classes with equal smallest ids apart.
+    """
+    signed = materialise(signatures(docs, shingle, id_col, text_col, hashed), "signatures")
     nodes = materialise(
         signed.groupBy("key").agg(
             F.min("id").alias("rep"),
@@ -398,16 +408,19 @@ def similar_documents(
             F.coalesce("class_id", "rep").alias("class_id"),
             (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
             (F.col("n") == 0).alias("bare"),
+            F.coalesce("label", "key").alias("class_key"),
         )
     )
-    found = signed.select("id", "key").join(result, "key")
+    more = ["h", "class_key"] if hashed else []
+    found = signed.select("id", "key", *more[:1]).join(result, "key")
     bare = F.col("bare")
     named = found.select(
         F.col("id").alias("doc_id"),
         F.when(bare, F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
         F.when(bare, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"),
+        *more,
     )
     unnamed = docs.filter(F.col(id_col).isNull()).select(
         F.col(id_col).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links")
     )
-    return named.unionByName(unnamed)
+    return named.unionByName(unnamed, allowMissingColumns=hashed)

@@ -42,6 +42,17 @@ def test_near_duplicates_leave_one_of_each_class(spark, documents):
     assert kept == {c for _, c, _ in brute_links(rows)}
 
 
+def test_near_duplicates_tell_texts_under_one_id_apart(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(20)) for x in "abcd")
+    # 5 holds a copy of 1's text and a text of its own; the class of b has its smallest id in 5's second text.
+    rows = [(1, a), (5, a), (5, c), (5, b), (9, b), (7, d), (7, d), (7, d + " end"), (None, a), (None, a), (8, ""), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((i, t) for i, t in corpus_pipeline.near_duplicates(spark, docs, SF).collect()), key=repr)
+    ends = {t for i, t in got if i == 7}
+    assert len([1 for i, _ in got if i == 7]) == 1 and ends <= {d, d + " end"}
+    assert [x for x in got if x[0] != 7] == sorted([(1, a), (5, c), (5, b), (None, a), (None, a), (8, ""), (8, "")], key=repr)
+
+
 def test_decontamination_drops_what_brute_force_finds(spark, documents):
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
     rows = [(r["doc_id"], r["text"]) for r in documents.collect()]
