@@ -152,10 +152,12 @@ def segment(text: str | None, d: Dictionary, method: str = "path", mode: str = "
     """word, offset, idf and attr of each unit of a text."""
     out = []
     cut = {"path": best_path, "forward": forward_longest, "reverse": reverse_longest}[method]
-    for m in UNIT.finditer(text or ""):
-        unit, at = m.group(), m.start()
+    text, end = text or "", 0
+    while m := UNIT.search(text, end):
+        unit, at, end = m.group(), m.start(), m.end()
         if ord(unit[0]) < 0x3040:
             words: list[tuple[str, Rule | None]] = [(unit[:LONGEST_UNIT].lower(), None)]
+            end = min(end, at + LONGEST_UNIT)  # the rest of a longer unit goes on as the next one
         else:
             words = apply_rules(cut(unit, d), d.rules)
         for w, rule in words:

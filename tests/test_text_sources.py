@@ -80,6 +80,11 @@ def test_segmentation():
     assert segment.segment(None, d) == []
 
 
+def test_segment_goes_on_after_the_longest_unit():
+    got = segment.segment("x" * 70 + "-End " + "7" * 34, segment.Dictionary(WORDS))
+    assert [(w["word"], w["off"]) for w in got] == [("x" * 33, 0), ("x" * 33, 33), ("xxxx-end", 66), ("7" * 33, 75), ("7", 108)]
+
+
 def test_name_rules():
     after = segment.Rule(frozenset("王"), "after", "nr", most=2, exclude=frozenset("的"))
     before = segment.Rule(frozenset("镇"), "before", "ns", least=1, most=2)
