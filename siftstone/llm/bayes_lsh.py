@@ -112,7 +112,10 @@ def signatures(docs: DataFrame, shingle: int, id_col: str, text_col: str, hashed
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 keys, sizes, sigs, cells = [], [], [], []
-                for t in as_bytes(part.column(1)):
+                texts = as_bytes(part.column(1))
+                # As text_hash.
+                hashes = np.fromiter((xxhash.xxh64_intdigest(t, seed=42) for t in texts), np.uint64, len(texts)) if hashed else None
+                for t in texts:
                     s = shingles(t)
                     keys.append(hashlib.md5(s.tobytes()).digest())
                     sizes.append(len(s))
@@ -126,14 +129,14 @@ def signatures(docs: DataFrame, shingle: int, id_col: str, text_col: str, hashed
                         pa.array(sizes, pa.int64()),
                         pa.array(sigs, pa.binary()),
                         pa.array(cells, pa.list_(pa.int64())),
-                        *part.columns[2:],
+                        *([pa.array(hashes.view(np.int64))] if hashed else []),
                     ],
-                    ["id", "key", "n", "signature", "buckets", *part.schema.names[2:]],
+                    ["id", "key", "n", "signature", "buckets", *(["h"] if hashed else [])],
                 )
 
     return (
         docs.filter(F.col(id_col).isNotNull())
-        .select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *([text_hash(text_col)] if hashed else []))
+        .select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
         .mapInArrow(run, "id long, key binary, n long, signature binary, buckets array<bigint>" + (", h long" if hashed else ""))
     )
 
