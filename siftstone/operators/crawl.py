@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from urllib.parse import quote, urljoin
 
 import pyarrow as pa
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import html_links, url_host, url_key
+from ..storage import Workspace, materialise
 
 
 def first_by_url(pages: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -53,47 +55,113 @@ def new_urls(found: DataFrame, seen: DataFrame) -> DataFrame:
 
 
 def frontier(urls: DataFrame, order: str, turns: int | None = None) -> DataFrame:
-    """Round robin over hosts: turn is a URL's place within its host; with turns, only the first ones."""
+    """Round robin over hosts: turn is a URL's place within its host; with turns, only the first ones.
+
+    A host may hold most URLs, so no host is one task: the first turns of a host are taken within salted parts
+    first; without a limit the rows are ranged by (host, order, url) and each range is numbered on from the
+    sizes of those before it. Null order values come first, a null url has a null host; equal rows get turns of
+    their own in no fixed order.
+    """
     hosted = urls.withColumn("host", url_host(F.col("url")))
-    turn = F.row_number().over(Window.partitionBy("host").orderBy(order, "url"))
-    out = hosted.withColumn("turn", turn)
-    return out.filter(F.col("turn") <= turns) if turns else out
+    if turns:
+        salted = hosted.withColumn("__salt", F.pmod(F.xxhash64("url", order), F.lit(64)))
+        first = F.row_number().over(Window.partitionBy("host", "__salt").orderBy(order, "url"))
+        few = salted.withColumn("__first", first).filter(F.col("__first") <= turns).drop("__salt", "__first")
+        return few.withColumn("turn", F.row_number().over(Window.partitionBy("host").orderBy(order, "url"))).filter(F.col("turn") <= turns)
+    ranged = materialise(hosted.repartitionByRange("host", order, "url").withColumn("__range", F.spark_partition_id()), "frontier")
+    sizes = ranged.groupBy("host", "__range").agg(F.count(F.lit(1)).alias("__n"))  # hosts and ranges, not URLs
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy("host").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select(F.col("host").alias("__host"), F.col("__range").alias("__at"), before.alias("__before"))
+    own = F.row_number().over(Window.partitionBy("host", "__range").orderBy(order, "url"))
+    placed = ranged.withColumn("__own", own).join(starts, F.col("host").eqNullSafe(F.col("__host")) & (F.col("__range") == F.col("__at")))
+    return placed.select(*hosted.columns, (F.col("__own") + F.col("__before")).cast("int").alias("turn"))
+
 
+# --- parent chains: pointers that double their reach every round ------------------------------------
 
-def parent_chains(nodes: DataFrame, max_depth: int = 64) -> DataFrame:
+
+def parent_chains(nodes: DataFrame, max_depth: int | None = None) -> DataFrame:
     """id, ancestor, depth for every node and each of its ancestors (depth 1: the parent).
 
-    A recursive query over (id, parent); depth bounds chains, so a cycle ends too.
+    Ancestors up to depth 2k follow from joining those at depth k with what is known so far, so rounds grow
+    with the logarithm of the depth. Null parents end a chain, unknown parents are its last ancestor,
+    repeated rows of a node repeat its pairs. A cycle needs a max_depth; without one it is an error.
+    """
+    ws = Workspace(nodes.sparkSession, "chains")
+    parts = [ws.table(nodes.filter("parent is not null").select("id", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")), "pairs")]
+    reach, most = 1, parts[0].count()
+    while (max_depth is None or reach < max_depth) and (far := parts[-1].filter(F.col("depth") == reach)).limit(1).count():
+        if max_depth is None and reach > most:
+            raise ValueError("parents form a cycle; give a max_depth")
+        known = reduce(DataFrame.unionByName, parts)
+        above = known.select(F.col("id").alias("ancestor"), F.col("ancestor").alias("next"), F.col("depth").alias("more"))
+        pairs = far.join(above, "ancestor").select("id", F.col("next").alias("ancestor"), (F.col("more") + reach).alias("depth"))
+        reach *= 2
+        parts.append(ws.table(pairs if max_depth is None else pairs.filter(F.col("depth") <= max_depth), "pairs"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def chain_ends(nodes: DataFrame) -> DataFrame:
+    """id, depth (number of ancestors), top (the last one) of every node that has a parent; one row a node and round.
+
+    Ids are taken to be distinct, null parents end chains, unknown parents are tops; a cycle is an error.
     """
-    spark = nodes.sparkSession
-    nodes.select("id", "parent").createOrReplaceTempView("__url_nodes")
-    return spark.sql(
-        f"""WITH RECURSIVE chain(id, ancestor, depth) AS (
-              SELECT id, parent, 1 FROM __url_nodes WHERE parent IS NOT NULL
-              UNION ALL
-              SELECT c.id, n.parent, c.depth + 1 FROM chain c JOIN __url_nodes n ON n.id = c.ancestor
-              WHERE n.parent IS NOT NULL AND c.depth < {max_depth})
-            SELECT id, ancestor, depth FROM chain"""
-    )
-
-
-def inherit(nodes: DataFrame, records: DataFrame, fields: list[str], max_depth: int = 64) -> DataFrame:
-    """Records of nodes whose empty fields come from the nearest ancestor's sibling record (``brother``)."""
-    chain = parent_chains(nodes, max_depth)
-    brothers = nodes.filter("brother is not null").select(F.col("id").alias("ancestor"), F.col("brother").alias("rid"))
-    above = chain.join(brothers, "ancestor").join(records.withColumnRenamed("id", "rid"), "rid")
-    nearest = above.groupBy("id").agg(
-        *(F.min_by(f, F.when(F.coalesce(F.col(f), F.lit("")) != "", F.col("depth"))).alias(f"__{f}") for f in fields)
-    )
-    own = records.join(nearest, "id", "left")
-    return own.select("id", *(F.coalesce(F.nullif(F.col(f), F.lit("")), F.col(f"__{f}")).alias(f) for f in fields))
-
-
-def ancestor_of_node(nodes: DataFrame, node_id: int, max_depth: int = 64) -> DataFrame:
-    """For each URL the parent of its nearest ancestor with that template node."""
-    chain = parent_chains(nodes, max_depth)
-    marked = nodes.filter(F.col("nodeid") == node_id).select(F.col("id").alias("ancestor"), "parent")
-    return chain.join(marked, "ancestor").groupBy("id").agg(F.min_by("parent", "depth").alias("parent"))
+    ws = Workspace(nodes.sparkSession, "ends")
+    first = nodes.filter("parent is not null").select("id", F.col("parent").alias("top"), F.lit(1).alias("depth"), F.lit(True).alias("open"))
+    state = ws.table(first, "ends")
+    most, reach = state.count(), 1
+    while state.filter("open").limit(1).count():
+        if reach > 2 * most:
+            raise ValueError("parents form a cycle")
+        above = state.select(F.col("id").alias("top"), F.col("top").alias("further"), F.col("depth").alias("more"))
+        moved = state.filter("open").join(above, "top", "left")
+        moved = moved.select(
+            "id", F.coalesce("further", "top").alias("top"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("more").isNotNull().alias("open")
+        )
+        last, state = state, ws.table(moved.unionByName(state.filter("not open")), "ends")
+        ws.drop(last)
+        reach *= 2
+    return state.select("id", "depth", "top")
+
+
+def nearest_above(nodes: DataFrame, values: DataFrame) -> DataFrame:
+    """id and, for each column of values (id, ...), its value at the nearest ancestor where it is not null.
+
+    A row holds what is known of its ancestors up to a pointer; joining the pointer's row doubles the reach. Rows
+    whose columns are all filled, or whose chain has ended, wait. Ids are taken to be distinct; cycles end,
+    as a pointer need not reach further than there are nodes.
+    """
+    fields = [c for c in values.columns if c != "id"]
+    ws = Workspace(nodes.sparkSession, "above")
+    at_parent = values.select(F.col("id").alias("up"), *fields)
+    state = ws.table(nodes.filter("parent is not null").select("id", F.col("parent").alias("up")).join(at_parent, "up", "left").select("id", "up", *fields), "state")
+    most, reach = state.count(), 1
+    wanting = F.col("up").isNotNull() & reduce(Column.__or__, (F.col(f).isNull() for f in fields))
+    while reach <= most and state.filter(wanting).limit(1).count():
+        beyond = state.select(F.col("id").alias("up"), F.col("up").alias("__up"), *(F.col(f).alias(f"__{f}") for f in fields))
+        moved = state.filter(wanting).join(beyond, "up", "left").select("id", F.col("__up").alias("up"), *(F.coalesce(f, f"__{f}").alias(f) for f in fields))
+        last, state = state, ws.table(moved.unionByName(state.filter(~wanting)), "state")
+        ws.drop(last)
+        reach *= 2
+    return state.select("id", *fields)
+
+
+def inherit(nodes: DataFrame, records: DataFrame, fields: list[str]) -> DataFrame:
+    """Records of nodes whose empty fields come from the nearest ancestor's sibling record (``brother``).
+
+    Null and "" are empty; a record without a node stays as it is; a field empty all the way up is null.
+    """
+    filled = [F.nullif(F.col(f), F.lit("")).alias(f) for f in fields]
+    brothers = nodes.filter("brother is not null").select("id", F.col("brother").alias("rid"))
+    values = brothers.join(records.select(F.col("id").alias("rid"), *filled), "rid").select("id", *fields)
+    above = nearest_above(nodes, values).select("id", *(F.col(f).alias(f"__{f}") for f in fields))
+    return records.join(above, "id", "left").select("id", *(F.coalesce(F.nullif(F.col(f), F.lit("")), F.col(f"__{f}")).alias(f) for f in fields))
+
+
+def ancestor_of_node(nodes: DataFrame, node_id: int) -> DataFrame:
+    """For each URL the parent of its nearest ancestor with that template node (and a parent)."""
+    values = nodes.filter((F.col("nodeid") == node_id) & F.col("parent").isNotNull()).select("id", F.col("parent").alias("found"))
+    return nearest_above(nodes, values).filter("found is not null").select("id", F.col("found").alias("parent"))
 
 
 @dataclass(frozen=True)

@@ -14,12 +14,14 @@ def latest(changes: DataFrame, key: str, version: str) -> DataFrame:
 
 
 def upsert_actions(current: DataFrame, changes: DataFrame, key: str = "id", crc: str = "crc", version: str = "version") -> DataFrame:
-    """key, action: insert, update (same crc: headers only), reindex (other crc) or disable (status < 0)."""
-    new = latest(changes, key, version).select(key, F.col(crc).alias("new_crc"), F.col("status").alias("new_status"))
-    old = current.select(F.col(key).alias("__key"), F.col(crc).alias("old_crc"))
+    """key, action: insert, update (same crc: headers only), reindex (other crc), disable (status < 0) or
+    ignore (older than the row), as upsert does them."""
+    new = latest(changes, key, version).select(key, F.col(crc).alias("new_crc"), F.col("status").alias("new_status"), F.col(version).alias("new_version"))
+    old = current.select(F.col(key).alias("__key"), F.col(crc).alias("old_crc"), F.col(version).alias("old_version"))
     return new.join(old, new[key] == old["__key"], "left").select(
         key,
-        F.when(F.col("new_status") < 0, "disable")
+        F.when(F.col("new_version") < F.col("old_version"), "ignore")
+        .when(F.col("new_status") < 0, "disable")
         .when(F.col("__key").isNull(), "insert")
         .when(F.col("old_crc") == F.col("new_crc"), "update")
         .otherwise("reindex")
@@ -50,14 +52,21 @@ def upsert(current: DataFrame, changes: DataFrame, key: str = "id", crc: str = "
 
 
 def category_updates(docs: DataFrame, updates: DataFrame) -> DataFrame:
-    """Fold (id, seq, op, bits) changes of the category in order: set adds bits, unset removes them."""
-    ordered = updates.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("seq", "op", "bits"))).alias("ops"))
-    folded = F.aggregate(
-        F.coalesce("ops", F.array().cast("array<struct<seq:bigint,op:string,bits:bigint>>")),
-        F.col("category").cast("long"),
-        lambda acc, u: F.when(u["op"] == "set", acc.bitwiseOR(u["bits"])).otherwise(acc.bitwiseAND(F.bitwise_not(u["bits"]))),
-    )
-    return docs.join(ordered, "id", "left").withColumn("category", folded).drop("ops")
+    """docs with the category after (id, seq, op, bits) changes: set adds bits, any other op removes them.
+
+    The last change of each bit decides about it (of equal seq the removal), so an id's changes are partial
+    maxima and never meet as a list. Changes with a null id or bits, or of unknown ids, have no effect; seq is
+    below 2**62; a null category stays null unless bits are changed, then it counts as 0.
+    """
+    bit = F.explode(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda b: F.call_function("getbit", F.col("bits"), b) == 1))
+    each = updates.filter("id is not null and seq is not null").select("id", (F.col("seq") * 2 + F.when(F.col("op") == "set", 0).otherwise(1)).alias("at"), bit.alias("bit"))
+    last = each.groupBy("id", "bit").agg(F.max("at").alias("at"))
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))
+    changed = last.groupBy("id").agg(F.bit_or(mask).alias("__bits"), F.bit_or(F.when(F.col("at") % 2 == 0, mask).otherwise(F.lit(0).cast("long"))).alias("__set"))
+    old = F.coalesce(F.col("category").cast("long"), F.lit(0).cast("long"))
+    value = old.bitwiseAND(F.bitwise_not(F.col("__bits"))).bitwiseOR(F.col("__set"))
+    folded = F.when(F.col("__bits").isNull(), F.col("category").cast("long")).otherwise(value)
+    return docs.join(changed, "id", "left").withColumn("category", folded).drop("__bits", "__set")
 
 
 def field_updates(docs: DataFrame, updates: DataFrame, column: str, version: str = "version") -> DataFrame:

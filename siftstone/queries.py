@@ -12,6 +12,7 @@ from .operators import crawl, index, ingest, segment, summary
 from .operators.search import Search, expand_synonyms, facet_counts, group_counts
 from .plans.query import Range, SearchQuery, parse_params
 from .sources import dumps
+from .storage import shared_dir
 from .streaming import flows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -358,8 +359,7 @@ def _url_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def parent_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chain = crawl.parent_chains(_url_nodes(spark, sf_dir))
-    return chain.groupBy("id").agg(F.max("depth").alias("depth"), F.min("ancestor").alias("top"))
+    return crawl.chain_ends(_url_nodes(spark, sf_dir))
 
 
 @query
@@ -510,8 +510,6 @@ def work_queue_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def stream_event_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file stream over events, folded batch by batch into the last event of each user."""
-    from .streaming.shared import shared_dir
-
     schema = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
     source = table(spark, sf_dir, "events")
     path, out, check = (shared_dir(spark, n) for n in ("stream-in", "stream-out", "stream-check"))

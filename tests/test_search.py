@@ -110,3 +110,18 @@ def test_merge_keeps_old_where_new_is_empty(spark):
     old = spark.createDataFrame([(1, "f1", "f2")], "id long, f1 string, f2 string")
     new = spark.createDataFrame([(1, "", "x")], "id long, f1 string, f2 string")
     assert tuple(ingest.merge_records(old, new, "id", ["f1", "f2"]).first()) == (1, "f1", "x")
+
+
+def test_stale_changes_are_ignored_by_both(spark):
+    schema = "id long, version long, crc string, status int, rank double, body string"
+    old = spark.createDataFrame([(1, 5, "a", 0, 1.0, "one")], schema)
+    late = spark.createDataFrame([(1, 4, "x", -1, 9.0, "late")], schema)
+    assert ingest.upsert(old, late).collect() == old.collect()
+    assert [r["action"] for r in ingest.upsert_actions(old, late).collect()] == ["ignore"]
+
+
+def test_category_changes(spark):
+    docs = spark.createDataFrame([(1, 5), (2, None), (3, 8), (4, None)], "id long, category long")
+    rows = [(1, 1, "set", 2), (1, 2, "unset", 1), (1, 3, "set", 1), (1, 3, "unset", 4), (2, 1, "set", -(1 << 63)), (3, 1, "unset", 8), (3, 1, "set", 8), (None, 1, "set", 1), (9, 1, "set", 1), (4, 1, "set", None)]
+    got = ingest.category_updates(docs, spark.createDataFrame(rows, "id long, seq long, op string, bits long"))
+    assert {r["id"]: r["category"] for r in got.collect()} == {1: 3, 2: -(1 << 63), 3: 0, 4: None}

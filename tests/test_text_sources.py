@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from siftstone.functions import markup, text
@@ -59,6 +60,37 @@ def test_parent_cycle_ends(spark):
     assert crawl.parent_chains(nodes, 5).agg(F.max("depth")).first()[0] == 5
 
 
+def test_long_chains_and_cycles(spark):
+    n = 200
+    nodes = spark.createDataFrame([(i, i - 1 if i else None, 1000 + i if i % 150 == 0 else None, i) for i in range(n)], "id long, parent long, brother long, nodeid int")
+    pairs = crawl.parent_chains(nodes)
+    assert pairs.count() == n * (n - 1) // 2 and pairs.filter("id - ancestor <> depth").count() == 0
+    assert {r["id"]: (r["depth"], r["top"]) for r in crawl.chain_ends(nodes).collect()} == {i: (i, 0) for i in range(1, n)}
+    records = spark.createDataFrame([(i, "" if i < 1000 else f"b{i}") for i in [*range(n), 1000, 1150]], "id long, f string")
+    got = {r["id"]: r["f"] for r in crawl.inherit(nodes, records, ["f"]).collect()}
+    assert got[0] is None and got[1] == got[150] == "b1000" and got[151] == got[199] == "b1150"
+    assert {r["id"]: r["parent"] for r in crawl.ancestor_of_node(nodes, 5).collect()} == {i: 4 for i in range(6, n)}
+    ring = spark.createDataFrame([(1, 2), (2, 1), (3, 1)], "id long, parent long")
+    for run in (crawl.parent_chains, crawl.chain_ends):
+        with pytest.raises(ValueError, match="cycle"):
+            run(ring)
+    assert crawl.nearest_above(ring, spark.createDataFrame([(9, "x")], "id long, v string")).filter("v is not null").count() == 0
+    none = nodes.limit(0)
+    assert crawl.parent_chains(none).count() == crawl.chain_ends(none).count() == crawl.ancestor_of_node(none, 1).count() == 0
+
+
+def test_frontier_numbers_a_hot_host(spark):
+    rows = [(i, f"http://{'hot' if i % 3 else 'h' + str(i % 5)}.com/{i}") for i in range(300)] + [(None, None), (7, "http://hot.com/7")]
+    urls = spark.createDataFrame(rows, "k long, url string")
+    full = {}
+    for r in crawl.frontier(urls, "k").collect():
+        full.setdefault(r["host"], []).append((r["turn"], r["k"], r["url"]))
+    for host, own in full.items():
+        assert sorted(t for t, *_ in own) == list(range(1, len(own) + 1)), host
+        assert [k for _, k, _ in sorted(own)] == sorted((k for _, k, _ in own), key=lambda k: (k is not None, k))
+    assert sorted((r["host"] or "", r["turn"]) for r in crawl.frontier(urls, "k", 3).collect()) == sorted((h or "", t) for h, own in full.items() for t, *_ in own if t <= 3)
+
+
 def test_templates(spark):
     pages = spark.createDataFrame([(1, "<b>x=1</b><b>x=2</b><i>x=3</i>"), (2, None)], "page_id long, html string")
     t = crawl.Template(r"x=(\d)", ("v",), all_rows=True)
