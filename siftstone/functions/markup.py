@@ -7,12 +7,12 @@ import re
 import zlib
 from collections.abc import Callable
 from html import unescape
+from urllib.parse import quote, urljoin
 
 import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.crawl import resolve
 
 # Byte order marks, longest first.
 MARKS = (
@@ -104,6 +104,43 @@ def sentences(text: str | None) -> list[str]:
     return [s for s in (x.strip() for x in SENTENCE.split(text or "")) if s]
 
 
+def strip_html(html: str | None) -> str | None:
+    """Visible text of a page, as html_strip."""
+    if html is None:
+        return None
+    html = re.sub(r"(?s)<!--.*?-->", " ", html)
+    html = re.sub(r"(?is)<(script|style)[^>]*>.*?</\1>", " ", html)
+    return " ".join(unescape(TAG.sub(" ", html)).split())
+
+
+def join_url(base: str | None, link: str | None) -> str | None:
+    """Absolute form of a link, as absolute_url; null where there is none."""
+    if base is None or link is None:
+        return None
+    try:
+        return quote(urljoin(base, link.strip()), safe="%/:?#[]@!$&'()*+,;=~-._")
+    except ValueError:
+        return None
+
+
+def mark_terms(text: str | None, terms: list[str] | None) -> str | None:
+    """Whole words of a text that are one of the terms in <b> and </b>."""
+    plain = sorted({t for t in terms or () if t}, key=len, reverse=True)
+    if text is None or not plain:
+        return text
+    return re.sub(rf"(?i)(?<!\w)({'|'.join(map(re.escape, plain))})(?!\w)", r"<b>\1</b>", text)
+
+
+def _pairs(fn: Callable):
+    """An Arrow-batched string function of two columns."""
+
+    @F.arrow_udf("string")
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array([fn(x, y) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.string())
+
+    return run
+
+
 def _udf(fn: Callable, kind: str):
     """An Arrow-batched function of one column; made on the driver, as it needs a session."""
 
@@ -138,8 +175,12 @@ def sentences_of(text: Column) -> Column:
     return _udf(sentences, "array<string>")(text)
 
 
-def register(spark: SparkSession) -> None:
-    """Make the functions callable from SQL: charset_of, utf8_of, html_blocks, text_sentences, url_join."""
+def register(spark: SparkSession, dictionary=None) -> None:
+    """Make the functions callable from SQL: charset_of, utf8_of, html_blocks, text_sentences, html_text, url_join,
+    highlight and, with a dictionary (of operators.segment), segment.
+
+    They are Arrow-batched; DataFrame code has html_strip, absolute_url and highlight of functions.text as Columns.
+    """
     for name, fn, kind in (
         ("charset_of", detect_charset, "string"),
         ("utf8_of", to_utf8, "string"),
@@ -148,8 +189,17 @@ def register(spark: SparkSession) -> None:
     ):
         spark.udf.register(name, _udf(fn, kind))
 
-    @F.arrow_udf("string")
-    def url_join(b: pa.Array, x: pa.Array) -> pa.Array:
-        return pa.array([resolve(i, j) for i, j in zip(b.to_pylist(), x.to_pylist(), strict=True)], pa.string())
+    spark.udf.register("html_text", _udf(strip_html, "string"))
+    spark.udf.register("url_join", _pairs(join_url))
+    spark.udf.register("highlight", _pairs(mark_terms))
+    if dictionary is not None:
+        from ..operators.segment import segment
+
+        shared = spark.sparkContext.broadcast(dictionary)
+
+        @F.arrow_udf("array<struct<word:string,off:int,idf:double,attr:string>>")
+        def run(x: pa.Array) -> pa.Array:
+            kind = pa.list_(pa.struct([("word", pa.string()), ("off", pa.int32()), ("idf", pa.float64()), ("attr", pa.string())]))
+            return pa.array([segment(v, shared.value) for v in x.to_pylist()], kind)
 
-    spark.udf.register("url_join", url_join)
+        spark.udf.register("segment", run)

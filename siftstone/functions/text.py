@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,14 +34,29 @@ def leading_number(text: Column, kind: str) -> Column:
 
 # --- HTML -----------------------------------------------------------------------------------
 
-# The five entities that regular markup needs, decoded last to first.
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
+# Code points of the named entities; a no-break space becomes a blank.
+ENTITIES = {**{name: chr(code) for name, code in name2codepoint.items()}, "apos": "'", "nbsp": " "}
+REFERENCE = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
 
 
 def decode_entities(text: Column) -> Column:
-    for name, char in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return text
+    """Named and numeric character references, each decoded once; unknown ones stay, impossible numbers become U+FFFD."""
+    table = F.create_map(*(F.lit(x) for kv in ENTITIES.items() for x in kv))
+
+    def char(name: Column) -> Column:
+        hexadecimal = F.conv(F.substring(name, 3, 6), 16, 10).cast("int")
+        code = F.when(F.lower(F.substring(name, 2, 1)) == "x", hexadecimal).otherwise(F.substring(name, 2, 7).try_cast("int"))
+        real = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        number = F.when(real, F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 8, "0")), "UTF-32")).otherwise("\ufffd")
+        return F.when(F.substring(name, 1, 1) == "#", number).otherwise(F.try_element_at(table, name))
+
+    def piece(part: Column) -> Column:
+        name = F.regexp_extract(part, REFERENCE, 1)
+        return F.coalesce(F.concat(char(F.nullif(name, F.lit(""))), F.substring(part, F.length(name) + 2, F.lit(1 << 30))), F.concat(F.lit("&"), part))
+
+    parts = F.split(text, "&")
+    rest = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), piece)
+    return F.when(F.instr(text, "&") == 0, text).otherwise(F.concat(F.get(parts, 0), F.array_join(rest, "")))
 
 
 def squeeze(text: Column) -> Column:
@@ -89,6 +107,54 @@ def url_template(pattern: str, *groups: Column) -> Column:
     return out
 
 
+# Characters that stay as they are in an absolute link.
+LINK_SAFE = "/:?#[]@!$&'()*+,;=~%"
+
+
+def percent_encoded(text: Column) -> Column:
+    """Blanks and non-ASCII characters as %XX; characters with a meaning in URLs, and % itself, stay."""
+    out = F.replace(F.url_encode(text), F.lit("+"), F.lit("%20"))
+    for c in LINK_SAFE:  # the percent sign comes last
+        out = F.replace(out, F.lit(f"%{ord(c):02X}"), F.lit(c))
+    return out
+
+
+def without_dots(path: Column) -> Column:
+    """A path without . and .. segments."""
+
+    def step(acc: Column, seg: Column) -> Column:
+        up = F.when(F.size(acc) > 1, F.slice(acc, 1, F.size(acc) - 1)).otherwise(acc)
+        return F.when(seg == ".", acc).when(seg == "..", up).otherwise(F.concat(acc, F.array(seg)))
+
+    segments = F.split(path, "/")
+    kept = F.aggregate(segments, F.array().cast("array<string>"), step)
+    ended = F.element_at(segments, -1).isin(".", "..")
+    joined = F.array_join(kept, "/")
+    return F.when(F.contains(path, F.lit("/.")), F.when(ended, F.concat(joined, F.lit("/"))).otherwise(joined)).otherwise(path)
+
+
+def absolute_url(base: Column, link: Column) -> Column:
+    """A link of a page as an absolute URL: with a scheme, //host, /path, ?query, #part or beside the page; . and ..
+    segments resolved, blanks and non-ASCII characters percent-encoded; null if either is null."""
+    link = F.trim(F.regexp_replace(link, r"[\r\n\t]", ""))
+    origin = F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", 0)
+    rest = F.substring(base, F.length(origin) + 1, F.lit(1 << 30))
+    path = F.regexp_extract(rest, r"^[^?#]*", 0)
+    folder = F.concat(F.lit("/"), F.regexp_extract(path, r"^/(.*/)?", 1))
+    own_path = F.regexp_extract(link, r"^[^?#]*", 0)
+    tail = F.substring(link, F.length(own_path) + 1, F.lit(1 << 30))
+    beside = F.concat(origin, without_dots(F.when(F.startswith(link, F.lit("/")), own_path).otherwise(F.concat(folder, own_path))), tail)
+    joined = (
+        F.when(link == "", base)
+        .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), link)
+        .when(F.startswith(link, F.lit("//")), F.concat(F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.-]*:", 0), link))
+        .when(F.startswith(link, F.lit("?")), F.concat(origin, path, link))
+        .when(F.startswith(link, F.lit("#")), F.concat(F.regexp_extract(base, r"^[^#]*", 0), link))
+        .otherwise(beside)
+    )
+    return F.when(base.isNotNull() & link.isNotNull(), percent_encoded(joined))
+
+
 def query_args(query: Column) -> Column:
     """Map of decoded arguments of k=v&k=v; control characters become _."""
     pairs = F.str_to_map(query, F.lit("&"), F.lit("="))
@@ -97,11 +163,68 @@ def query_args(query: Column) -> Column:
 
 
 # Media types by extension.
-MIME = {
-    "html": "text/html", "htm": "text/html", "txt": "text/plain", "xml": "text/xml", "css": "text/css", "js": "text/javascript",
-    "json": "application/json", "pdf": "application/pdf", "zip": "application/zip", "gz": "application/gzip", "gif": "image/gif",
-    "jpg": "image/jpeg", "jpeg": "image/jpeg", "png": "image/png", "svg": "image/svg+xml", "mp3": "audio/mpeg", "mp4": "video/mp4",
-}
+MIME_TYPES = (
+    ("text/html", "html htm shtml"),
+    ("text/css", "css"),
+    ("text/xml", "xml"),
+    ("image/gif", "gif"),
+    ("image/jpeg", "jpeg jpg"),
+    ("application/x-javascript", "js"),
+    ("application/atom+xml", "atom"),
+    ("application/rss+xml", "rss"),
+    ("text/mathml", "mml"),
+    ("text/plain", "txt php am in cpp c h m4 sh guess sub awk"),
+    ("text/vnd.sun.j2me.app-descriptor", "jad"),
+    ("text/vnd.wap.wml", "wml"),
+    ("text/x-component", "htc"),
+    ("image/png", "png"),
+    ("image/tiff", "tif tiff"),
+    ("image/vnd.wap.wbmp", "wbmp"),
+    ("image/x-icon", "ico"),
+    ("image/x-jng", "jng"),
+    ("image/x-ms-bmp", "bmp"),
+    ("image/svg+xml", "svg"),
+    ("application/java-archive", "jar war ear"),
+    ("application/mac-binhex40", "hqx"),
+    ("application/msterm", "doc"),
+    ("application/pdf", "pdf"),
+    ("application/postscript", "ps eps ai"),
+    ("application/rtf", "rtf"),
+    ("application/vnd.ms-excel", "xls"),
+    ("application/vnd.ms-powerpoint", "ppt"),
+    ("application/vnd.wap.wmlc", "wmlc"),
+    ("application/vnd.wap.xhtml+xml", "xhtml"),
+    ("application/vnd.google-earth.kml+xml", "kml"),
+    ("application/vnd.google-earth.kmz", "kmz"),
+    ("application/x-cocoa", "cco"),
+    ("application/x-java-archive-diff", "jardiff"),
+    ("application/x-java-jnlp-file", "jnlp"),
+    ("application/x-makeself", "run"),
+    ("application/x-perl", "pl pm"),
+    ("application/x-pilot", "prc pdb"),
+    ("application/x-rar-compressed", "rar"),
+    ("application/x-redhat-package-manager", "rpm"),
+    ("application/x-sea", "sea"),
+    ("application/x-shockwave-flash", "swf"),
+    ("application/x-stuffit", "sit"),
+    ("application/x-tcl", "tcl tk"),
+    ("application/x-x509-ca-cert", "der pem crt"),
+    ("application/x-xpinstall", "xpi"),
+    ("application/zip", "zip"),
+    ("application/octet-stream", "bin exe dll deb dmg eot img iso msi msp msm"),
+    ("audio/midi", "mid midi kar"),
+    ("audio/mpeg", "mp3"),
+    ("audio/x-realaudio", "ra"),
+    ("video/3gpp", "3gpp 3gp"),
+    ("video/mpeg", "mpeg mpg"),
+    ("video/quicktime", "mov"),
+    ("video/x-flv", "flv"),
+    ("video/x-mng", "mng"),
+    ("video/x-ms-asf", "asx asf"),
+    ("video/x-ms-wmv", "wmv"),
+    ("video/x-msvideo", "avi"),
+)
+MIME = {name: kind for kind, names in MIME_TYPES for name in names.split()}
 
 
 def mime_type(path: Column) -> Column:
@@ -136,7 +259,11 @@ def json_text(text: Column) -> Column:
 
 
 def highlight(text: Column, terms: list[str], open_tag: str = "<b>", close_tag: str = "</b>") -> Column:
-    """Wrap whole words that are one of the (plain) terms."""
+    """Wrap whole words that are one of the terms, which are taken literally."""
     if not terms:
         return text
-    return F.regexp_replace(text, rf"(?i)\b({'|'.join(terms)})\b", f"{open_tag}$1{close_tag}")
+    longest_first = sorted((t for t in terms if t), key=len, reverse=True)
+    plain = "|".join(re.sub(r"([^\w\s])", r"\\\1", t) for t in longest_first)
+    whole = rf"(?i)(?<!\w)({plain})(?!\w)"
+    replacement = "".join(re.sub(r"([\\$])", r"\\\1", x) if i != 1 else x for i, x in enumerate((open_tag, "$1", close_tag)))
+    return F.regexp_replace(text, whole, replacement)

@@ -6,13 +6,12 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
-from urllib.parse import quote, urljoin
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import html_links, url_host, url_key
+from ..functions.text import absolute_url, html_links, url_host, url_key
 from ..storage import Workspace, materialise
 
 
@@ -22,26 +21,6 @@ def first_by_url(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     return firsts.select("url_key", f"p.{id_col}", f"p.{url_col}")
 
 
-def resolve(base: str | None, link: str | None) -> str | None:
-    """Absolute form of a link; blanks and non-ASCII characters percent-encoded."""
-    if base is None or link is None:
-        return None
-    try:
-        return quote(urljoin(base, link.strip()), safe="%/:?#[]@!$&'()*+,;=~-._")
-    except ValueError:
-        return None
-
-
-def resolved(base: Column, link: Column) -> Column:
-    """resolve() in Arrow batches."""
-
-    @F.arrow_udf("string")
-    def run(b: pa.Array, x: pa.Array) -> pa.Array:
-        return pa.array([resolve(i, j) for i, j in zip(b.to_pylist(), x.to_pylist(), strict=True)], pa.string())
-
-    return run(base, link)
-
-
 def link_edges(pages: DataFrame) -> DataFrame:
     """from_host, link, n: links of pages by host."""
     links = pages.select(url_host(F.col("url")).alias("from_host"), F.explode(html_links(F.col("html"))).alias("link"))
@@ -203,9 +182,33 @@ def extract(pages: DataFrame, template: Template, id_col: str = "page_id", html_
     return pages.select(id_col, html_col).mapInArrow(run, f"`{id_col}` {kind}, row int{fields}")
 
 
-def over_extract(pages: DataFrame, item: Template, link: Template) -> tuple[DataFrame, DataFrame]:
-    """Records of pages and their child URLs: an item template gives fields, a link template absolute URLs."""
-    records = extract(pages, item)
-    links = extract(pages, link).join(pages.select("page_id", "url"), "page_id")
-    children = links.select("page_id", resolved(F.col("url"), F.col(link.fields[0])).alias("child")).filter("child is not null")
-    return records, children.dropDuplicates(["page_id", "child"])
+def page_links(pages: DataFrame) -> DataFrame:
+    """page_id, link: absolute links of the pages."""
+    links = pages.select("page_id", "url", F.explode(html_links(F.col("html"))).alias("link"))
+    return links.select("page_id", absolute_url(F.col("url"), F.col("link")).alias("link"))
+
+
+def over_extract(pages: DataFrame, item: Template, link: Template, unique: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Records and child URLs of list pages.
+
+    A page for which ``unique`` holds (a page of one item; null is no) gives its record only. Any other page gives its
+    record and the absolute URLs of its links, one row a child, as nodes whose parent is the page.
+    Pages without a match have no record, links that repeat on a page give one child.
+    """
+    lists = pages if unique is None else pages.filter(~F.coalesce(unique, F.lit(False)))
+    found = extract(lists, link).join(lists.select("page_id", "url"), "page_id")
+    children = found.select("page_id", absolute_url(F.col("url"), F.col(link.fields[0])).alias("child")).filter("child is not null")
+    return extract(pages, item), children.dropDuplicates(["page_id", "child"])
+
+
+def child_records(records: DataFrame, children: DataFrame, nodes: DataFrame, fields: list[str]) -> DataFrame:
+    """Records of pages with empty fields filled from the pages that led to them.
+
+    records have a page's id and fields, children its (page_id, child) links, nodes the (id, url) of the pages;
+    the parent of a page is the least page that links to it, and inheritance runs along these parents (those
+    with larger ids link back and are left out, so there is no cycle).
+    """
+    linked = children.join(nodes.select(F.col("id").alias("__id"), F.col("url").alias("child")), "child").filter("page_id < __id")
+    parents = linked.groupBy(F.col("__id").alias("id")).agg(F.min("page_id").alias("parent"))
+    tree = nodes.select("id", F.col("id").alias("brother")).join(parents, "id", "left")
+    return inherit(tree, records, fields)

@@ -38,6 +38,10 @@ def document_filter(q: SearchQuery, forbidden: bool = False) -> Column:
         parts.append(~F.col("slevel").isin(*q.blocked_levels))
     if q.sections:
         parts.append(F.col("secid").isin(*q.sections))
+    if q.no_sections:
+        parts.append(~F.col("secid").isin(*q.no_sections))
+    if q.database:
+        parts.append(F.col("dbid") == q.database)
     if q.category_block:
         parts.append(~any_bit("category", q.category_block))
     if q.category_all:

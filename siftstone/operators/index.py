@@ -35,11 +35,23 @@ def positions(docs: DataFrame, column: str = "text") -> DataFrame:
     return places.groupBy("id", "term").agg(F.array_sort(F.collect_list("at")).alias("positions"))
 
 
-def bigrams(docs: DataFrame, column: str = "text") -> DataFrame:
-    """Distinct id, left, right: neighbouring words; made inside each row."""
-    w = words(F.col(column))
-    pairs = F.array_distinct(F.arrays_zip(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))).alias("left"), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))).alias("right")))
-    return docs.select("id", F.inline(pairs).alias("left", "right"))
+def bigrams(docs: DataFrame, collection: Collection = DOCUMENTS) -> DataFrame:
+    """id, left, right, field_bit: neighbouring words, once for each text field that has them; made inside each row.
+
+    Pairs are told apart as strings, whose distinct values are hashed; distinct structs are compared one by one.
+    """
+
+    def pairs(name: str, bit: int) -> Column:
+        w = words(F.col(name))
+        n = F.greatest(F.size(w) - 1, F.lit(0))
+        joined = F.array_distinct(F.zip_with(F.slice(w, 1, n), F.slice(w, 2, n), lambda x, y: F.concat(x, F.lit(" "), y)))
+        return F.transform(
+            joined,
+            lambda p: F.struct(F.substring_index(p, " ", 1).alias("left"), F.substring_index(p, " ", -1).alias("right"), F.lit(bit).alias("field_bit")),
+        )
+
+    parts = [pairs(f.name, collection.text_bit(f.number)) for f in collection.text_fields]
+    return docs.select("id", F.inline(F.concat(*parts) if len(parts) > 1 else parts[0]))
 
 
 def terms(posted: DataFrame) -> DataFrame:
@@ -59,28 +71,68 @@ def stats(docs: DataFrame, collection: Collection = DOCUMENTS) -> DataFrame:
     )
 
 
+TABLES = ("docs", "postings", "bigrams", "terms", "stats")
+
+
 @dataclass(frozen=True)
 class Index:
-    """A stored or lazy index: docs with a terms_total column, postings, pairs, one-row statistics."""
+    """A stored or lazy index: docs with a terms_total column, postings, pairs, term and one-row statistics."""
 
     docs: DataFrame
     postings: DataFrame
     bigrams: DataFrame
+    terms: DataFrame
     stats: DataFrame
 
-    def write(self, path: str) -> None:
-        """docs by section; postings sorted by term, so that row groups of other terms are skipped."""
-        self.docs.write.partitionBy("secid").parquet(f"{path}/docs")
+    def write(self, path: str) -> Index:
+        """Store the index: docs by database and section, so that scans of a few prune the rest; postings and pairs
+        ranged and sorted by (term, id), so that row groups of other terms are skipped and a frequent term
+        spreads over ranges. Terms and statistics come from what was stored; returns the stored index."""
+        spark = self.docs.sparkSession
+        parts = [c for c in ("dbid", "secid") if c in self.docs.columns]
+        (self.docs.write.partitionBy(*parts) if parts else self.docs.write).parquet(f"{path}/docs")
         for name, key in (("postings", "term"), ("bigrams", "left")):
-            getattr(self, name).repartitionByRange(key).sortWithinPartitions(key, "id").write.parquet(f"{path}/{name}")
-        self.stats.write.parquet(f"{path}/stats")
+            getattr(self, name).repartitionByRange(key, "id").sortWithinPartitions(key, "id").write.parquet(f"{path}/{name}")
+        stored = spark.read.schema(self.postings.schema).parquet(f"{path}/postings")
+        terms(stored).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/terms")
+        totals(spark.read.schema(self.docs.schema).parquet(f"{path}/docs")).write.parquet(f"{path}/stats")
+        return Index.read(spark, path)
 
     @staticmethod
     def read(spark: SparkSession, path: str) -> Index:
-        return Index(*(spark.read.parquet(f"{path}/{n}") for n in ("docs", "postings", "bigrams", "stats")))
+        return Index(*(spark.read.parquet(f"{path}/{n}") for n in TABLES))
+
+
+def totals(docs: DataFrame) -> DataFrame:
+    """One row: n_docs, n_terms, from counted terms_total columns."""
+    return docs.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum(F.col("terms_total").cast("long")), F.lit(0)).alias("n_terms"))
 
 
 def build(docs: DataFrame, collection: Collection = DOCUMENTS) -> Index:
+    posted = postings(docs, collection)
+    return Index(docs.withColumn("terms_total", length(collection)), posted, bigrams(docs, collection), terms(posted), stats(docs, collection))
+
+
+def update(old: Index, changed: DataFrame, collection: Collection = DOCUMENTS, id_col: str = "id") -> Index:
+    """The index after rows of ``changed`` replaced those with their ids (status < 0: the row stays, its text leaves).
+
+    Only the changed documents are tokenised: their old postings and pairs go by anti-join, their new ones
+    come, and term statistics move by the difference. Ids in ``changed`` are distinct; documents not in it, and
+    terms they alone hold, are left as they are; terms without documents leave.
+    """
+    ids = changed.select(id_col)
+    live = changed.filter("status >= 0")
+    fresh = build(live, collection)
+    gone = old.postings.join(ids, id_col, "left_semi")
+    moved = gone.select("term", F.lit(-1).cast("long").alias("df"), (-F.col("tf")).alias("total")).unionByName(
+        fresh.postings.select("term", F.lit(1).cast("long").alias("df"), F.col("tf").alias("total"))
+    )
+    known = old.terms.select("term", "df", "total").unionByName(moved)
+    docs = old.docs.join(ids, id_col, "left_anti").unionByName(changed.withColumn("terms_total", F.when(F.col("status") >= 0, length(collection)).otherwise(F.lit(0))))
     return Index(
-        docs.withColumn("terms_total", length(collection)), postings(docs, collection), bigrams(docs), stats(docs, collection)
+        docs,
+        old.postings.join(ids, id_col, "left_anti").unionByName(fresh.postings),
+        old.bigrams.join(ids, id_col, "left_anti").unionByName(fresh.bigrams),
+        known.groupBy("term").agg(F.sum("df").alias("df"), F.sum("total").alias("total")).filter("df > 0"),
+        totals(docs),
     )

@@ -9,9 +9,14 @@ from ..plans.query import SearchQuery
 from ..schema import FIXED_POINT, LENGTH_WEIGHT, TF_GAIN, TF_SHIFT
 
 
+def idf_of(n_docs: Column, df: Column) -> Column:
+    """ln((N - n + 0.5) / (n + 0.5))."""
+    return F.ln((n_docs - df + 0.5) / (df + 0.5))
+
+
 def idf(n_docs: Column, df: Column) -> Column:
-    """ln((N - n + 0.5) / (n + 0.5)); 1 where that is negative."""
-    value = F.ln((n_docs - df + 0.5) / (df + 0.5))
+    """idf_of; 1 where that is negative."""
+    value = idf_of(n_docs, df)
     return F.when(value < 0, F.lit(1.0)).otherwise(value)
 
 

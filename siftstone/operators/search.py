@@ -10,16 +10,23 @@ from pyspark.sql import functions as F
 
 from ..functions.text import term_size
 from ..plans.query import SearchQuery
-from ..schema import MAX_GROUPS, PHRASE_FIELD_PAIR, PHRASE_PAIR
-from . import filters, score
+from ..schema import MAX_GROUPS, MAX_SYNONYMS, PHRASE_FIELD_PAIR, PHRASE_PAIR
+from . import filters, score, summary
 from .index import Index
 
 
-def expand_synonyms(terms: tuple[str, ...], synonyms: DataFrame) -> tuple[str, ...]:
-    """Query terms and the other members of their sets (synid, term); only sets of a query term leave Spark."""
-    own = synonyms.filter(F.col("term").isin(*terms)).select("synid").distinct() if terms else None
-    more = [r["term"] for r in synonyms.join(F.broadcast(own), "synid").select("term").distinct().orderBy("term").limit(64).collect()] if own is not None else []
-    return tuple(dict.fromkeys([*terms, *more]))
+def expand_synonyms(terms: tuple[str, ...], synonyms: DataFrame, most: int = MAX_SYNONYMS) -> tuple[str, ...]:
+    """Query terms and the other members of their sets (synid, term); only sets of a query term leave Spark.
+
+    More than ``most`` members are an error, not cut off. Sets with a null id or term do not count.
+    """
+    if not terms:
+        return ()
+    own = synonyms.filter(F.col("term").isin(*terms)).select("synid").distinct()
+    found = synonyms.join(own, "synid").filter("term is not null").select("term").distinct().orderBy("term").limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"the terms have more than {most} synonyms")
+    return tuple(dict.fromkeys([*terms, *(r["term"] for r in found)]))
 
 
 def facet_counts(docs: DataFrame, mask: int, column: str = "category") -> DataFrame:
@@ -56,9 +63,9 @@ class Search:
         spark = self.index.docs.sparkSession
         rows = [(t, i, t in self.down) for i, t in enumerate(q.terms)]
         own = F.broadcast(spark.createDataFrame(rows, "term string, ord int, down boolean"))
-        df = self.index.postings.filter(F.col("term").isin(*q.terms)).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
         return (
-            df.join(own, "term")
+            self.index.terms.filter(F.col("term").isin(*q.terms))
+            .join(own, "term")
             .crossJoin(F.broadcast(self.index.stats))
             .select("term", "ord", "down", "df", "n_docs", "n_terms", score.idf(F.col("n_docs"), F.col("df")).alias("idf"), term_size(F.col("term")).alias("size"))
         )
@@ -122,10 +129,11 @@ class Search:
             return docs, F.lit(0)
         spark = docs.sparkSession
         own = F.broadcast(spark.createDataFrame(pairs, "left string, right string"))
-        hit = self.index.bigrams.join(own, ["left", "right"]).groupBy("id").agg(F.count(F.lit(1)).alias("pairs"))
-        # Pairs come from text field 0; they count more if that field is among the hit fields.
-        each = PHRASE_PAIR + (PHRASE_FIELD_PAIR if q.hit_fields & 1 else 0)
-        return docs.join(hit, "id", "left"), F.coalesce("pairs", F.lit(0)) * (2 * each * q.base_phrase)
+        near = self.index.bigrams.filter(F.col("left").isin(*(a for a, _ in pairs))).join(own, ["left", "right"])
+        in_fields = F.bit_or("field_bit").bitwiseAND(F.lit(q.hit_fields)) != 0
+        each = near.groupBy("id", "left", "right").agg(F.when(in_fields, PHRASE_PAIR + PHRASE_FIELD_PAIR).otherwise(PHRASE_PAIR).alias("each"))
+        hit = each.groupBy("id").agg(F.sum("each").alias("pairs"))
+        return docs.join(hit, "id", "left"), F.coalesce("pairs", F.lit(0)) * (2 * q.base_phrase)
 
     def scored(self) -> DataFrame:
         """filtered with rel (sum of term parts) and score (fixed point)."""
@@ -155,6 +163,20 @@ class Search:
         order = [way(F.col("sort_value")), way(F.col("score")), F.col("id").asc()]
         return narrow.orderBy(*order).limit(q.top).orderBy(*order).offset(q.offset).limit(q.count)
 
-    def page(self, columns: list[str]) -> DataFrame:
-        """The page with display columns: the few ids go to the documents, not the reverse."""
-        return self.index.docs.select("id", *columns).join(F.broadcast(self.hits()), "id")
+    def page(self, columns: list[str] | None = None) -> DataFrame:
+        """The page with display columns (those of the query if none are given): the few ids go to the documents."""
+        columns = [c for c, _ in self.query.display] if columns is None else columns
+        return self.index.docs.select("id", *dict.fromkeys(columns)).join(F.broadcast(self.hits()), "id")
+
+    def response(self) -> DataFrame:
+        """id, json of the page: the query's display columns, marked ones highlighted."""
+        return summary.respond(self.page(), list(dict(self.query.display).items()), list(self.query.terms))
+
+    def term_weights(self) -> list[tuple[str, float]]:
+        """Query terms with the idf of the index (0 where it is not positive), for passages; a few dozen rows."""
+        idf = score.idf_of(F.col("n_docs"), F.col("df"))
+        return [(r["term"], r["w"]) for r in self.term_frame.select("term", "ord", F.greatest(F.round(idf, 6), F.lit(0.0)).alias("w")).orderBy("ord").collect()]
+
+    def passages(self, column: str = "text") -> DataFrame:
+        """Scored lines of the documents on the page, by tf x idf of the index."""
+        return summary.passages(self.page([column]), self.term_weights(), column)

@@ -8,7 +8,7 @@ DOCS = """docs AS (
     ((CASE d.lang WHEN 'en' THEN 1 WHEN 'de' THEN 2 WHEN 'fr' THEN 4 WHEN 'es' THEN 8 ELSE 0 END)
      + (CASE WHEN l.quality = 1 THEN 16 ELSE 0 END) + (CASE WHEN l.toxic = 1 THEN 32 ELSE 0 END))::BIGINT AS category,
     coalesce(l.toxic, 0) AS slevel, 1.0::DOUBLE / (d.doc_id + 1) AS rank,
-    CASE WHEN d.doc_id % 17 = 0 THEN -1 WHEN d.doc_id % 5 = 0 THEN 1 ELSE 0 END AS status, d.doc_id % 4 AS secid
+    CASE WHEN d.doc_id % 17 = 0 THEN -1 WHEN d.doc_id % 5 = 0 THEN 1 ELSE 0 END AS status, d.doc_id % 4 AS secid, d.doc_id % 3 AS dbid
   FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id) l USING (doc_id))"""
 TOKENS = rf"""tok AS (
   SELECT id, unnest(list_filter(regexp_split_to_array(lower(text), '{W}'), lambda x: x <> '')) AS term, 1 AS bit FROM docs
@@ -60,11 +60,29 @@ HOST = f"regexp_extract({LOWER}, '^[a-z]+://([^/?#:]+)', 1)"
 
 
 def decoded(x: str) -> str:
-    for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+    """The references that the tables hold; the ampersand last, so that each is decoded once."""
+    for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")):
         x = f"replace({x}, '{name}', '{char}')"
     return f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
 
 
+def absolute(base: str, link: str) -> str:
+    """A link against its page, for the kinds of links that the tables hold: with a scheme, from the root, or beside the page."""
+    return f"""CASE WHEN {link} = '' THEN {base} WHEN regexp_matches({link}, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN {link}
+      WHEN {link}[1:2] = '//' THEN regexp_extract({base}, '^[a-z]+:') || {link}
+      WHEN {link}[1] = '/' THEN regexp_extract({base}, '^[a-z]+://[^/?#]*') || {link}
+      WHEN {link}[1] = '#' THEN regexp_extract({base}, '^[^#]*') || {link}
+      WHEN {link}[1] = '?' THEN regexp_extract({base}, '^[^?#]*') || {link}
+      ELSE regexp_extract({base}, '^([a-z]+://[^?#]*/)[^/?#]*', 1) || {link} END"""
+
+
+def encoded(x: str) -> str:
+    x = f"url_encode({x})"
+    for c in "/:?#[]@!$&()*+,;=~%":
+        x = f"replace({x}, '%{ord(c):02X}', '{c}')"
+    return f"replace({x}, '%27', chr(39))"
+
+
 STRIP = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g'),
   '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '<[^>]*>', ' ', 'g')"""
 LINES = f"""ln AS (SELECT id, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS line FROM (SELECT id, string_split(text, chr(10)) AS l FROM docs)),
@@ -108,11 +126,17 @@ ORACLES: dict[str, str] = {
     "cat_block": where("category & 1 = 0"),
     "slevel_block": where("slevel <> 1"),
     "section_prune": where("secid IN (1, 3)"),
+    "section_exclude": where("secid NOT IN (0, 2) AND dbid = 1"),
+    "filter_range_long": where("category BETWEEN 2 AND 17"),
+    "filter_in_long": where("category IN (1, 17, 20)"),
+    "filter_in_double": where("rank IN (0.5, 0.25, 0.0625)"),
+    "filter_bits_int": where("n_chars & 40 <> 0 AND n_chars & 1 = 0"),
     "facet_category": f"WITH {DOCS} SELECT bit::INTEGER AS bit, count(*) AS n FROM docs, range(6) t(bit) WHERE (category >> bit) & 1 = 1 GROUP BY 1",
     "facet_before_filter": f"""{BASE}, {terms("('thing')")}, m AS (SELECT id, category FROM h JOIN live USING (id))
         SELECT bit::INTEGER AS bit, count(*) AS n, (SELECT count(*) FROM m WHERE category & 1 <> 0) AS total FROM m, range(6) t(bit) WHERE (category >> bit) & 1 = 1 GROUP BY 1""",
     "groupby_int": "SELECT l_linenumber::BIGINT AS key, count(*) AS n FROM lineitem GROUP BY 1 ORDER BY 1 LIMIT 1024",
     "groupby_double_1024": "SELECT trunc(round(l_extendedprice * 100000000, 2))::BIGINT AS key, count(*) AS n FROM lineitem GROUP BY 1 ORDER BY 1 LIMIT 1024",
+    "groupby_hits": f"{BASE}, {terms("('thing')")} SELECT category AS key, count(*) AS n FROM h JOIN live USING (id) GROUP BY 1",
     "total_hits": f"{BASE}, {terms(TERMS)} SELECT count(*) AS total FROM h JOIN live USING (id)",
     "score_hits": f"{BASE}, {terms(TERMS)} SELECT id, (2 * n_hits * 10 * 100000000)::BIGINT AS score FROM h JOIN live USING (id)",
     "score_field_hits": f"{BASE}, {terms("('thing', 'src1')")}, f AS (SELECT id, sum(bit_count(field_bits & 3)) AS k FROM post WHERE term IN ('thing', 'src1') GROUP BY id) SELECT id, (k * 7 * 100000000)::BIGINT AS score FROM f JOIN live USING (id)",
@@ -140,6 +164,18 @@ ORACLES: dict[str, str] = {
         SELECT id, md5(string_agg(line, ' ... ' ORDER BY n)) AS summary FROM o WHERE before < 128 GROUP BY id""",
     "json_response": f"""{BASE}, {terms("('thing')")}, s AS (SELECT id, source, lang FROM h JOIN live USING (id) ORDER BY term_score DESC, id LIMIT 10)
         SELECT id, '{{"id":"' || id || '","source":"' || source || '","lang":"' || lang || '"}}' AS json FROM s""",
+    "display_response": f"""{BASE}, {terms("('thing')")}, s AS (SELECT id, source, n_chars FROM h JOIN live USING (id) ORDER BY term_score DESC, id LIMIT 10 OFFSET 5)
+        SELECT id, '{{"id":"' || id || '","source":"' || source || '","n_chars":"' || n_chars || '"}}' AS json FROM s""",
+    "summary_weighted": f"""{BASE}, {terms("('thing', 'erin')")}, {LINES}, g AS (SELECT term, greatest(round(ln((n_docs - df + 0.5) / (df + 0.5)), 6), 0) AS g FROM w, st),
+        pg AS (SELECT id FROM h JOIN live USING (id) ORDER BY term_score DESC, id LIMIT 25),
+        pw AS (SELECT id, pos, line, trunc(round((len(list_filter(own, lambda x: x = 'thing')) * (SELECT g FROM g WHERE term = 'thing')
+            + len(list_filter(own, lambda x: x = 'erin')) * coalesce((SELECT g FROM g WHERE term = 'erin'), 0)) * 1000000, 2))::BIGINT
+          + (10 * len(list_filter(range(1, len(w)), lambda i: w[i] IN ('thing', 'erin') AND w[i + 1] IN ('thing', 'erin'))) + len(list_distinct(own))) * 1000000 AS score
+          FROM lo JOIN pg USING (id) WHERE len(own) > 0)
+        SELECT id, md5(line) AS line, score FROM pw QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, pos) = 1""",
+    "index_update": rf"""WITH {DOCS}, nt AS (SELECT id, unnest(list_filter(regexp_split_to_array(lower(CASE WHEN id % 3 = 0 THEN text ELSE source END), '{W}'), lambda x: x <> '')) AS term FROM docs WHERE id % 3 <> 1
+          UNION ALL SELECT id, unnest(list_filter(regexp_split_to_array(lower(source), '{W}'), lambda x: x <> '')) FROM docs WHERE id % 3 <> 1)
+        SELECT term, count(DISTINCT id) AS df, count(*) AS total FROM nt GROUP BY term""",
     "html_title": f"SELECT page_id, {decoded("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")} AS title FROM pages",
     "html_strip_text": f"SELECT page_id, md5({decoded(STRIP)}) AS text FROM pages",
     "html_links": f"WITH {LINKS} SELECT page_id, array_to_string(l, ' ') AS links FROM lk",
@@ -150,8 +186,12 @@ ORACLES: dict[str, str] = {
     "frontier_turns": f"SELECT page_id, {HOST} AS host, row_number() OVER (PARTITION BY {HOST} ORDER BY page_id, url)::INTEGER AS turn FROM pages",
     "template_extract": r"""WITH m AS (SELECT page_id, regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a>', 1) AS a, regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a>', 2) AS b FROM pages)
         SELECT page_id, (generate_subscripts(a, 1) - 1)::INTEGER AS "row", unnest(a) AS href, unnest(b) AS label FROM m""",
-    "new_links": f"""WITH {LINKS}, f AS (SELECT unnest(l) AS url FROM lk), k AS (SELECT md5({LOWER})[1:16] AS url_key, url FROM f)
+    "new_links": f"""WITH {LINKS}, r AS (SELECT url AS base, unnest(l) AS h FROM lk), f AS (SELECT {encoded(absolute('base', 'h'))} AS url FROM r), k AS (SELECT md5({LOWER})[1:16] AS url_key, url FROM f)
         SELECT url_key, min(url) AS url FROM k WHERE url_key NOT IN (SELECT md5({LOWER})[1:16] FROM pages) GROUP BY url_key""",
+    "url_join": f"""WITH {LINKS}, r AS (SELECT page_id, url AS base, unnest(l) AS h FROM lk) SELECT page_id, {encoded(absolute('base', 'h'))} AS absolute FROM r""",
+    "over_extract": rf"""WITH {LINKS}, r AS (SELECT page_id, url AS base, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS h FROM pages WHERE page_id % 7 <> 0),
+        c AS (SELECT page_id, count(DISTINCT {encoded(absolute('base', 'h'))}) AS children FROM r GROUP BY 1)
+        SELECT page_id, 0::INTEGER AS "row", regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, children FROM pages LEFT JOIN c USING (page_id) WHERE regexp_matches(html, '<title>[^<]*</title>')""",
     "parent_chain": f"{CHAIN} SELECT id, max(depth)::INTEGER AS depth, min(ancestor) AS top FROM chain GROUP BY id",
     "parent_inherit": f"""{CHAIN}, rec AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN min(o_orderpriority) ELSE '' END AS p FROM orders GROUP BY 1),
         near AS (SELECT c.id, arg_min(r.p, c.depth) AS p FROM chain c JOIN nodes n ON n.id = c.ancestor JOIN rec r ON r.id = n.brother WHERE r.p <> '' GROUP BY 1)

@@ -12,9 +12,16 @@ from ..schema import DOCUMENTS, MAX_IN_FIELDS, MAX_IN_VALUES, MAX_TERMS, MAX_TOP
 _WORD = re.compile(r"[^\W_]+")
 
 
-def query_words(text: str) -> tuple[str, ...]:
+def within(values: list | tuple, most: int, what: str) -> tuple:
+    """The values, all of them: more than the limit is an error, never a shorter list."""
+    if len(values) > most:
+        raise ValueError(f"at most {most} {what}, not {len(values)}")
+    return tuple(values)
+
+
+def query_words(text: str, most: int = MAX_TERMS) -> tuple[str, ...]:
     """Distinct terms of a query text in order, tokenised like documents."""
-    return tuple(dict.fromkeys(_WORD.findall(text.lower())))[:MAX_TERMS]
+    return within(list(dict.fromkeys(_WORD.findall(text.lower()))), most, "terms")
 
 
 @dataclass(frozen=True)
@@ -50,6 +57,8 @@ class SearchQuery:
     category_facets: int = 0
     blocked_levels: tuple[int, ...] = ()
     sections: tuple[int, ...] = ()
+    no_sections: tuple[int, ...] = ()
+    database: int = 0  # 0: all
     ignore_status: bool = False
     ignore_rank: bool = False
     relevance: str = "none"  # none, reference, bm25
@@ -77,11 +86,20 @@ class SearchQuery:
     clear_cache: bool = False
     unused: dict = field(default_factory=dict, compare=False, hash=False)
 
+    def page_key(self) -> str:
+        """Query and page: what a page of results is known by."""
+        return f"{self.cache_key()}:{self.offset}-{self.count}"
+
     def cache_key(self) -> str:
         """Equal for queries that differ only in paging and display."""
         return hashlib.md5(repr(replace(self, offset=0, count=0, display=(), query_id="", unused={})).encode()).hexdigest()
 
 
+def text_key(query: str) -> str:
+    """Id of a query text: md5 of it in lower case."""
+    return hashlib.md5(query.lower().encode()).hexdigest()
+
+
 def bits(text: str) -> int:
     """Mask of a list of bit numbers such as 1,5;9."""
     return sum({1 << int(x) for x in re.findall(r"\d+", text) if int(x) < 64})
@@ -102,10 +120,9 @@ def parse_ranges(text: str, collection: Collection) -> tuple[Range, ...]:
 
 def parse_in(text: str, collection: Collection) -> tuple[tuple[str, tuple[float, ...]], ...]:
     """fid:[v1,v2],..."""
-    found = re.findall(r"(\d+)\s*:\s*\[([^\]]*)\]", text)[:MAX_IN_FIELDS]
-    return tuple(
-        (collection.name(int(f)), tuple(n for v in values.split(",")[:MAX_IN_VALUES] if (n := _number(v)) is not None)) for f, values in found
-    )
+    found = within(re.findall(r"(\d+)\s*:\s*\[([^\]]*)\]", text), MAX_IN_FIELDS, "fields with value lists")
+    numbers = lambda values: [n for v in values.split(",") if (n := _number(v)) is not None]
+    return tuple((collection.name(int(f)), within(numbers(values), MAX_IN_VALUES, "values in a list")) for f, values in found)
 
 
 def parse_bit_fields(text: str, collection: Collection) -> tuple[tuple, tuple]:
@@ -132,7 +149,7 @@ def parse_display(text: str, collection: Collection) -> tuple[tuple[str, bool],
 
 
 def parse_params(query: str, collection: Collection = DOCUMENTS) -> SearchQuery:
-    """Read a k=v&k=v query string. Parameters without effect here are kept in ``unused``."""
+    """Read a k=v&k=v query string. Parameters without effect here (geofilter, bmap, qhash) are kept in ``unused``."""
     args = dict(parse_qsl(query.lstrip("?"), keep_blank_values=True))
     take = args.pop
     num = lambda k, d=0: int(re.match(r"\s*[-+]?\d+", v).group()) if (v := take(k, "")) and re.match(r"\s*[-+]?\d+", v) else d
@@ -158,6 +175,8 @@ def parse_params(query: str, collection: Collection = DOCUMENTS) -> SearchQuery:
         category_facets=mask("catgroup"),
         blocked_levels=tuple(int(x) for x in re.findall(r"\d+", take("slevel", ""))),
         sections=(*(int(x) for x in re.findall(r"\d+", take("secid", ""))),),
+        no_sections=(*(int(x) for x in re.findall(r"\d+", take("nosecs", ""))),),
+        database=max(0, num("dbid")),
         ignore_status=bool(num("ignstatus")),
         ignore_rank=bool(num("ignrank")),
         relevance="reference" if num("rel") else "none",

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from .functions import markup, text
 from .operators import crawl, index, ingest, segment, summary
+from .operators.cache import ResultCache
 from .operators.search import Search, expand_synonyms, facet_counts, group_counts
 from .plans.query import Range, SearchQuery, parse_params
 from .sources import dumps
-from .storage import shared_dir
+from .storage import fingerprint, shared_dir
 from .streaming import flows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,12 +50,28 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
             (F.lit(1.0) / (F.col("doc_id") + 1)).alias("rank"),
             F.when(F.col("doc_id") % 17 == 0, -1).when(F.col("doc_id") % 5 == 0, 1).otherwise(0).alias("status"),
             (F.col("doc_id") % 4).alias("secid"),
+            (F.col("doc_id") % 3).alias("dbid"),
         )
     )
 
 
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def stored_index(spark: SparkSession, sf_dir: str) -> index.Index:
+    """The index of the whole collection, written once for the tables as they are and read by every search."""
+    version = fingerprint(spark, [f"{sf_dir}/documents.parquet", f"{sf_dir}/labels.parquet"])
+    key = (spark.sparkContext.applicationId, sf_dir, version)
+    if key in _STORED:
+        return index.Index.read(spark, _STORED[key])
+    path = shared_dir(spark, "index")
+    out = index.build(documents(spark, sf_dir)).write(path)
+    _STORED[key] = path
+    return out
+
+
 def search(spark: SparkSession, sf_dir: str, q: SearchQuery, **more) -> Search:
-    return Search(index.build(documents(spark, sf_dir)), q, **more)
+    return Search(stored_index(spark, sf_dir), q, **more)
 
 
 def matched_ids(s: Search) -> DataFrame:
@@ -142,7 +159,7 @@ def term_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def term_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.bigrams(documents(spark, sf_dir))
+    return index.bigrams(documents(spark, sf_dir)).filter("field_bit = 1").drop("field_bit")
 
 
 @query
@@ -176,6 +193,11 @@ _filter("cat_all", parse_params("catfilter=0,4&multicat=1"))
 _filter("cat_block", parse_params("catblock=0"))
 _filter("slevel_block", parse_params("slevel=1"))
 _filter("section_prune", SearchQuery(sections=(1, 3)))
+_filter("section_exclude", parse_params("nosecs=0,2&dbid=1"))
+_filter("filter_range_long", parse_params("rangefilter=3:[17,2]"))
+_filter("filter_in_long", parse_params("in=3:[1,17,20]"))
+_filter("filter_in_double", parse_params("in=4:[0.5,0.25,0.0625]"))
+_filter("filter_bits_int", parse_params("bitfields=2[3,5]2{0}"))
 
 
 # --- facets, groups, totals ------------------------------------------------------------------------
@@ -202,6 +224,11 @@ def groupby_double_1024(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_counts(table(spark, sf_dir, "lineitem"), "l_extendedprice")
 
 
+@query
+def groupby_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(spark, sf_dir, parse_params("query=thing&groupby=3")).groups()
+
+
 @query
 def total_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(spark, sf_dir, SearchQuery(terms=TERMS, top=5)).total()
@@ -289,6 +316,29 @@ def json_response(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.respond(page, [("source", False), ("lang", False)], list(q.terms))
 
 
+@query
+def display_response(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Display columns and marks of a query string, answered through the result cache."""
+    asked = "query=thing&bnterm=1&order=-1&display=1#,2&from=5&count=10"
+    return ResultCache(stored_index(spark, sf_dir)).response(asked)
+
+
+@query
+def summary_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best lines of the hits by tf x idf of the index."""
+    s = search(spark, sf_dir, SearchQuery(terms=("thing", "erin"), base_term=1, count=25))
+    found = s.passages()
+    return found.groupBy("id").agg(F.max_by(F.struct("line", "score"), F.struct("score", -F.col("at"))).alias("b")).select("id", F.md5("b.line").alias("line"), "b.score")
+
+
+@query
+def index_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Term statistics after a third of the documents lost their text and another third was taken over by their sources."""
+    docs = documents(spark, sf_dir)
+    changed = docs.filter("id % 3 <> 0").withColumn("status", F.when(F.col("id") % 3 == 1, -1).otherwise(0)).withColumn("text", F.col("source"))
+    return index.update(stored_index(spark, sf_dir), changed).terms
+
+
 # --- pages, URLs, links --------------------------------------------------------------------------------
 
 
@@ -341,7 +391,7 @@ def template_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def new_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    found = pages.select(F.explode(text.html_links(F.col("html"))).alias("url"))
+    found = crawl.page_links(pages).select(F.col("link").alias("url"))
     return crawl.new_urls(found, pages.select("url"))
 
 
@@ -477,8 +527,7 @@ def html_block_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def url_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    links = table(spark, sf_dir, "pages").select("page_id", "url", F.explode(text.html_links(F.col("html"))).alias("link"))
-    return links.select("page_id", crawl.resolved(F.col("url"), F.col("link")).alias("absolute"))
+    return crawl.page_links(table(spark, sf_dir, "pages")).select("page_id", F.col("link").alias("absolute"))
 
 
 @query
@@ -564,5 +613,5 @@ def summary_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 def over_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     item, link = crawl.Template(r"<title>([^<]*)</title>", ("title",)), crawl.Template(r'<a href="([^"]*)"', ("href",), all_rows=True)
-    records, children = crawl.over_extract(pages, item, link)
+    records, children = crawl.over_extract(pages, item, link, unique=F.col("page_id") % 7 == 0)
     return records.join(children.groupBy("page_id").agg(F.count(F.lit(1)).alias("children")), "page_id", "left")

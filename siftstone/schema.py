@@ -12,6 +12,7 @@ MAX_GROUPS = 1024
 MAX_TOP = 2000
 MAX_FETCH = 1024
 MAX_CATEGORIES = 64
+MAX_SYNONYMS = 64
 # Scoring constants.
 TF_GAIN, TF_SHIFT, LENGTH_WEIGHT = 3.0, 0.5, 1.5
 PHRASE_PAIR, PHRASE_FIELD_PAIR = 2, 4

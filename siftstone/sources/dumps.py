@@ -142,9 +142,12 @@ def write_csv(df: DataFrame, path: str) -> None:
     base64_columns(df).write.option("header", True).csv(path)
 
 
-def fetch(docs: DataFrame, ids: list[int] | DataFrame, columns: list[str]) -> DataFrame:
-    """id, json of the given ids; unknown ones are skipped. A list has at most 1024 ids."""
+def fetch(docs: DataFrame, ids: list[int] | DataFrame, columns: list[str], most: int = MAX_FETCH) -> DataFrame:
+    """id, json of the given ids; unknown ones are skipped. A list of more than ``most`` ids is an error (a
+    DataFrame of ids has no limit)."""
     if isinstance(ids, list):
-        ids = F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in ids[:MAX_FETCH]], "id long"))
+        if len(ids) > most:
+            raise ValueError(f"at most {most} ids in a list, not {len(ids)}")
+        ids = F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in ids], "id long"))
     quoted: list[Column] = [F.col(c).cast("string").alias(c) for c in columns]
     return docs.join(ids, "id", "left_semi").select("id", F.to_json(F.struct(*quoted)).alias("json"))

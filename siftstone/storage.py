@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import tempfile
 import uuid
@@ -40,6 +41,16 @@ def drop_dir(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def fingerprint(spark: SparkSession, paths: list[str]) -> str:
+    """Changes with the files of some folders: their names, sizes and times."""
+    out = []
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        for f in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path):
+            out.append(f"{f.getPath().getName()}:{f.getLen()}:{f.getModificationTime()}")
+    return hashlib.md5("|".join(sorted(out)).encode()).hexdigest()
+
+
 class Workspace:
     """Intermediate tables of one run. A table is dropped once nothing reads it any more."""
 

@@ -1,9 +1,11 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from siftstone.operators import index, ingest
-from siftstone.operators.search import Search
+from siftstone.operators.cache import ResultCache
+from siftstone.operators.search import Search, expand_synonyms
 from siftstone.plans.query import Range, SearchQuery, bits, parse_params
 
 DOCS = [
@@ -79,6 +81,7 @@ def test_facets_come_before_the_category_filter(built):
 def test_stored_index_gives_the_same(spark, built, tmp_path):
     path = f"file://{tmp_path}/index"
     built.write(path)
+    assert sorted(map(tuple, index.Index.read(spark, path).terms.collect())) == sorted(map(tuple, built.terms.collect()))
     q = SearchQuery(terms=("a", "d"), base_term=1)
     assert Search(index.Index.read(spark, path), q).hits().collect() == Search(built, q).hits().collect()
 
@@ -125,3 +128,59 @@ def test_category_changes(spark):
     rows = [(1, 1, "set", 2), (1, 2, "unset", 1), (1, 3, "set", 1), (1, 3, "unset", 4), (2, 1, "set", -(1 << 63)), (3, 1, "unset", 8), (3, 1, "set", 8), (None, 1, "set", 1), (9, 1, "set", 1), (4, 1, "set", None)]
     got = ingest.category_updates(docs, spark.createDataFrame(rows, "id long, seq long, op string, bits long"))
     assert {r["id"]: r["category"] for r in got.collect()} == {1: 3, 2: -(1 << 63), 3: 0, 4: None}
+
+
+def test_limits_raise_and_nothing_is_dropped(spark):
+    many = " ".join(f"w{i}" for i in range(33))
+    for text in (f"query={many}", "in=2:[" + ",".join(map(str, range(600))) + "]"):
+        with pytest.raises(ValueError, match="at most"):
+            parse_params(text)
+    syn = spark.createDataFrame([(1, "a"), *((1, f"s{i}") for i in range(100)), (None, "a"), (2, None)], "synid int, term string")
+    assert len(expand_synonyms(("a",), syn, 200)) == 101 and expand_synonyms((), syn) == ()
+    with pytest.raises(ValueError, match="synonyms"):
+        expand_synonyms(("a",), syn)
+
+
+def test_sections_databases_and_display(spark, built):
+    q = parse_params("nosecs=1&dbid=2&display=0%23,2&op=1&qid=7&geofilter=x")
+    assert (q.no_sections, q.database, q.clear_cache, q.query_id, q.unused) == ((1,), 2, True, "7", {"geofilter": "x"})
+    assert ids(Search(built, SearchQuery(no_sections=(1,))).filtered) == [1, 3]
+    s = Search(built, parse_params("query=a&bnterm=1&display=0%23,2&order=-1"))
+    assert {r["id"]: r["json"] for r in s.response().collect()} == {1: '{"id":"1","text":"<b>a</b> b c","n_chars":"10"}', 2: '{"id":"2","text":"<b>a</b> b","n_chars":"20"}'}
+
+
+def test_result_cache(built):
+    now = [0.0]
+    cache = ResultCache(built, lifetime=10, most=2, clock=lambda: now[0])
+    page = lambda text: [tuple(r) for r in cache.run(text).orderBy("id").collect()]
+    full = page("query=a+c&bnterm=1&order=-1")
+    assert len(full) == 3 and cache.state() == {"queries": 1, "cache_hits": 0, "hits_scale": 0.0}
+    parts = [page(f"query=a+c&bnterm=1&order=-1&from={k}&count=1") for k in range(4)]
+    assert sorted(sum(parts, [])) == sorted(full) and parts[3] == [] and cache.hits == 4
+    assert [p[0] for p in parts[:3]] == [tuple(r) for r in Search(built, parse_params("query=a+c&bnterm=1&order=-1")).hits().collect()]
+    now[0] = 11
+    page("query=a+c&bnterm=1&order=-1")
+    assert cache.hits == 4
+    page("query=a+c&bnterm=1&order=-1&op=1"), page("query=b"), page("query=d")
+    assert cache.hits == 4 and len(cache.entries) == 2
+    cache.clear()
+    assert not cache.entries
+
+
+def test_index_update_equals_a_new_index(spark, docs, built):
+    changed = spark.createDataFrame([(1, "b b z", "x", 10, 1, 0, 1.0, 0, 0), (2, "a b", "x", 20, 2, 1, 0.5, -1, 1), (9, "new a", "y", 1, 1, 0, 1.0, 0, 0)], SCHEMA)
+    after = index.update(built, changed)
+    gone = docs.filter("id = 2").withColumn("status", F.lit(-1)).withColumns({"text": F.lit(""), "source": F.lit("")})
+    fresh = index.build(docs.filter("id > 2").unionByName(changed.filter("id <> 2")).unionByName(gone))
+    for name in ("postings", "bigrams", "terms", "stats"):
+        a, b = getattr(after, name), getattr(fresh, name)
+        assert sorted(map(tuple, a.select(*b.columns).collect())) == sorted(map(tuple, b.collect())), name
+    assert {r["id"]: r["terms_total"] for r in after.docs.collect()}[2] == 0
+    none = index.update(built, docs.limit(0))
+    assert sorted(map(tuple, none.terms.collect())) == sorted(map(tuple, built.terms.collect()))
+
+
+def test_phrases_count_in_every_text_field(spark):
+    docs = spark.createDataFrame([(1, "a b", "a b", 1, 0, 0, 1.0, 0, 0), (2, "x", "a b", 1, 0, 0, 1.0, 0, 0), (3, "b a", None, 1, 0, 0, 1.0, 0, 0)], SCHEMA)
+    s = Search(index.build(docs), SearchQuery(terms=("a", "b"), phrase=True, base_phrase=1, hit_fields=2))
+    assert {r["id"]: r["score"] // 10**8 for r in s.scored().select("id", "score").collect()} == {1: 12, 2: 12, 3: 0}

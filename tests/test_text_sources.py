@@ -42,9 +42,29 @@ def test_blocks_and_sentences():
     assert markup.sentences("One. Two? Three") == ["One.", "Two?", "Three"]
 
 
-def test_resolve():
-    assert crawl.resolve("http://h/a/b.html", "../c d?x=é") == "http://h/c%20d?x=%C3%A9"
-    assert crawl.resolve("http://h/a", None) is None
+def test_absolute_urls(spark):
+    bases = ["http://h/a/b.html", "https://h.com", "http://h/a/b/?q=1#f", "http://h/a/b/c/d?x=/y/"]
+    links = ["../c d?x=é", "x.html", "/x/y", "?n=2", "#top", "", "//o.com/p", "https://o.com/é", "mailto:a@b", "./x", "../../../x", "a/./b/../c", "x/..", "%41+%", " sp ", "a:b", "x?y=../z"]
+    rows = [(b, x) for b in bases for x in links] + [(None, "x"), ("http://h/", None)]
+    got = spark.createDataFrame(rows, "b string, x string").select("b", "x", text.absolute_url(F.col("b"), F.col("x")).alias("u")).collect()
+    assert [(r["b"], r["x"], r["u"]) for r in got] == [(b, x, markup.join_url(b, x)) for b, x in rows]
+
+
+def test_entities_and_marks(spark):
+    assert one(spark, text.decode_entities, "&eacute;&#233;&#xE9;&amp;lt;&nbsp;&#x1F600;&#0;&#55296;&bogus; a&b & &#99999999;&lt") == "éééé"[:3] + "&lt; \U0001f600\ufffd\ufffd&bogus; a&b & &#99999999;&lt"
+    assert one(spark, text.decode_entities, "plain") == "plain" and one(spark, text.decode_entities, None) is None
+    assert one(spark, lambda c: text.highlight(c, ["c++", "a.b"]), "C++ cc axb a.b") == "<b>C++</b> cc axb <b>a.b</b>"
+    assert one(spark, lambda c: text.highlight(c, ["x"], "<i $1>", "\\"), "x") == "<i $1>x\\"
+    assert len(text.MIME) == 98
+
+
+def test_sql_functions(spark):
+    d = segment.Dictionary(WORDS)
+    markup.register(spark, d)
+    row = spark.sql("""SELECT html_text('<p>a&amp;b<style>x</style></p>') AS t, url_join('http://h/a/b', '../c') AS u, highlight('Cat c++', array('cat', 'c++')) AS m,
+        segment('中国人民') AS s, charset_of(binary('abc')) AS c, text_sentences('A. B?') AS x, html_blocks('<p>short</p>') AS b""").first()
+    assert (row["t"], row["u"], row["m"], row["c"], row["x"], row["b"]) == ("a&b", "http://h/c", "<b>Cat</b> <b>c++</b>", "ascii", ["A.", "B?"], [])
+    assert [(w["word"], w["off"]) for w in row["s"]] == [("中国", 0), ("人民", 2)]
 
 
 def test_parent_chain_and_inheritance(spark):
