@@ -56,17 +56,21 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path, self.n = spark, shared_dir(spark, name), 0
-        self.held: dict[int, str] = {}
+        self.held: dict[int, tuple[DataFrame, str]] = {}
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.path}/{self.n}-{name}"
         self.n += 1
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.held[id(out)] = path
+        self.held[id(out)] = (out, path)
         return out
 
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
-            if path := self.held.pop(id(t), None):
-                drop_dir(self.spark, path)
+            if held := self.held.pop(id(t), None):
+                drop_dir(self.spark, held[1])
+
+    def drop_others(self, *kept: DataFrame) -> None:
+        """Drop all tables but these."""
+        self.drop(*(t for t, _ in list(self.held.values()) if all(t is not k for k in kept)))
