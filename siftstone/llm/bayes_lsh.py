@@ -8,8 +8,11 @@ with probability (1 - 0.8**4)**24 < 4e-6). Candidates of a bucket are compared i
 probability that the similarity reaches the threshold t is P(Bin(n + 1, t) <= m); pairs where it falls below
 the tolerance are dropped. The rest is verified exactly on the shingle sets.
 
-A pair is taken in its first common band only. Large buckets are dealt in chunks: every pair of
-chunks is a task of its own, of bounded rows and bytes, so no bucket has to fit into one task.
+A pair is taken in its first common band only. Buckets are counted first, from their numbers alone; only keys in
+buckets with company move on, and their signatures join them last. Large buckets are dealt in chunks where their
+rows lie: every pair of chunks is a task of its own, of bounded rows and bytes, so no bucket has to fit into
+one task. Shingle sets are made from the texts again, in the scan, for the nodes that have candidates: a fixed
+bit map of their ids tells which rows may be theirs, so texts are never shuffled. Tables are deleted once used.
 Pairs never become rows: a candidate row is a node with the places of its partners in the chunk pair, and
 verification returns, per node, the number of links and a neighbour towards its component.
 
@@ -31,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, materialise, words_of
+from .common import Workspace, as_bytes, hot_join, words_of
 from .components import connected_components
 
 BANDS, ROWS, STEP = 24, 4, 16
@@ -77,11 +80,10 @@ def minhash(shingles: np.ndarray) -> np.ndarray:
     return ((least ^ (least >> np.uint64(31))) & np.uint64(0xFFFF)).astype("<u2")
 
 
-def buckets(signature: np.ndarray) -> np.ndarray:
-    """A 64-bit bucket for each band."""
-    v = signature.astype("<u2").view("<u8") ^ (np.arange(1, BANDS + 1, dtype=np.uint64) * MIX)
-    v = (v ^ (v >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    return (v ^ (v >> np.uint64(27))).view(np.int64)
+def buckets(signature: Column) -> Column:
+    """A 64-bit bucket for each band of a stored signature."""
+    size = 2 * ROWS
+    return F.array(*(F.xxhash64(F.substring(signature, 1 + size * i, size), F.lit(i)) for i in range(BANDS)))
 
 
 def least_matches(threshold: float, tolerance: float) -> list[int]:
@@ -104,14 +106,14 @@ def text_hash(text_col: str) -> Column:
 
 
 def signatures(docs: DataFrame, shingle: int, id_col: str, text_col: str, hashed: bool = False) -> DataFrame:
-    """id, key (digest of the shingle set), n (shingles), signature, buckets and with hashed h (hash of the text) of each document with an id."""
+    """id, key (digest of the shingle set), n (shingles), signature and with hashed h (hash of the text) of each document with an id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(shingle)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                keys, sizes, sigs, cells = [], [], [], []
+                keys, sizes, sigs = [], [], []
                 texts = as_bytes(part.column(1))
                 # As text_hash.
                 hashes = np.fromiter((xxhash.xxh64_intdigest(t, seed=42) for t in texts), np.uint64, len(texts)) if hashed else None
@@ -121,23 +123,21 @@ def signatures(docs: DataFrame, shingle: int, id_col: str, text_col: str, hashed
                     sizes.append(len(s))
                     sig = minhash(s) if len(s) else None
                     sigs.append(None if sig is None else sig.tobytes())
-                    cells.append([] if sig is None else buckets(sig).tolist())
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
                         pa.array(keys, pa.binary()),
                         pa.array(sizes, pa.int64()),
                         pa.array(sigs, pa.binary()),
-                        pa.array(cells, pa.list_(pa.int64())),
                         *([pa.array(hashes.view(np.int64))] if hashed else []),
                     ],
-                    ["id", "key", "n", "signature", "buckets", *(["h"] if hashed else [])],
+                    ["id", "key", "n", "signature", *(["h"] if hashed else [])],
                 )
 
     return (
         docs.filter(F.col(id_col).isNotNull())
         .select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-        .mapInArrow(run, "id long, key binary, n long, signature binary, buckets array<bigint>" + (", h long" if hashed else ""))
+        .mapInArrow(run, "id long, key binary, n long, signature binary" + (", h long" if hashed else ""))
     )
 
 
@@ -183,22 +183,24 @@ def pairs_by_group(sizes: np.ndarray, starts: np.ndarray, most: int = 1 << 20) -
                     yield base + i[below], base + j[below]
 
 
-def candidates(nodes: DataFrame, threshold: float, tolerance: float) -> DataFrame:
+def candidates(nodes: DataFrame, threshold: float, tolerance: float, ws: Workspace) -> DataFrame:
     """gid, at, key, copies, partners: nodes with surviving partners (their at) in a chunk pair."""
-    cells = nodes.select("key", F.posexplode("buckets").alias("band", "bucket"), "n")
-    crowded = (
-        cells.groupBy("bucket")
+    crowded = ws.table(
+        nodes.select(F.explode(buckets(F.col("signature"))).alias("bucket"), "n")
+        .groupBy("bucket")
         .agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("shingles"))
         .filter("m > 1")
         .select(
             "bucket",
+            "m",
             F.greatest(F.ceil(F.col("m") / CHUNK_NODES), F.ceil(F.col("shingles") / CHUNK_SHINGLES)).cast("int").alias("chunks"),
-        )
+        ),
+        "crowded",
     )
-    # Signatures travel only with the rows of buckets that have company.
+    cells = nodes.select("key", F.posexplode(buckets(F.col("signature"))).alias("band", "bucket"))
+    placed = ws.table(hot_join(cells, crowded, "bucket", "m").select("key", "band", "bucket", "chunks"), "cells")
     dealt = (
-        nodes.select("key", "copies", "signature", F.posexplode("buckets").alias("band", "bucket"))
-        .join(crowded, "bucket")
+        placed.join(nodes.select("key", "copies", "signature"), "key")
         .withColumn("chunk", F.pmod(F.xxhash64("key", "band"), F.col("chunks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         .select(
@@ -350,24 +352,40 @@ def verify(rows: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     )
 
 
+MAP_BITS = 24  # of the bit map of wanted ids: 2 MB, however many there are
+
+
+def id_map(ids: DataFrame) -> np.ndarray:
+    """A bit for the hash of every id (column rep): 64-bit words, or-ed over all tasks; 2**18 rows at most reach the driver."""
+    spot = F.pmod(F.xxhash64("rep"), F.lit(1 << MAP_BITS))
+    words = ids.groupBy(F.shiftright(spot, 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), spot.bitwiseAND(F.lit(63)).cast("int"))).alias("b"))
+    found = words.toArrow()
+    out = np.zeros(1 << (MAP_BITS - 6), np.int64)
+    out[found.column("w").to_numpy()] = found.column("b").to_numpy()
+    return out
+
+
 def shingle_sets(docs: DataFrame, wanted: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """key, shingles of the wanted nodes (key, rep), from the texts of their representatives."""
+    """key, shingles of the wanted nodes (key, rep), from the texts of their representatives.
+
+    Other nodes whose id falls on a bit of a wanted one come along; joining by key drops them.
+    """
+    bits = docs.sparkSession.sparkContext.broadcast(id_map(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(shingle)
         for batch in batches:
+            spot = batch.column(1).to_numpy()
+            batch = batch.filter(pa.array((bits.value[spot >> 6] >> (spot & 63)) & 1 == 1))
             for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                keys, sets = [], []
-                for t, want in zip(as_bytes(part.column(0)), part.column(1).to_pylist(), strict=True):
-                    data = shingles(t).tobytes()
-                    if hashlib.md5(data).digest() == want:
-                        keys.append(want)
-                        sets.append(data)
+                sets = [shingles(t).tobytes() for t in as_bytes(batch.slice(at, 512).column(0))]
+                keys = [hashlib.md5(x).digest() for x in sets]
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], ["key", "shingles"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
-    return texts.join(wanted, "rep").select("text", "key").mapInArrow(run, "key binary, shingles binary").dropDuplicates(["key"])
+    spot = F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(1 << MAP_BITS))
+    texts = docs.filter(F.col(id_col).isNotNull()).select(F.col(text_col).alias("text"), spot.alias("spot"))
+    made = texts.mapInArrow(run, "key binary, shingles binary")
+    return made.join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"])
 
 
 def similar_documents(
@@ -383,26 +401,26 @@ def similar_documents(
 
     With hashed also h (text_hash) and class_key, which tells classes with equal smallest ids apart.
     """
-    signed = materialise(signatures(docs, shingle, id_col, text_col, hashed), "signatures")
-    nodes = materialise(
+    ws = Workspace(docs.sparkSession, "jaccard")
+    signed = ws.table(signatures(docs, shingle, id_col, text_col, hashed), "signatures")
+    nodes = ws.table(
         signed.groupBy("key").agg(
-            F.min("id").alias("rep"),
-            F.count(F.lit(1)).alias("copies"),
-            F.first("n").alias("n"),
-            F.first("signature").alias("signature"),
-            F.first("buckets").alias("buckets"),
+            F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("signature").alias("signature")
         ),
         "nodes",
     )
-    rows = materialise(candidates(nodes.filter("n > 0"), threshold, tolerance), "candidates")
-    wanted = nodes.select("key", "rep").join(rows.select("key").distinct(), "key", "left_semi")
-    sets = shingle_sets(docs, wanted, shingle, id_col, text_col)
-    linked = materialise(verify(rows, sets, threshold), "links")
+    rows = ws.table(candidates(nodes.filter("n > 0"), threshold, tolerance, ws), "candidates")
+    known = ws.table(nodes.select("key", "rep", "copies", "n"), "known")
+    named = ws.table(signed.drop("n", "signature"), "named")
+    ws.drop_others(rows, known, named)
+    wanted = known.select("key", "rep").join(rows.select("key").distinct(), "key", "left_semi")
+    sets = shingle_sets(docs, ws.table(wanted, "wanted"), shingle, id_col, text_col)
+    linked = ws.table(verify(rows, sets, threshold), "links")
+    ws.drop_others(linked, known, named)
     labels = connected_components(linked.select(F.col("key").alias("a"), F.col("root").alias("b")))
     links = linked.groupBy("key").agg(F.sum("links").alias("links"))
-    known = nodes.select("key", "rep", "copies", "n")
     best = known.join(labels, known["key"] == labels["node"]).groupBy("label").agg(F.min("rep").alias("class_id"))
-    result = (
+    result = ws.table(
         known.join(labels.select(F.col("node").alias("key"), "label"), "key", "left")
         .join(best, "label", "left")
         .join(links, "key", "left")
@@ -412,12 +430,15 @@ def similar_documents(
             (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
             (F.col("n") == 0).alias("bare"),
             F.coalesce("label", "key").alias("class_key"),
-        )
+            "copies",
+        ),
+        "result",
     )
+    ws.drop_others(named, result)
     more = ["h", "class_key"] if hashed else []
-    found = signed.select("id", "key", *more[:1]).join(result, "key")
+    found = hot_join(named, result, "key", "copies")
     bare = F.col("bare")
-    named = found.select(
+    all_named = found.select(
         F.col("id").alias("doc_id"),
         F.when(bare, F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
         F.when(bare, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"),
@@ -426,4 +447,4 @@ def similar_documents(
     unnamed = docs.filter(F.col(id_col).isNull()).select(
         F.col(id_col).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links")
     )
-    return named.unionByName(unnamed, allowMissingColumns=hashed)
+    return all_named.unionByName(unnamed, allowMissingColumns=hashed)

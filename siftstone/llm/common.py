@@ -1,51 +1,36 @@
-"""Helpers that several operators share: shared storage, word splitting, Arrow access."""
+"""Helpers that several operators share: joins with heavy keys, word splitting, Arrow access."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-import zlib
-
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..storage import Workspace, drop_dir, materialise, shared_dir
+
+__all__ = ["WORD_BYTES", "Workspace", "as_bytes", "as_texts", "drop_dir", "extended", "hot_join", "materialise", "shared_dir", "table", "words_of"]
+
 # Word bytes of the pattern [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ after A-Z are lower-cased:
 # digits, a-z and every byte of a non-ASCII character. All others become one blank.
 WORD_BYTES = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32
     for b in range(256)
 )
-_FALLBACK_DIR: list[str] = []
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder under spark.checkpoint.dir, which driver and executors share.
+def hot_join(left: DataFrame, right: DataFrame, on: str, weight: str, least: int = 4096, most: int = 20_000) -> DataFrame:
+    """Inner join of left to the one row of right for each key, where some keys hold a large share of left.
 
-    Only where the session names none (tests in local mode) is a temporary folder used.
+    weight says how many rows of left a key of right stands for. The up to ``most`` heaviest keys with ``least`` rows
+    or more are broadcast, so their rows stay where they are; all other keys, each at most a 1/most part of left, meet
+    in a shuffle. left is read twice if there are heavy keys: it should be a stored table.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not _FALLBACK_DIR:
-            _FALLBACK_DIR.append(tempfile.mkdtemp(prefix="shared-"))
-        base = "file://" + _FALLBACK_DIR[0]
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: cuts the lineage for good."""
-    spark = df.sparkSession
-    path = shared_dir(spark, name)
-    df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_dir(spark: SparkSession, path: str) -> None:
-    """Delete a folder that this library wrote, through Hadoop's file system layer."""
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    heavy = materialise(right.filter(F.col(weight) >= least).orderBy(F.desc(weight), on).limit(most), "heavy")
+    if heavy.isEmpty():
+        return left.join(right, on)
+    rest = left.join(F.broadcast(heavy.select(on)), on, "left_anti").join(right, on)
+    return left.join(F.broadcast(heavy), on).unionByName(rest)
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -66,11 +51,6 @@ def as_texts(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
-def id_fold(doc_ids: np.ndarray, folds: int) -> np.ndarray:
-    """crc32 of the decimal text of each id, modulo folds."""
-    return np.fromiter((zlib.crc32(b"%d" % i) % folds for i in doc_ids.tolist()), np.int64, len(doc_ids))
-
-
 def extended(df: DataFrame, columns: list[str], ddl: str) -> StructType:
     """Schema of some columns of df followed by new ones."""
     return StructType([*df.select(*columns).schema.fields, *StructType.fromDDL(ddl).fields])

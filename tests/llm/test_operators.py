@@ -16,6 +16,7 @@ from tokenizers import Tokenizer
 from siftstone.llm import (
     bayes_lsh,
     cnn,
+    common,
     components,
     gam,
     histogram_sort,
@@ -457,6 +458,16 @@ def test_jaccard_join_of_empty_table(none):
     assert bayes_lsh.similar_documents(none).count() == 0
 
 
+def test_hot_join_equals_join(spark):
+    left = spark.createDataFrame([(k % 7 if k % 3 else 0, k) for k in range(300)] + [(None, -1)], "k long, v long").cache()
+    weights = {r["k"]: r["count"] for r in left.groupBy("k").count().collect() if r["k"] is not None}
+    right = spark.createDataFrame([(k, n, f"r{k}") for k, n in weights.items() if k != 5] + [(99, 10**6, "none")], "k long, n long, r string")
+    want = sorted((k, v, f"r{k}") for k, v in left.collect() if k is not None and k != 5)
+    for least, most in ((1, 2), (50, 100), (10**9, 1)):
+        got = common.hot_join(left, right, "k", "n", least, most)
+        assert sorted((r["k"], r["v"], r["r"]) for r in got.collect()) == want
+
+
 def test_bayesian_bounds_and_components(spark):
     least = bayes_lsh.least_matches(0.8, 1e-6)
     assert len(least) == 6 and least == sorted(least) and least[0] < 0.8 * 16
