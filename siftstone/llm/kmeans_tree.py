@@ -1,22 +1,23 @@
 """Approximate nearest neighbours by a hierarchical k-means tree.
 
 The tree is fitted on a bounded sample of the vectors (``sample_rows``); every vector is then
-dropped down to its leaf. A query walks the tree best bin first: a priority queue holds
-the nodes met so far, the one with the largest bound-like key (inner product with the centre plus the spread) is
-opened next, and leaves come out in that order. How many leaves a query visits is
-calibrated: for some queries the exact neighbours over all vectors are found in blocks, and the number of
-visits is widened until the wanted recall is reached on them. Visits are then grouped by
-leaf, scored in double precision and merged per query.
-
-Leaves and the queries that visit them are dealt in chunks of bounded size. Of equal vectors only
-the k + 1 with the smallest ids are indexed (no result can need more, as ties go to
+dropped down to its leaf. A query walks the tree best bin first: a priority queue holds the nodes met so far, the
+one with the largest key (inner product with the centre plus the spread in one direction times the query's length) is
+opened next and only then are its children's keys computed; leaves come out in that order. How many leaves a query
+visits is calibrated on rows that the tree was not fitted on: their exact neighbours over all vectors are
+found in blocks, and the number of visits is widened until the wanted recall is reached on them.
+
+Leaves that follow one another in the tree form groups of a bounded number of rows. A query goes to the groups in
+which it visits leaves, blocks of queries meet a group, only the visited leaves are scored (in double
+precision), and of all leaves of a group the best k + 1 of a query leave together.
+Of equal vectors only the k + 1 with the smallest ids are indexed (no result can need more, as ties go to
 smaller ids), and equal query vectors are searched once, so a vector that a third of all rows
 share costs no more than another.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite components, rows with a
 null id and vectors of another length than the most frequent one take no part; repeated rows (equal
-id and vector) count once; with fewer candidates than k all are returned; an empty table gives no
-rows; other columns do not matter.
+id and vector) count once, rows of one id with different vectors are rows of their own; with fewer
+candidates than k all are returned; an empty table gives no rows; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -29,9 +30,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import hot_join, materialise
 
-CHUNK = 4096
+GROUP_ROWS = QUERY_ROWS = 16_384
 
 
 def usable(v: Column) -> Column:
@@ -50,7 +51,7 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 class Tree:
     """Nodes in arrays; node 0 is the root. leaf[i] is the leaf number of node i or -1."""
 
-    def __init__(self, branches: int = 8, leaf_rows: int = 32, seed: int = 11):
+    def __init__(self, branches: int = 16, leaf_rows: int = 32, seed: int = 11):
         self.branches, self.leaf_rows, self.rng = branches, leaf_rows, np.random.default_rng(seed)
         self.children: list[list[int]] = []
         self.leaf: list[int] = []
@@ -62,6 +63,7 @@ class Tree:
         self._add(x)
         self.centres = np.array(self._centres)
         self.spread = np.array(self.spreads)
+        self.kids = [(self.centres[c], self.spread[c] / np.sqrt(x.shape[1]), c) if c else None for c in self.children]
         del self._centres, self.spreads, self.rng
         return self
 
@@ -108,50 +110,42 @@ class Tree:
                     todo.append((child, own))
         return out
 
-    def visits(self, q: np.ndarray, most: int, sizes: dict[int, int] | None = None, least: int = 0) -> list[int]:
+    def visits(self, q: np.ndarray, most: int, sizes: np.ndarray | None = None, least: int = 0) -> list[int]:
         """The first leaves of a best-bin-first walk, and those after them until leaves of these sizes give the least number of rows."""
-        key = self.centres @ q + np.linalg.norm(q) * self.spread
-        heap, out, met = [(-key[0], 0)], [], 0
+        length = float(np.linalg.norm(q))
+        heap, out, met = [(0.0, 0)], [], 0
         while heap and (len(out) < most or sizes is not None and met < least):
-            _, node = heapq.heappop(heap)
-            if self.leaf[node] >= 0:
-                out.append(self.leaf[node])
-                met += sizes.get(self.leaf[node], 0) if sizes is not None else 0
-            for child in self.children[node]:
-                heapq.heappush(heap, (-key[child], child))
+            node = heapq.heappop(heap)[1]
+            kids = self.kids[node]
+            if kids is None:
+                leaf = self.leaf[node]
+                out.append(leaf)
+                met += int(sizes[leaf]) if sizes is not None else 0
+            else:
+                for key, child in zip((kids[0] @ q + length * kids[1]).tolist(), kids[2], strict=True):
+                    heapq.heappush(heap, (-key, child))
         return out
 
 
-def best(ids: np.ndarray, x: np.ndarray, q: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each query the ids and exact scores of its k best rows, ties to smaller ids."""
-    rough = x @ q.T
-    for j in range(len(q)):
-        s = rough[:, j]
-        if len(s) > k:
-            cut = np.partition(s, len(s) - k)[len(s) - k]
-            rows = np.flatnonzero(s >= cut - 1e-9 * max(1.0, abs(cut)))
-        else:
-            rows = np.arange(len(s))
+def best(ids: np.ndarray, x: np.ndarray, q: np.ndarray, k: int, rough: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each query the places and exact scores of its k best rows, ties to smaller ids; rows with a rough score of
+    minus infinity are left out."""
+    rough = q @ x.T if rough is None else rough
+    cuts = np.partition(rough, rough.shape[1] - k, axis=1)[:, -k] if rough.shape[1] > k else np.full(len(q), -np.inf)
+    for j, cut in enumerate(cuts.tolist()):
+        s = rough[j]
+        rows = np.flatnonzero((s >= cut - 1e-9 * max(1.0, abs(cut))) if cut > -np.inf else s > -np.inf)
         # Products are summed row by row: equal vectors get equal scores wherever they stand.
         exact = (x[rows] * q[j]).sum(axis=1)
         order = np.lexsort((ids[rows], -exact))[:k]
-        yield ids[rows][order], exact[order]
-
-
-def _found(query: list[int], ids: list[np.ndarray], scores: list[np.ndarray], extra: dict[str, list] | None = None) -> pa.Table:
-    n = [len(i) for i in ids]
-    return pa.table(
-        {
-            "qid": pa.array(np.repeat(np.array(query, np.int64), n), pa.int64()),
-            "vec_id": pa.array(np.concatenate(ids) if ids else [], pa.int64()),
-            "score": pa.array(np.concatenate(scores) if scores else [], pa.float64()),
-            **(extra or {}),
-        }
-    )
+        yield rows[order], exact[order]
 
 
 class Index:
-    """Every usable vector in its leaf, and a calibrated number of leaf visits."""
+    """Every usable vector in its leaf, and a calibrated number of leaf visits.
+
+    sizes: rows of each leaf; recall: of the calibration queries at so many visits.
+    """
 
     def __init__(self, tree: Tree, rows: DataFrame, sizes: dict[int, int], visits: int, recall: float):
         self.tree, self.rows, self.sizes, self.visits, self.recall = tree, rows, sizes, visits, recall
@@ -160,14 +154,18 @@ class Index:
 def build(
     vectors: DataFrame,
     k: int = 20,
-    recall: float = 0.98,
+    recall: float = 0.94,
     sample_rows: int = 20_000,
-    leaf_size: int = 256,
-    calibration: int = 128,
+    leaf_size: int = 16,
+    calibration: int = 256,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
 ) -> Index | None:
-    """Fit the tree, index all vectors, calibrate. None if there is no usable vector."""
+    """Fit the tree, index all vectors, calibrate. None if there is no usable vector.
+
+    The calibration queries are rows of the table (a vector that many rows hold counts as often); they are kept out
+    of the fit if there are at least 8 times as many vectors; of fewer vectors an eighth, and of fewer than 64 none.
+    """
     plain = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v")).filter(
         F.col("vec_id").isNotNull() & usable(F.col("v"))
     )
@@ -180,9 +178,14 @@ def build(
         plain.withColumn("place", place).filter(F.col("place") <= k + 1).drop("place").dropDuplicates(["v", "vec_id"]), "vectors"
     )
     total = kept.count()
-    sample = kept.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).toArrow()
-    sample = sample.sort_by("vec_id")
-    x = matrix(sample.column("v"))
+    asked = min(calibration, total // 8) if total >= 64 else 0
+    by_hash = [F.xxhash64("vec_id", "v"), F.col("vec_id")]
+    sample = kept.orderBy(*by_hash).limit(sample_rows + asked).toArrow()
+    tests = plain.orderBy(*by_hash).limit(asked or calibration).toArrow()
+    ids, q, x = tests.column("vec_id").to_numpy(), matrix(tests.column("v")), matrix(sample.column("v"))
+    fresh = ~np.isin(sample.column("vec_id").to_numpy(), ids)
+    if asked and fresh.any():
+        x = x[fresh]
     tree = Tree(leaf_rows=max(8, leaf_size * len(x) // total)).fit(x)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,102 +197,143 @@ def build(
     rows = materialise(kept.mapInArrow(assign, f"leaf long, vec_id long, v {kept.schema['v'].dataType.simpleString()}"), "leaves")
     sizes = {r["leaf"]: r["count"] for r in rows.groupBy("leaf").count().collect()}  # one row per leaf of the tree
 
-    ids, q = sample.column("vec_id").to_numpy()[:: max(1, len(x) // calibration)], x[:: max(1, len(x) // calibration)]
-
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = batch.column(1).to_numpy()
             if not len(own):
                 continue
-            leaf = dict(zip(own.tolist(), batch.column(0).to_pylist(), strict=True))
-            got = list(best(own, matrix(batch.column(2)), q, k + 1))
-            table = _found(ids.tolist(), [g[0] for g in got], [g[1] for g in got])
-            table = table.append_column("leaf", pa.array([leaf[i] for i in table.column("vec_id").to_pylist()], pa.int64()))
-            yield from table.combine_chunks().to_batches()
+            leaf = batch.column(0).to_numpy()
+            for n, (at, score) in enumerate(best(own, matrix(batch.column(2)), q, k + 1)):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(at), n)), pa.array(own[at]), pa.array(score), pa.array(leaf[at])], ["q", "vec_id", "score", "leaf"]
+                )
 
-    top = Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
+    top = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
+    named = F.element_at(F.lit(ids.tolist()) if len(ids) > 1 else F.array(F.lit(int(ids[0]))), F.col("q").cast("int") + 1)
     truth = (
-        rows.mapInArrow(exact, "qid long, vec_id long, score double, leaf long")
-        .filter("qid <> vec_id")
+        rows.mapInArrow(exact, "q long, vec_id long, score double, leaf long")
+        .filter(named != F.col("vec_id"))
         .withColumn("rank", F.row_number().over(top))
         .filter(F.col("rank") <= k)
-        .select("qid", "leaf")
+        .select("q", "leaf")
         .collect()  # k rows for each of the calibration queries
     )
-    order = {i: {leaf: n for n, leaf in enumerate(tree.visits(v, tree.leaves))} for i, v in zip(ids.tolist(), q, strict=True)}
-    needed = np.array([order[r["qid"]][r["leaf"]] for r in truth])
-    visits = 1
-    while len(needed) and visits < tree.leaves and (needed < visits).mean() < recall:
-        visits += 1
+    order = []
+    for v in q:
+        place_of = np.empty(tree.leaves, np.int64)
+        place_of[tree.visits(v, tree.leaves)] = np.arange(tree.leaves)
+        order.append(place_of)
+    needed = np.sort(np.array([order[r["q"]][r["leaf"]] for r in truth], np.int64))
+    # The smallest number of visits that meets the wanted share of true neighbours.
+    visits = int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)]) + 1 if len(needed) else 1
     return Index(tree, rows, sizes, visits, float((needed < visits).mean()) if len(needed) else 1.0)
 
 
+def units(sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """First unit and number of units of each leaf: neighbouring leaves share a unit of up to ``most`` rows, larger leaves have several."""
+    first, parts = np.zeros(len(sizes), np.int64), np.ones(len(sizes), np.int64)
+    unit, held = 0, 0
+    for leaf, n in enumerate(sizes.tolist()):
+        if n > most:
+            unit, held = unit + (held > 0), 0
+            first[leaf], parts[leaf] = unit, -(-n // most)
+            unit += int(parts[leaf])
+            continue
+        if held + n > most:
+            unit, held = unit + 1, 0
+        first[leaf] = unit
+        held += n
+    return first, parts
+
+
 def search(index: Index, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: up to k nearest of each usable query but itself."""
-    tree, visits, sizes, dim = index.tree, index.visits, index.sizes, index.tree.centres.shape[1]
+    tree, visits, dim = index.tree, index.visits, index.tree.centres.shape[1]
+    sizes = np.array([index.sizes.get(leaf, 0) for leaf in range(tree.leaves)], np.int64)
     own = queries.select(F.col(id_col).cast("long").alias("query_id"), F.col(vector_col).alias("v")).filter(
         F.col("query_id").isNotNull() & usable(F.col("v")) & (F.size("v") == dim)
     ).dropDuplicates()
     own = materialise(own, "queries")
-    distinct = own.groupBy("v").agg(F.min("query_id").alias("qid"))
+    spark = own.sparkSession
+    distinct = materialise(own.groupBy("v").agg(F.min("query_id").alias("qid"), F.count(F.lit(1)).alias("n")), "asked")
     kind = own.schema["v"].dataType.simpleString()
+    blocks = max(1, -(-distinct.count() // QUERY_ROWS))
+    most = min(GROUP_ROWS, max(1024, int(sizes.sum()) // (4 * spark.sparkContext.defaultParallelism)))
+    first, parts = units(sizes, most)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A query in each unit it visits, with the leaves it visits there."""
         for batch in batches:
-            if batch.num_rows:
+            at: list[int] = []
+            unit: list[int] = []
+            seen: list[np.ndarray] = []
+            for n, v in enumerate(matrix(batch.column(0)) if batch.num_rows else ()):
                 # k + 1, as the query's own row is one of them.
-                seen = [tree.visits(v, visits, sizes, k + 1) for v in matrix(batch.column(0))]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(1), batch.column(0), pa.array(seen, pa.list_(pa.int64()))], ["qid", "v", "leaves"]
-                )
-
-    walked = materialise(distinct.mapInArrow(walk, f"qid long, v {kind}, leaves array<bigint>"), "walks")
-    asked = {
-        r["leaf"]: r["count"] for r in walked.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count().collect()
-    }
-    spark = own.sparkSession
-    cuts = [(leaf, -(-n // CHUNK), -(-asked[leaf] // CHUNK)) for leaf, n in index.sizes.items() if leaf in asked]
-    if not cuts:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    chunks = F.broadcast(spark.createDataFrame(cuts, "leaf long, parts int, query_parts int"))  # one row per leaf
-    stored = (
-        index.rows.join(chunks, "leaf")
-        .withColumn("a", F.pmod(F.xxhash64("vec_id"), F.col("parts")))
-        .withColumn("b", F.explode(F.sequence(F.lit(0), F.col("query_parts") - 1)))
-        .select("leaf", F.col("a").cast("int").alias("a"), "b", "vec_id", "v")
+                leaves = np.sort(np.array(tree.visits(v, visits, sizes, k + 1), np.int64))
+                leaves = leaves[sizes[leaves] > 0]
+                cuts = np.flatnonzero(np.diff(first[leaves])) + 1
+                for some in np.split(leaves, cuts) if len(leaves) else ():
+                    for part in range(int(parts[some[0]])):
+                        at.append(n)
+                        unit.append(int(first[some[0]]) + part)
+                        seen.append(some)
+            some = batch.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([some.column(1), some.column(0), pa.array(unit, pa.int64()), pa.array(seen, pa.list_(pa.int64()))], ["qid", "v", "unit", "leaves"])
+
+    walked = distinct.select("v", "qid").mapInArrow(walk, f"qid long, v {kind}, unit long, leaves array<bigint>")
+    asking = materialise(walked.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int")), "walks")
+    places = F.broadcast(  # one row per leaf of the tree, which the sample bounds
+        spark.createDataFrame(list(zip(range(len(sizes)), first.tolist(), parts.tolist(), strict=True)), "leaf long, first long, parts long")
     )
-    asking = (
-        walked.select("qid", "v", F.explode("leaves").alias("leaf"))
-        .join(chunks, "leaf")
-        .withColumn("b", F.pmod(F.xxhash64("qid"), F.col("query_parts")))
-        .withColumn("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("leaf", "a", F.col("b").cast("int").alias("b"), "qid", "v")
+    stored = (
+        index.rows.join(places, "leaf")
+        .withColumn("unit", F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("parts")))
+        .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        .select("unit", "block", "leaf", "vec_id", "v")
     )
+    found_type = "qid long, vec_id long, score double, same boolean"
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, x = left.column("vec_id").to_numpy(), matrix(left.column("v"))
-        qids, q = right.column("qid").to_pylist(), matrix(right.column("v"))
-        if not len(ids) or not qids:
-            return _found([], [], [])
-        got = list(best(ids, x, q, k + 1))
-        return _found(qids, [g[0] for g in got], [g[1] for g in got])
-
-    near = (
-        stored.groupBy("leaf", "a", "b")
-        .cogroup(asking.groupBy("leaf", "a", "b"))
-        .applyInArrow(score, "qid long, vec_id long, score double")
-    )
+        """The k + 1 best rows of the leaves that each query visits in a unit."""
+        names = ["qid", "vec_id", "score", "same"]
+        empty = pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64()), pa.array([], pa.bool_())], names)
+        if not left.num_rows or not right.num_rows:
+            return empty
+        left = left.sort_by("leaf")
+        ids, x, leaf = left.column("vec_id").to_numpy(), matrix(left.column("v")), left.column("leaf").to_numpy()
+        starts = np.flatnonzero(np.concatenate([[True], leaf[1:] != leaf[:-1]]))
+        ends = np.append(starts[1:], len(leaf))
+        out: list[list[np.ndarray]] = [[] for _ in names]
+        for a in range(0, right.num_rows, 512):  # bounds the scores held at once
+            some = right.slice(a, 512)
+            qids, q, lists = some.column("qid").to_numpy(), matrix(some.column("v")), some.column("leaves").combine_chunks()
+            asks, wanted = np.repeat(np.arange(len(q)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()
+            by_leaf = np.argsort(wanted, kind="stable")
+            wanted, asks = wanted[by_leaf], asks[by_leaf]
+            rough = np.full((len(q), len(x)), -np.inf)
+            for c, d in zip(starts.tolist(), ends.tolist(), strict=True):
+                low, high = np.searchsorted(wanted, [leaf[c], leaf[c] + 1])
+                rough[asks[low:high], c:d] = q[asks[low:high]] @ x[c:d].T
+            for j, (at, exact) in enumerate(best(ids, x, q, k + 1, rough)):
+                same = np.zeros(len(at), bool)
+                same[:] = (x[at] == q[j]).all(axis=1)
+                for o, v in zip(out, (np.full(len(at), qids[j]), ids[at], exact, same), strict=True):
+                    o.append(v)
+        return pa.table([pa.array(np.concatenate(o)) for o in out], names)
+
+    near = stored.groupBy("unit", "block").cogroup(asking.groupBy("unit", "block")).applyInArrow(score, found_type)
     top = Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
     lists = (
         near.withColumn("place", F.row_number().over(top))
         .filter(F.col("place") <= k + 1)
         .groupBy("qid")
-        .agg(F.array_sort(F.collect_list(F.struct("place", "vec_id", "score"))).alias("found"))
+        .agg(F.array_sort(F.collect_list(F.struct("place", "vec_id", "score", "same"))).alias("found"))
     )
-    named = own.join(distinct, "v").select("query_id", "qid")
+    answered = distinct.join(lists, "qid").select("v", "n", "found")
+    other = lambda r: ~(r["same"] & (r["vec_id"] == F.col("query_id")))
     return (
-        named.join(lists, "qid")
-        .select("query_id", F.slice(F.filter("found", lambda r: r["vec_id"] != F.col("query_id")), 1, k).alias("found"))
+        hot_join(own, answered, "v", "n")
+        .select("query_id", F.slice(F.filter("found", other), 1, k).alias("found"))
         .select("query_id", F.posexplode("found").alias("at", "r"))
         .select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "r.vec_id", "r.score")
     )

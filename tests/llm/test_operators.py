@@ -159,6 +159,39 @@ def test_nearest_neighbours_of_small_leaves(spark):
     assert len(got) == 300 and {r["count"] for r in got} == {20}
 
 
+def test_nearest_ties_and_equal_ids(spark):
+    rng = np.random.default_rng(29)
+    base = rng.integers(-2, 3, size=(200, 3))  # many equal inner products and vectors
+    rows = [(i, v.tolist()) for i, v in enumerate(base) if v.any()]
+    rows += [(7, [5, 5, 5]), (7, [4, 5, 5]), (7, [4, 5, 5])]  # one id with several vectors, one of them twice
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in rows], "vec_id long, embedding array<double>")
+    index = kmeans_tree.build(df, k=20, leaf_size=4)
+    index.visits = index.tree.leaves  # all leaves: exact
+    distinct = sorted({(i, tuple(v)) for i, v in rows})
+    got = {}
+    for r in kmeans_tree.search(index, df.filter("vec_id % 20 = 0 or vec_id = 7"), 20).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    for q in sorted({i for i, _ in rows if i % 20 == 0 or i == 7}):
+        want = []
+        for own in [v for i, v in distinct if i == q]:
+            others = sorted((-float(np.dot(own, v)), i) for i, v in distinct if (i, v) != (q, own))[:20]
+            want += [(n, i, -s) for n, (s, i) in enumerate(others, 1)]
+        assert sorted(got[q]) == sorted(want), q
+    walk = index.tree.visits(np.array([1.0, 2.0, 3.0]), index.tree.leaves)
+    assert sorted(walk) == list(range(index.tree.leaves))
+
+
+def test_units_hold_every_leaf_once():
+    sizes = np.array([5, 0, 9, 3, 25, 4, 4, 4, 11, 1])
+    first, parts = kmeans_tree.units(sizes, 10)
+    held = {}
+    for leaf, (f, p) in enumerate(zip(first, parts)):
+        assert p == max(1, -(-sizes[leaf] // 10) if sizes[leaf] > 10 else 1)
+        for u in range(f, f + p):
+            held.setdefault(u, []).append(leaf)
+    assert all(len(x) == 1 or sum(sizes[x]) <= 10 for x in held.values()) and sorted(held) == list(range(max(held) + 1))
+
+
 # --- 3: license scan -----------------------------------------------------------------------------
 
 
