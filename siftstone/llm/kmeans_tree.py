@@ -255,7 +255,8 @@ def search(index: Index, queries: DataFrame, k: int, id_col: str = "vec_id", vec
     ).dropDuplicates()
     own = materialise(own, "queries")
     spark = own.sparkSession
-    distinct = materialise(own.groupBy("v").agg(F.min("query_id").alias("qid"), F.count(F.lit(1)).alias("n")), "asked")
+    # A number for each distinct vector, fixed by being stored.
+    distinct = materialise(own.groupBy("v").agg(F.count(F.lit(1)).alias("n")).withColumn("qid", F.monotonically_increasing_id()), "asked")
     kind = own.schema["v"].dataType.simpleString()
     blocks = max(1, -(-distinct.count() // QUERY_ROWS))
     most = min(GROUP_ROWS, max(1024, int(sizes.sum()) // (4 * spark.sparkContext.defaultParallelism)))
@@ -321,6 +322,9 @@ def search(index: Index, queries: DataFrame, k: int, id_col: str = "vec_id", vec
                     o.append(v)
         return pa.table([pa.array(np.concatenate(o)) for o in out], names)
 
+    # The work is in the scores, not in the bytes: as many partitions as there are, however small.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    stored, asking = (t.repartition(tasks, "unit", "block") for t in (stored, asking))
     near = stored.groupBy("unit", "block").cogroup(asking.groupBy("unit", "block")).applyInArrow(score, found_type)
     top = Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
     lists = (
