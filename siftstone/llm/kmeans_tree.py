@@ -281,7 +281,9 @@ def search(index: Index, queries: DataFrame, k: int, id_col: str = "vec_id", vec
             some = batch.take(pa.array(at, pa.int64()))
             yield pa.RecordBatch.from_arrays([some.column(1), some.column(0), pa.array(unit, pa.int64()), pa.array(seen, pa.list_(pa.int64()))], ["qid", "v", "unit", "leaves"])
 
-    walked = distinct.select("v", "qid").mapInArrow(walk, f"qid long, v {kind}, unit long, leaves array<bigint>")
+    # The work is in the walks and scores, not in the bytes: all tasks there are, however small the tables.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    walked = distinct.select("v", "qid").repartition(tasks, "qid").mapInArrow(walk, f"qid long, v {kind}, unit long, leaves array<bigint>")
     asking = materialise(walked.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int")), "walks")
     places = F.broadcast(  # one row per leaf of the tree, which the sample bounds
         spark.createDataFrame(list(zip(range(len(sizes)), first.tolist(), parts.tolist(), strict=True)), "leaf long, first long, parts long")
@@ -322,8 +324,6 @@ def search(index: Index, queries: DataFrame, k: int, id_col: str = "vec_id", vec
                     o.append(v)
         return pa.table([pa.array(np.concatenate(o)) for o in out], names)
 
-    # The work is in the scores, not in the bytes: as many partitions as there are, however small.
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
     stored, asking = (t.repartition(tasks, "unit", "block") for t in (stored, asking))
     near = stored.groupBy("unit", "block").cogroup(asking.groupBy("unit", "block")).applyInArrow(score, found_type)
     top = Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
