@@ -63,7 +63,15 @@ class Tree:
         self._add(x)
         self.centres = np.array(self._centres)
         self.spread = np.array(self.spreads)
-        self.kids = [(self.centres[c], self.spread[c] / np.sqrt(x.shape[1]), c) if c else None for c in self.children]
+        self.wide = self.spread / np.sqrt(x.shape[1])
+        leaf = np.array(self.leaf)
+        # Children of each node: centres and spreads, the leaf numbers of those that are leaves, the nodes of the others.
+        self.kids = []
+        for own in self.children:
+            c = np.array(own, np.int64)
+            ends = leaf[c] >= 0
+            c = np.concatenate([c[ends], c[~ends]])
+            self.kids.append((self.centres[c], self.wide[c], leaf[c[: ends.sum()]], c[ends.sum() :].tolist()))
         del self._centres, self.spreads, self.rng
         return self
 
@@ -112,19 +120,33 @@ class Tree:
 
     def visits(self, q: np.ndarray, most: int, sizes: np.ndarray | None = None, least: int = 0) -> list[int]:
         """The first leaves of a best-bin-first walk, and those after them until leaves of these sizes give the least number of rows."""
+        if self.leaf[0] >= 0:
+            return [0]
         length = float(np.linalg.norm(q))
-        heap, out, met = [(0.0, 0)], [], 0
-        while heap and (len(out) < most or sizes is not None and met < least):
-            node = heapq.heappop(heap)[1]
-            kids = self.kids[node]
-            if kids is None:
-                leaf = self.leaf[node]
-                out.append(leaf)
-                met += int(sizes[leaf]) if sizes is not None else 0
-            else:
-                for key, child in zip((kids[0] @ q + length * kids[1]).tolist(), kids[2], strict=True):
-                    heapq.heappush(heap, (-key, child))
-        return out
+        heap: list[tuple[float, int]] = [(-np.inf, 0)]
+        keys, leaves, held = [np.zeros(0)], [np.zeros(0, np.int64)], 0
+        while heap:
+            top, node = heap[0]
+            if held >= most:
+                # Leaves whose key no unopened node exceeds are visited before all that is still to come.
+                key, leaf = np.concatenate(keys), np.concatenate(leaves)
+                keys, leaves = [key], [leaf]
+                settled = leaf[key >= -top]
+                if len(settled) >= most and (sizes is None or sizes[settled].sum() >= least):
+                    break
+            heapq.heappop(heap)
+            centres, wide, ends, inner = self.kids[node]
+            key = centres @ q + length * wide
+            keys.append(key[: len(ends)])
+            leaves.append(ends)
+            held += len(ends)
+            for k, child in zip((-key[len(ends) :]).tolist(), inner, strict=True):
+                heapq.heappush(heap, (k, child))
+        key, leaf = np.concatenate(keys), np.concatenate(leaves)
+        leaf = leaf[np.lexsort((leaf, -key))]
+        if sizes is not None and most < len(leaf):
+            most = max(most, int(np.searchsorted(np.cumsum(sizes[leaf]), least)) + 1)
+        return leaf[:most].tolist()
 
 
 def best(ids: np.ndarray, x: np.ndarray, q: np.ndarray, k: int, rough: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
