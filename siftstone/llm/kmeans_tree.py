@@ -124,10 +124,11 @@ class Tree:
             return [0]
         length = float(np.linalg.norm(q))
         heap: list[tuple[float, int]] = [(-np.inf, 0)]
-        keys, leaves, held = [np.zeros(0)], [np.zeros(0, np.int64)], 0
+        keys, leaves, held, opened = [np.zeros(0)], [np.zeros(0, np.int64)], 0, 0
         while heap:
             top, node = heap[0]
-            if held >= most:
+            opened += 1
+            if held >= most and opened % 16 == 0:
                 # Leaves whose key no unopened node exceeds are visited before all that is still to come.
                 key, leaf = np.concatenate(keys), np.concatenate(leaves)
                 keys, leaves = [key], [leaf]
