@@ -1,19 +1,19 @@
 """Benchmark decontamination over a positional inverted index, with DataFrame functions only.
 
-1. The terms of all benchmark (test) items form the vocabulary; its postings in the documents
-   are counted exactly.
-2. Each window of ``window`` item words gets an anchor, its rarest term (ties by the term).
-   The index stores the postings of all anchors: term, document, position, and the words
-   around that place (a posting's neighbourhood, ``window - 1`` words on both sides).
-3. An item occurrence of an anchor is joined to the anchor's postings; both lists are adjusted by their
-   offset, so that one row is one alignment of item and document. From the anchor outwards the
-   alignment is intersected with the neighbouring words on both sides; if the run of equal words is
-   as long as a window, every window through the anchor in that run occurs in the document.
-4. The alignments of a document are merged into covered word ranges and distinct items.
-
-Item sides are broadcast only when they were counted to be small (``small_rows``); beyond that
-the same joins shuffle. Repeated windows and items are resolved once (distinct anchors by
-their own context), so a benchmark of copies does not multiply rows.
+1. The terms of all benchmark (test) windows form the vocabulary; its postings in the (training) documents are
+   counted exactly. A window with a term that no document has can't occur and is left out.
+2. The index is stored: term, document, positions (ascending). It holds the postings of all vocabulary terms
+   in every document that has the rarest term of some window; other documents' lists can't be reached from a
+   rarest term, so they are never written.
+3. Each window's lists are intersected from the rarest term on. A position of the rarest term is an alignment; it
+   stays if the next rarest term's list of the same document has the position that its offset asks for,
+   and is a match if the lists of all further terms have theirs too.
+4. Exact matches ask for one position of each list; proximity matches for any within ``window - 1 + slop`` words of
+   the rarest term. Exact matches of a document are merged into covered word ranges and distinct items.
+
+Item sides are broadcast only when their rows and bytes were counted to be small (``small_rows``); beyond
+that the same joins shuffle, and the postings of the most frequent terms still meet their terms by broadcast, so that no
+term's postings gather in one task.
 
 Edge cases: null and empty texts (documents or items) have no words; items without words match
 nothing; an item shorter than the window is one window; repeated item ids keep all their texts and
@@ -23,14 +23,17 @@ matches; other columns do not matter.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import hot_join, materialise
 
 # Runs of digits, a-z and non-ASCII characters of the lower-cased text.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+SMALL_BYTES = 64 << 20
 
 
 def words(text: Column) -> Column:
@@ -41,152 +44,143 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(lower, SEPARATORS), "")
 
 
-def windows(items: DataFrame, window: int, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """One row per item and window: item, w (its words), n (how many), start."""
-    return (
-        items.select(F.col(item_col).alias("item"), words(F.col(text_col)).alias("iw"))
-        .filter(F.size("iw") > 0)
-        .dropDuplicates()
-        .withColumn("start", F.explode(F.sequence(F.lit(0), F.greatest(F.size("iw") - window, F.lit(0)))))
-        .select("item", "iw", "start", F.slice("iw", F.col("start") + 1, window).alias("w"))
-    )
+def small(df: DataFrame, rows: int, text: str | None = None) -> DataFrame:
+    """df (a stored table) with a broadcast hint if it is counted to have few rows and, in its text column, few bytes."""
+    size = F.coalesce(F.sum(F.octet_length(text)), F.lit(0)) if text else F.lit(0)
+    counted = df.agg(F.count(F.lit(1)).alias("n"), size.alias("bytes")).first()
+    return F.broadcast(df) if counted["n"] <= rows and counted["bytes"] <= SMALL_BYTES else df
 
 
-def anchors(all_windows: DataFrame, counts: DataFrame) -> DataFrame:
-    """Distinct anchor occurrences: term, before and after (item words around it, within its windows), items.
+def is_small(df: DataFrame, rows: int, text: str) -> bool:
+    return small(df, rows, text) is not df
 
-    For every window the rarest term; ties go to the smaller term, then the earlier place.
-    """
-    ranked = (
-        all_windows.select("item", "iw", "start", F.size("w").alias("n"), F.posexplode("w").alias("at", "term"))
-        .join(counts, "term", "left")
-        .groupBy("item", "iw", "start", "n")
-        .agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("c"), "term", "at")).alias("best"))
-        .filter("best.c > 0")  # a window with a word that no document has can't occur
-    )
-    return (
-        ranked.select("item", "iw", "n", F.col("best.term").alias("term"), (F.col("start") + F.col("best.at")).alias("q"))
-        .distinct()
-        .select(
-            "item",
-            "term",
-            "n",
-            F.reverse(F.slice("iw", F.greatest(F.col("q") - F.col("n") + 2, F.lit(1)), F.least(F.col("q"), F.col("n") - 1))).alias("before"),
-            F.slice("iw", F.col("q") + 2, F.col("n") - 1).alias("after"),
-        )
-        .groupBy("term", "n", "before", "after")
-        .agg(F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("items"))
-    )
 
+def tokens(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, h (the text's hash, which tells rows with equal ids apart), at, term: every word of every document."""
+    h = F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h")
+    return docs.select(F.col(id_col).alias("doc_id"), h, F.posexplode(words(F.col(text_col))).alias("at", "term"))
 
-def run_length(a: Column, b: Column) -> Column:
-    """How many leading elements of both arrays are equal."""
-    shared = F.least(F.size(a), F.size(b))
-    differs = F.zip_with(F.slice(a, 1, shared), F.slice(b, 1, shared), lambda x, y: x != y)
-    first = F.array_position(differs, True)
-    return F.when(first > 0, first - 1).otherwise(shared).cast("int")
 
+def same_document(a: DataFrame, b: DataFrame) -> Column:
+    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["h"] == b["h"])
 
-def covered(ranges: Column) -> Column:
-    """Number of positions in a union of [first, end) ranges."""
-    start = F.struct(F.lit(0).cast("int").alias("total"), F.lit(0).cast("int").alias("end"))
 
-    def step(acc: Column, r: Column) -> Column:
-        return F.struct(
-            (acc["total"] + F.greatest(r["end"] - F.greatest(r["first"], acc["end"]), F.lit(0))).alias("total"),
-            F.greatest(acc["end"], r["end"]).alias("end"),
-        )
+def at_terms(all_tokens: DataFrame, terms: DataFrame, small_rows: int) -> DataFrame:
+    """The tokens that are one of the terms (term, count), with no term's tokens in one task."""
+    own = terms.select("term", "count")
+    if is_small(own, small_rows, "term"):
+        return all_tokens.join(F.broadcast(own), "term")
+    return hot_join(all_tokens, own, "term", "count")
 
-    return F.aggregate(F.array_sort(ranges), start, step, lambda acc: acc["total"])
 
+@dataclass
+class Windows:
+    """Distinct windows by the hash of their words.
 
-def posting_counts(docs: DataFrame, vocabulary: DataFrame, text_col: str = "text") -> DataFrame:
-    """Exact number of postings in the documents of each term of the vocabulary."""
-    return (
-        docs.select(F.explode(words(F.col(text_col))).alias("term")).join(vocabulary, "term").groupBy("term").count()
-    )
+    lists: wid, place, term, count, off: the terms of each window that can occur, rarest first. items: wid, item.
+    """
 
+    lists: DataFrame
+    items: DataFrame
+    terms: DataFrame
+    small_rows: int
+
+    @staticmethod
+    def of(docs: DataFrame, items: DataFrame, window: int, small_rows: int, id_col: str, item_col: str, text_col: str) -> Windows:
+        item_words = items.select(F.col(item_col).cast("string").alias("item"), words(F.col(text_col)).alias("iw")).filter(F.size("iw") > 0)
+        starts = F.explode(F.sequence(F.lit(0), F.greatest(F.size("iw") - window, F.lit(0))))
+        cut = item_words.select("item", "iw", starts.alias("start")).select("item", F.slice("iw", F.col("start") + 1, window).alias("w"))
+        named = materialise(cut.select(F.sha2(F.concat_ws(" ", "w"), 256).alias("wid"), "item", "w").distinct(), "windows")
+        distinct = named.select("wid", "w").dropDuplicates(["wid"])
+        vocabulary = materialise(distinct.select(F.explode("w").alias("term")).distinct(), "vocabulary")
+        found = tokens(docs, id_col, text_col).select("term")
+        if is_small(vocabulary, small_rows, "term"):
+            counted = found.join(F.broadcast(vocabulary), "term").groupBy("term").count()
+        else:  # summed by term before terms move
+            counted = found.groupBy("term").count().join(vocabulary, "term")
+        counts = materialise(counted, "posting-counts")
+        places = distinct.select("wid", F.size("w").alias("n"), F.posexplode("w").alias("off", "term")).join(small(counts, small_rows, "term"), "term")
+        known = places.groupBy("wid", "n").agg(F.array_sort(F.collect_list(F.struct("count", "term", "off"))).alias("lists")).filter(F.size("lists") == F.col("n"))
+        lists = materialise(known.select("wid", F.posexplode("lists").alias("place", "x")).select("wid", "place", "x.term", "x.count", "x.off"), "lists")
+        return Windows(lists, named.select("wid", "item").join(lists.select("wid").distinct(), "wid", "left_semi"), counts, small_rows)
+
+
+def build_index(docs: DataFrame, windows: Windows, id_col: str, text_col: str) -> DataFrame:
+    """The stored index: term, doc_id, h, positions, sorted by term within its files."""
+    rows = windows.small_rows
+    rarest = materialise(windows.lists.filter("place = 0").select("term", "count").distinct(), "rarest")
+    reached = materialise(at_terms(tokens(docs, id_col, text_col), rarest, rows).select("doc_id", "h").distinct(), "reached")
+    vocabulary = materialise(windows.lists.select("term", "count").distinct(), "terms")
+    rows_of = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"), F.col(text_col).alias("text"))
+    some = small(reached, 50 * rows)
+    chosen = rows_of.join(some, same_document(rows_of, some), "left_semi")
+    postings = at_terms(tokens(chosen, "doc_id", "text"), vocabulary, rows).groupBy("term", "doc_id", "h")
+    return materialise(postings.agg(F.array_sort(F.collect_set("at")).alias("positions")).sortWithinPartitions("term"), "index")
+
+
+def intersect(found: DataFrame, index: DataFrame, wanted: DataFrame, small_rows: int) -> DataFrame:
+    """Alignments (doc_id, h, wid, s) that all lists of their window agree to.
+
+    wanted: wid, place (rarest list first, from 1), term, low, high: the list of the term has a position from s + low
+    to s + high. The second rarest list is intersected first, all others with what that leaves.
+    """
 
-def neighbourhood(w: Column, at: Column, reach: int) -> list[Column]:
-    """Up to reach words in front of a place, nearest first, and behind it."""
-    return [
-        F.reverse(F.slice(w, F.greatest(at - reach + 1, F.lit(1)), F.least(at, F.lit(reach)))).alias("before"),
-        F.slice(w, at + 2, reach).alias("after"),
-    ]
+    def meets(part: DataFrame, lists: DataFrame) -> DataFrame:
+        asked = part.join(small(lists, small_rows, "term"), "wid")
+        here = F.exists("positions", lambda p: (p >= F.col("s") + F.col("low")) & (p <= F.col("s") + F.col("high")))
+        return asked.join(index.withColumnsRenamed({"doc_id": "d", "h": "g", "term": "t"}), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")) & (F.col("term") == F.col("t"))).filter(here)
 
+    key = ["doc_id", "h", "wid", "s"]
+    wanted = materialise(wanted, "wanted")
+    sizes = materialise(wanted.groupBy("wid").agg(F.count(F.lit(1)).alias("lists")), "sizes")
+    alone = found.join(small(sizes, small_rows), "wid", "left_anti").select(*key)
+    second = materialise(meets(found, wanted.filter("place = 1")).select(*key), "second")
+    rest = meets(second, materialise(wanted.filter("place > 1"), "rest")).groupBy(*key).agg(F.count(F.lit(1)).alias("met"))
+    all_met = rest.join(small(sizes, small_rows), "wid").filter("met = lists - 1").select(*key)
+    two = materialise(sizes.filter("lists = 1").select("wid"), "two")
+    return alone.unionByName(second.join(small(two, small_rows), "wid", "left_semi").select(*key)).unionByName(all_met)
 
-def build_index(docs: DataFrame, terms: DataFrame, reach: int, small_rows: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """Documents (doc_id, h, n_words) and the postings of terms (doc_id, h, term, at, before, after), both stored.
 
-    Up to small_rows terms the words of a document are tested in the scan against the set of
-    terms; more terms are joined to the exploded words by a shuffle, and the places found to their documents.
-    """
-    base = docs.select(
-        F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("h"), words(F.col(text_col)).alias("w")
-    )
-    known = [r["term"] for r in terms.limit(small_rows + 1).collect()]
-    if len(known) <= small_rows:
-        here = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.get("w", i).isin(known))
-        places = F.when(F.size("w") > 0, here).otherwise(F.array().cast("array<int>"))
-        index = materialise(
-            base.select("doc_id", "h", "w", places.alias("places")).select(
-                "doc_id",
-                "h",
-                F.size("w").alias("n_words"),
-                F.transform(
-                    "places",
-                    lambda i: F.struct(F.get("w", i).alias("term"), i.alias("at"), *neighbourhood(F.col("w"), i, reach)),
-                ).alias("postings"),
-            ),
-            "postings",
-        )
-        return index.drop("postings"), index.select("doc_id", "h", F.inline("postings"))
-    found = base.select("doc_id", "h", F.posexplode("w").alias("at", "term")).join(terms, "term").distinct()
-    unique = base.dropDuplicates(["doc_id", "h"])
-    same = found["doc_id"].eqNullSafe(unique["doc_id"]) & (found["h"] == unique["h"])
-    stored = materialise(
-        found.join(unique, same).select(found["doc_id"], found["h"], "term", "at", *neighbourhood(F.col("w"), F.col("at"), reach)),
-        "postings",
-    )
-    return materialise(base.select("doc_id", "h", F.size("w").alias("n_words")), "lengths"), stored
+def alignments(index: DataFrame, windows: Windows, offset: Column) -> DataFrame:
+    """doc_id, h, wid, s: every position of a window's rarest term, less an offset."""
+    first = materialise(windows.lists.filter("place = 0").select("term", "wid", "off"), "first")
+    return index.join(small(first, windows.small_rows, "term"), "term").select("doc_id", "h", "wid", F.explode("positions").alias("at"), "off").select("doc_id", "h", "wid", (F.col("at") - offset).alias("s"))
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """df with a broadcast hint if it is counted to have few rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def exact(index: DataFrame, windows: Windows) -> DataFrame:
+    """doc_id, h, first, end, wid: every place where a window's words stand consecutively."""
+    wanted = windows.lists.filter("place > 0").select("wid", "place", "term", F.col("off").alias("low"), F.col("off").alias("high"))
+    met = intersect(alignments(index, windows, F.col("off")).filter("s >= 0"), index, wanted, windows.small_rows)
+    sizes = materialise(windows.lists.groupBy("wid").agg(F.count(F.lit(1)).cast("int").alias("n")), "window-sizes")
+    return met.join(small(sizes, windows.small_rows), "wid").select("doc_id", "h", F.col("s").alias("first"), (F.col("s") + F.col("n")).alias("end"), "wid")
 
 
-def prepare(docs: DataFrame, items: DataFrame, window: int, small_rows: int, item_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """All item windows and the posting counts of their terms, both stored."""
-    all_windows = materialise(windows(items, window, item_col, text_col), "windows")
-    vocabulary = materialise(all_windows.select(F.explode("w").alias("term")).distinct(), "vocabulary")
-    return all_windows, materialise(posting_counts(docs, small(vocabulary, small_rows), text_col), "posting-counts")
+def near(index: DataFrame, windows: Windows, reach: int) -> DataFrame:
+    """doc_id, h, at, wid: places of a window's rarest term that have all its other words within reach on either side."""
+    terms = windows.lists.groupBy("wid", "term").agg(F.min("place").alias("p"))
+    anchors = windows.lists.filter("place = 0").select("wid", F.col("term").alias("anchor"))
+    others = terms.join(small(materialise(anchors, "anchors"), windows.small_rows, "anchor"), "wid").filter("term <> anchor")
+    ranked = others.groupBy("wid").agg(F.array_sort(F.collect_list(F.struct("p", "term"))).alias("x")).select("wid", F.posexplode("x").alias("place", "y"))
+    wanted = ranked.select("wid", (F.col("place") + 1).alias("place"), "y.term", F.lit(-reach).alias("low"), F.lit(reach).alias("high"))
+    return intersect(alignments(index, windows, F.lit(0)), index, wanted, windows.small_rows).select("doc_id", "h", F.col("s").alias("at"), "wid")
 
 
-def phrase_matches(
-    docs: DataFrame,
-    items: DataFrame,
-    window: int = 10,
-    small_rows: int = 20_000,
-    id_col: str = "doc_id",
-    item_col: str = "item_id",
-    text_col: str = "text",
-) -> tuple[DataFrame, DataFrame]:
-    """Documents (doc_id, h, n_words) and exact matches (doc_id, h, first, end, items).
+def prepare(docs: DataFrame, items: DataFrame, window: int, small_rows: int, id_col: str, item_col: str, text_col: str) -> tuple[DataFrame, Windows]:
+    windows = Windows.of(docs, items, window, small_rows, id_col, item_col, text_col)
+    return build_index(docs, windows, id_col, text_col), windows
 
-    h is the hash of the text, which tells rows with equal ids apart.
-    """
-    all_windows, counts = prepare(docs, items, window, small_rows, item_col, text_col)
-    chosen = materialise(anchors(all_windows, counts), "anchors")
-    lengths, stored = build_index(docs, chosen.select("term").distinct(), window - 1, small_rows, id_col, text_col)
-    own = small(chosen.select("term", "n", F.col("before").alias("ib"), F.col("after").alias("ia"), "items"), small_rows)
-    matches = (
-        stored.join(own, "term")
-        .withColumns({"left": run_length(F.col("ib"), F.col("before")), "right": run_length(F.col("ia"), F.col("after"))})
-        .filter(F.col("left") + F.col("right") + 1 >= F.col("n"))
-        .select("doc_id", "h", (F.col("at") - F.col("left")).alias("first"), (F.col("at") + F.col("right") + 1).alias("end"), "items")
-    )
-    return lengths, matches
+
+def named(matches: DataFrame, windows: Windows) -> DataFrame:
+    """matches with the item of each of their windows."""
+    return matches.join(small(materialise(windows.items, "window-items"), windows.small_rows, "item"), "wid")
+
+
+def phrase_matches(
+    docs: DataFrame, items: DataFrame, window: int = 10, small_rows: int = 20_000, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text"
+) -> DataFrame:
+    """Exact matches (doc_id, h, first, end, item): windows of items in documents, by word places."""
+    index, windows = prepare(docs, items, window, small_rows, id_col, item_col, text_col)
+    return named(exact(index, windows), windows).drop("wid").distinct()
 
 
 def near_matches(
@@ -201,25 +195,8 @@ def near_matches(
 ) -> DataFrame:
     """Proximity matches (doc_id, h, item, at): all words of a window, in any order, within window - 1 + slop
     words of a place of its rarest term."""
-    all_windows, counts = prepare(docs, items, window, small_rows, item_col, text_col)
-    rarest = (
-        all_windows.select("item", "w", F.explode("w").alias("term"))
-        .join(counts, "term")
-        .groupBy("item", "w")
-        .agg(F.min(F.struct("count", "term")).alias("best"), F.countDistinct("term").alias("known"))
-        .filter(F.col("known") == F.size(F.array_distinct("w")))
-        .select("item", "w", F.col("best.term").alias("term"))
-    )
-    chosen = materialise(rarest, "rarest")
-    _, stored = build_index(docs, chosen.select("term").distinct(), window - 1 + slop, small_rows, id_col, text_col)
-    around = F.concat("before", F.array("term"), "after")
-    return (
-        stored.withColumn("around", around)
-        .join(small(chosen, small_rows), "term")
-        .filter(F.size(F.array_except("w", "around")) == 0)
-        .select("doc_id", "h", "item", "at")
-        .distinct()
-    )
+    index, windows = prepare(docs, items, window, small_rows, id_col, item_col, text_col)
+    return named(near(index, windows, window - 1 + slop), windows).select("doc_id", "h", "item", "at").distinct()
 
 
 def contamination(
@@ -230,26 +207,48 @@ def contamination(
     id_col: str = "doc_id",
     item_col: str = "item_id",
     text_col: str = "text",
+    slop: int | None = None,
 ) -> DataFrame:
-    """Per row of docs: doc_id, n_words, n_hit, n_items, items (sorted), items_sha256, contaminated; h is the text's hash."""
-    lengths, matches = phrase_matches(docs, items, window, small_rows, id_col, item_col, text_col)
-    # Alignments of a document meet after the ranges of each task have been made distinct.
-    hits = (
-        matches.groupBy("doc_id", "h")
-        .agg(
-            F.collect_set(F.struct("first", "end")).alias("ranges"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("found"),
-        )
-        .select(F.col("doc_id").alias("d"), F.col("h").alias("g"), covered(F.col("ranges")).alias("hit"), "found")
-    )
+    """Per row of docs: doc_id, n_words, n_hit, n_items, items (sorted), items_sha256, contaminated; h is the text's hash.
+
+    With slop also n_near, the number of items with a proximity match.
+    """
+    index, windows = prepare(docs, items, window, small_rows, id_col, item_col, text_col)
+    places = materialise(exact(index, windows), "matches")
+    ranges = places.groupBy("doc_id", "h").agg(F.collect_set(F.struct("first", "end")).alias("ranges"))
+    items_of = named(places.select("doc_id", "h", "wid").distinct(), windows).groupBy("doc_id", "h").agg(F.array_sort(F.collect_set("item")).alias("found"))
+    parts = [
+        ranges.select(F.col("doc_id").alias("d"), F.col("h").alias("g"), covered(F.col("ranges")).alias("hit")),
+        items_of.select(F.col("doc_id").alias("d"), F.col("h").alias("g"), "found"),
+    ]
+    if slop is not None:
+        close = named(near(index, windows, window - 1 + slop).select("doc_id", "h", "wid").distinct(), windows)
+        parts.append(close.groupBy(F.col("doc_id").alias("d"), F.col("h").alias("g")).agg(F.count_distinct("item").alias("n_near")))
+    out = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"), F.size(words(F.col(text_col))).cast("long").alias("n_words"))
+    for part in parts:
+        out = out.join(part, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")), "left").drop("d", "g")
     found = F.coalesce("found", F.array().cast("array<string>"))
-    return lengths.join(hits, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")), "left").select(
+    return out.select(
         "doc_id",
         "h",
-        F.col("n_words").cast("long").alias("n_words"),
+        "n_words",
         F.coalesce("hit", F.lit(0)).cast("long").alias("n_hit"),
         F.size(found).cast("long").alias("n_items"),
         found.alias("items"),
         F.sha2(F.concat_ws(",", found), 256).alias("items_sha256"),
         (F.coalesce("hit", F.lit(0)) > 0).alias("contaminated"),
+        *([F.coalesce("n_near", F.lit(0)).alias("n_near")] if slop is not None else []),
     )
+
+
+def covered(ranges: Column) -> Column:
+    """Number of positions in a union of [first, end) ranges."""
+    start = F.struct(F.lit(0).cast("int").alias("total"), F.lit(0).cast("int").alias("end"))
+
+    def step(acc: Column, r: Column) -> Column:
+        return F.struct(
+            (acc["total"] + F.greatest(r["end"] - F.greatest(r["first"], acc["end"]), F.lit(0))).alias("total"),
+            F.greatest(acc["end"], r["end"]).alias("end"),
+        )
+
+    return F.aggregate(F.array_sort(ranges), start, step, lambda acc: acc["total"])

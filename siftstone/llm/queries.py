@@ -45,7 +45,7 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = positional_index.contamination(
-        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10, slop=5
     )
     return found.drop("h", "items")
 

@@ -317,6 +317,33 @@ def test_proximity(spark):
     assert {r["doc_id"] for r in positional_index.near_matches(frame(spark, rows), bench, window=3, slop=3).collect()} == {1}
 
 
+@pytest.mark.parametrize("small_rows", [0, 20_000])
+def test_proximity_equals_brute_force(spark, small_rows):
+    rng = random.Random(8)
+    text = lambda n: " ".join(rng.choice("abcdefgh") + rng.choice("xyz") for _ in range(n))
+    items = [(i, text(rng.randrange(1, 9))) for i in range(9)] + [(3, text(5)), (20, None), (21, "ax"), (22, "ax ax ax")]
+    rows = [(i, text(rng.randrange(60))) for i in range(40)] + [(None, items[2][1] + " x " + items[4][1]), (7, items[1][1]), (7, items[1][1]), (8, None), (9, "")]
+    window, slop = 4, 2
+    count = {}
+    for _, t in rows:
+        for w in words(t):
+            count[w] = count.get(w, 0) + 1
+    wins = {(str(i), tuple(w[s : s + window])) for i, t in items for w in [words(t)] for s in range(max(1, len(w) - window + 1)) if w}
+    want = set()
+    for i, t in rows:
+        w = words(t)
+        for item, win in wins:
+            if all(x in count for x in win):
+                rare = min(win, key=lambda x: (count[x], x))
+                for p, x in enumerate(w):
+                    if x == rare and set(win) <= set(w[max(0, p - window + 1 - slop) : p + window + slop]):
+                        want.add((i, t, item, p))
+    got = positional_index.near_matches(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string"), window, slop, small_rows)
+    hashes = frame(spark, rows).select("text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).distinct()
+    rows_got = [(r["doc_id"], r["text"], r["item"], r["at"]) for r in got.join(hashes, "h").collect()]
+    assert sorted(rows_got, key=repr) == sorted(want, key=repr)
+
+
 # --- 5: quality --------------------------------------------------------------------------------------
 
 
