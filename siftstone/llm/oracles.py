@@ -22,12 +22,12 @@ ORACLES: dict[str, str] = {
       dist AS (SELECT DISTINCT item_id, string_split(k, ' ') AS ws FROM win),
       lists AS (SELECT item_id, ws, unnest(ws) AS term FROM dist),
       rare AS (SELECT item_id, ws, min({{'c': c, 't': term}}).t AS best FROM lists JOIN cnt USING (term) GROUP BY item_id, ws HAVING count(*) = len(ws)),
-      tok AS (SELECT doc_id, w, unnest(w) AS term, generate_subscripts(w, 1) AS at FROM dw),
-      close AS (SELECT doc_id, count(DISTINCT item_id) AS n_near FROM tok JOIN rare ON best = term
-        WHERE list_has_all(w[greatest(at - 14, 1) : at + 14], ws) GROUP BY doc_id)
+      tok AS (SELECT doc_id, w, unnest(w) AS term, generate_subscripts(w, 1) AS pos FROM dw),
+      nearby AS (SELECT doc_id, count(DISTINCT item_id) AS n_near FROM tok JOIN rare ON best = term
+        WHERE list_has_all(w[greatest(pos - 14, 1) : pos + 14], ws) GROUP BY doc_id)
       SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
         sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0)::BIGINT AS n_near
-      FROM dw d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN close USING (doc_id)""",
+      FROM dw d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN nearby USING (doc_id)""",
     "op8_ngram_jaccard": f"""WITH RECURSIVE dw AS (SELECT doc_id, {WORDS} AS w FROM documents),
       sh AS (SELECT DISTINCT doc_id, array_to_string(w[s : s + 4], ' ') AS s5
         FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS s FROM dw WHERE len(w) > 0)),

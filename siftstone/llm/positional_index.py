@@ -2,12 +2,12 @@
 
 1. The terms of all benchmark (test) windows form the vocabulary; its postings in the (training) documents are
    counted exactly. A window with a term that no document has can't occur and is left out.
-2. The index is stored: term, document, positions (ascending). It holds the postings of all vocabulary terms
-   in every document that has the rarest term of some window; other documents' lists can't be reached from a
-   rarest term, so they are never written.
+2. The index is stored: term, document, positions (ascending). Its heads are the postings, in all documents, of
+   each window's rarest and second rarest terms.
 3. Each window's lists are intersected from the rarest term on. A position of the rarest term is an alignment; it
-   stays if the next rarest term's list of the same document has the position that its offset asks for,
-   and is a match if the lists of all further terms have theirs too.
+   stays if the next rarest term's list of the same document has the position that its offset asks for. For the few
+   documents in which alignments are left, the postings of all terms are stored as well (no other document's lists
+   can be reached any more), and an alignment is a match if these lists have their positions too.
 4. Exact matches ask for one position of each list; proximity matches for any within ``window - 1 + slop`` words of
    the rarest term. Exact matches of a document are merged into covered word ranges and distinct items.
 
@@ -105,69 +105,85 @@ class Windows:
         return Windows(lists, named.select("wid", "item").join(lists.select("wid").distinct(), "wid", "left_semi"), counts, small_rows)
 
 
-def build_index(docs: DataFrame, windows: Windows, id_col: str, text_col: str) -> DataFrame:
-    """The stored index: term, doc_id, h, positions, sorted by term within its files."""
-    rows = windows.small_rows
-    rarest = materialise(windows.lists.filter("place = 0").select("term", "count").distinct(), "rarest")
-    reached = materialise(at_terms(tokens(docs, id_col, text_col), rarest, rows).select("doc_id", "h").distinct(), "reached")
-    vocabulary = materialise(windows.lists.select("term", "count").distinct(), "terms")
-    rows_of = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"), F.col(text_col).alias("text"))
-    some = small(reached, 50 * rows)
-    chosen = rows_of.join(some, same_document(rows_of, some), "left_semi")
-    postings = at_terms(tokens(chosen, "doc_id", "text"), vocabulary, rows).groupBy("term", "doc_id", "h")
-    return materialise(postings.agg(F.array_sort(F.collect_set("at")).alias("positions")).sortWithinPartitions("term"), "index")
+def postings(docs: DataFrame, terms: DataFrame, small_rows: int, id_col: str, text_col: str) -> DataFrame:
+    """A stored part of the index: term, doc_id, h, positions of the terms (term, count), sorted by term within its files."""
+    found = at_terms(tokens(docs, id_col, text_col), terms, small_rows).groupBy("term", "doc_id", "h")
+    return materialise(found.agg(F.array_sort(F.collect_set("at")).alias("positions")).sortWithinPartitions("term"), "index")
 
 
-def intersect(found: DataFrame, index: DataFrame, wanted: DataFrame, small_rows: int) -> DataFrame:
-    """Alignments (doc_id, h, wid, s) that all lists of their window agree to.
+@dataclass
+class Search:
+    """What a kind of match asks of the lists of each window.
 
-    wanted: wid, place (rarest list first, from 1), term, low, high: the list of the term has a position from s + low
-    to s + high. The second rarest list is intersected first, all others with what that leaves.
+    wanted: wid, place (from 1, rarest first), term, low, high: the list of the term has to hold a position from s + low
+    to s + high, where s is a position of the rarest term less its offset (if shifted) in the window.
     """
 
-    def meets(part: DataFrame, lists: DataFrame) -> DataFrame:
-        asked = part.join(small(lists, small_rows, "term"), "wid")
-        here = F.exists("positions", lambda p: (p >= F.col("s") + F.col("low")) & (p <= F.col("s") + F.col("high")))
-        return asked.join(index.withColumnsRenamed({"doc_id": "d", "h": "g", "term": "t"}), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")) & (F.col("term") == F.col("t"))).filter(here)
-
-    key = ["doc_id", "h", "wid", "s"]
-    wanted = materialise(wanted, "wanted")
-    sizes = materialise(wanted.groupBy("wid").agg(F.count(F.lit(1)).alias("lists")), "sizes")
-    alone = found.join(small(sizes, small_rows), "wid", "left_anti").select(*key)
-    second = materialise(meets(found, wanted.filter("place = 1")).select(*key), "second")
-    rest = meets(second, materialise(wanted.filter("place > 1"), "rest")).groupBy(*key).agg(F.count(F.lit(1)).alias("met"))
-    all_met = rest.join(small(sizes, small_rows), "wid").filter("met = lists - 1").select(*key)
-    two = materialise(sizes.filter("lists = 1").select("wid"), "two")
-    return alone.unionByName(second.join(small(two, small_rows), "wid", "left_semi").select(*key)).unionByName(all_met)
+    wanted: DataFrame
+    shifted: bool
 
+    @staticmethod
+    def exact(windows: Windows) -> Search:
+        lists = windows.lists.filter("place > 0").select("wid", "place", "term", F.col("off").alias("low"), F.col("off").alias("high"))
+        return Search(materialise(lists, "exact-lists"), True)
 
-def alignments(index: DataFrame, windows: Windows, offset: Column) -> DataFrame:
-    """doc_id, h, wid, s: every position of a window's rarest term, less an offset."""
-    first = materialise(windows.lists.filter("place = 0").select("term", "wid", "off"), "first")
-    return index.join(small(first, windows.small_rows, "term"), "term").select("doc_id", "h", "wid", F.explode("positions").alias("at"), "off").select("doc_id", "h", "wid", (F.col("at") - offset).alias("s"))
+    @staticmethod
+    def near(windows: Windows, reach: int) -> Search:
+        """Each term once, within reach on either side of the rarest."""
+        terms = windows.lists.groupBy("wid", "term").agg(F.min("place").alias("p")).filter("p > 0")
+        ranked = terms.groupBy("wid").agg(F.array_sort(F.collect_list(F.struct("p", "term"))).alias("x")).select("wid", F.posexplode("x").alias("place", "y"))
+        lists = ranked.select("wid", (F.col("place") + 1).alias("place"), "y.term", F.lit(-reach).alias("low"), F.lit(reach).alias("high"))
+        return Search(materialise(lists, "near-lists"), False)
 
 
-def exact(index: DataFrame, windows: Windows) -> DataFrame:
-    """doc_id, h, first, end, wid: every place where a window's words stand consecutively."""
-    wanted = windows.lists.filter("place > 0").select("wid", "place", "term", F.col("off").alias("low"), F.col("off").alias("high"))
-    met = intersect(alignments(index, windows, F.col("off")).filter("s >= 0"), index, wanted, windows.small_rows)
-    sizes = materialise(windows.lists.groupBy("wid").agg(F.count(F.lit(1)).cast("int").alias("n")), "window-sizes")
-    return met.join(small(sizes, windows.small_rows), "wid").select("doc_id", "h", F.col("s").alias("first"), (F.col("s") + F.col("n")).alias("end"), "wid")
+KEY = ["doc_id", "h", "wid", "s"]
 
 
-def near(index: DataFrame, windows: Windows, reach: int) -> DataFrame:
-    """doc_id, h, at, wid: places of a window's rarest term that have all its other words within reach on either side."""
-    terms = windows.lists.groupBy("wid", "term").agg(F.min("place").alias("p"))
-    anchors = windows.lists.filter("place = 0").select("wid", F.col("term").alias("anchor"))
-    others = terms.join(small(materialise(anchors, "anchors"), windows.small_rows, "anchor"), "wid").filter("term <> anchor")
-    ranked = others.groupBy("wid").agg(F.array_sort(F.collect_list(F.struct("p", "term"))).alias("x")).select("wid", F.posexplode("x").alias("place", "y"))
-    wanted = ranked.select("wid", (F.col("place") + 1).alias("place"), "y.term", F.lit(-reach).alias("low"), F.lit(reach).alias("high"))
-    return intersect(alignments(index, windows, F.lit(0)), index, wanted, windows.small_rows).select("doc_id", "h", F.col("s").alias("at"), "wid")
+def meets(found: DataFrame, index: DataFrame, wanted: DataFrame, small_rows: int) -> DataFrame:
+    """The alignments of found with each wanted list of their window that agrees to them."""
+    asked = found.join(small(materialise(wanted, "wanted"), small_rows, "term"), "wid")
+    held = index.select(F.col("doc_id").alias("d"), F.col("h").alias("g"), F.col("term").alias("t"), "positions")
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")) & (F.col("term") == F.col("t"))
+    return asked.join(held, same).filter(F.exists("positions", lambda p: (p >= F.col("s") + F.col("low")) & (p <= F.col("s") + F.col("high"))))
 
 
-def prepare(docs: DataFrame, items: DataFrame, window: int, small_rows: int, id_col: str, item_col: str, text_col: str) -> tuple[DataFrame, Windows]:
-    windows = Windows.of(docs, items, window, small_rows, id_col, item_col, text_col)
-    return build_index(docs, windows, id_col, text_col), windows
+def search(docs: DataFrame, windows: Windows, kinds: list[Search], id_col: str, text_col: str) -> list[DataFrame]:
+    """For each kind the alignments (doc_id, h, wid, s) to which all lists of the window agree."""
+    rows = windows.small_rows
+    first = materialise(windows.lists.filter("place = 0").select("wid", "term", "off", "count"), "first")
+    heads = first.select("term", "count")
+    for kind in kinds:
+        heads = heads.unionByName(kind.wanted.filter("place = 1").select("term").join(windows.terms, "term"))
+    head_index = postings(docs, materialise(heads.distinct(), "heads"), rows, id_col, text_col)
+    at_first = head_index.join(small(first.drop("count"), rows, "term"), "term").select("doc_id", "h", "wid", F.explode("positions").alias("at"), "off")
+    seconds, alone, sizes, reached = [], [], [], None
+    for kind in kinds:
+        found = at_first.select("doc_id", "h", "wid", (F.col("at") - F.col("off") if kind.shifted else F.col("at")).alias("s"))
+        found = found.filter("s >= 0")
+        lists = materialise(kind.wanted.groupBy("wid").agg(F.count(F.lit(1)).alias("lists")), "sizes")
+        second = materialise(meets(found, head_index, kind.wanted.filter("place = 1"), rows).select(*KEY), "second")
+        more = second.join(small(lists.filter("lists > 1"), rows), "wid", "left_semi").select("doc_id", "h")
+        reached = more if reached is None else reached.unionByName(more)
+        seconds.append(second)
+        alone.append(found.join(small(lists, rows), "wid", "left_anti").select(*KEY))
+        sizes.append(lists)
+    some = small(materialise(reached.distinct(), "reached"), 10 * rows)
+    rows_of = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"), F.col(text_col).alias("text"))
+    chosen = rows_of.join(some, same_document(rows_of, some), "left_semi")
+    all_index = postings(chosen, windows.terms, rows, "doc_id", "text")
+    out = []
+    for kind, second, single, lists in zip(kinds, seconds, alone, sizes, strict=True):
+        met = meets(second, all_index, kind.wanted.filter("place > 1"), rows).groupBy(*KEY).agg(F.count(F.lit(1)).alias("met"))
+        rest = met.join(small(lists, rows), "wid").filter("met = lists - 1").select(*KEY)
+        two = second.join(small(lists.filter("lists = 1"), rows), "wid", "left_semi").select(*KEY)
+        out.append(materialise(single.unionByName(two).unionByName(rest), "matches"))
+    return out
+
+
+def places_of(matches: DataFrame, windows: Windows) -> DataFrame:
+    """doc_id, h, first, end, wid of exact alignments."""
+    sizes = materialise(windows.lists.groupBy("wid").agg(F.count(F.lit(1)).cast("int").alias("n")), "window-sizes")
+    return matches.join(small(sizes, windows.small_rows), "wid").select("doc_id", "h", F.col("s").alias("first"), (F.col("s") + F.col("n")).alias("end"), "wid")
 
 
 def named(matches: DataFrame, windows: Windows) -> DataFrame:
@@ -179,8 +195,9 @@ def phrase_matches(
     docs: DataFrame, items: DataFrame, window: int = 10, small_rows: int = 20_000, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text"
 ) -> DataFrame:
     """Exact matches (doc_id, h, first, end, item): windows of items in documents, by word places."""
-    index, windows = prepare(docs, items, window, small_rows, id_col, item_col, text_col)
-    return named(exact(index, windows), windows).drop("wid").distinct()
+    windows = Windows.of(docs, items, window, small_rows, id_col, item_col, text_col)
+    (found,) = search(docs, windows, [Search.exact(windows)], id_col, text_col)
+    return named(places_of(found, windows), windows).drop("wid").distinct()
 
 
 def near_matches(
@@ -195,8 +212,9 @@ def near_matches(
 ) -> DataFrame:
     """Proximity matches (doc_id, h, item, at): all words of a window, in any order, within window - 1 + slop
     words of a place of its rarest term."""
-    index, windows = prepare(docs, items, window, small_rows, id_col, item_col, text_col)
-    return named(near(index, windows, window - 1 + slop), windows).select("doc_id", "h", "item", "at").distinct()
+    windows = Windows.of(docs, items, window, small_rows, id_col, item_col, text_col)
+    (found,) = search(docs, windows, [Search.near(windows, window - 1 + slop)], id_col, text_col)
+    return named(found, windows).select("doc_id", "h", "item", F.col("s").alias("at")).distinct()
 
 
 def contamination(
@@ -213,8 +231,10 @@ def contamination(
 
     With slop also n_near, the number of items with a proximity match.
     """
-    index, windows = prepare(docs, items, window, small_rows, id_col, item_col, text_col)
-    places = materialise(exact(index, windows), "matches")
+    windows = Windows.of(docs, items, window, small_rows, id_col, item_col, text_col)
+    kinds = [Search.exact(windows)] + ([Search.near(windows, window - 1 + slop)] if slop is not None else [])
+    found = search(docs, windows, kinds, id_col, text_col)
+    places = places_of(found[0], windows)
     ranges = places.groupBy("doc_id", "h").agg(F.collect_set(F.struct("first", "end")).alias("ranges"))
     items_of = named(places.select("doc_id", "h", "wid").distinct(), windows).groupBy("doc_id", "h").agg(F.array_sort(F.collect_set("item")).alias("found"))
     parts = [
@@ -222,20 +242,20 @@ def contamination(
         items_of.select(F.col("doc_id").alias("d"), F.col("h").alias("g"), "found"),
     ]
     if slop is not None:
-        close = named(near(index, windows, window - 1 + slop).select("doc_id", "h", "wid").distinct(), windows)
+        close = named(found[1].select("doc_id", "h", "wid").distinct(), windows)
         parts.append(close.groupBy(F.col("doc_id").alias("d"), F.col("h").alias("g")).agg(F.count_distinct("item").alias("n_near")))
     out = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"), F.size(words(F.col(text_col))).cast("long").alias("n_words"))
     for part in parts:
         out = out.join(part, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")), "left").drop("d", "g")
-    found = F.coalesce("found", F.array().cast("array<string>"))
+    item_list = F.coalesce("found", F.array().cast("array<string>"))
     return out.select(
         "doc_id",
         "h",
         "n_words",
         F.coalesce("hit", F.lit(0)).cast("long").alias("n_hit"),
-        F.size(found).cast("long").alias("n_items"),
-        found.alias("items"),
-        F.sha2(F.concat_ws(",", found), 256).alias("items_sha256"),
+        F.size(item_list).cast("long").alias("n_items"),
+        item_list.alias("items"),
+        F.sha2(F.concat_ws(",", item_list), 256).alias("items_sha256"),
         (F.coalesce("hit", F.lit(0)) > 0).alias("contaminated"),
         *([F.coalesce("n_near", F.lit(0)).alias("n_near")] if slop is not None else []),
     )
