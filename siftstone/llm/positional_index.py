@@ -24,6 +24,7 @@ matches; other columns do not matter.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,12 +37,22 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SMALL_BYTES = 64 << 20
 
 
-def words(text: Column) -> Column:
-    """Words of a text in order; an empty array for null. Only A-Z are lower-cased."""
+def pieces(text: Column) -> Column:
+    """Words of a text in order, with an empty one in front (behind) if it begins (ends) with a separator. Only A-Z are lower-cased."""
     text = F.coalesce(text, F.lit(""))
     plain = F.octet_length(text) == F.length(text)  # all ASCII: lower() does the same and faster
-    lower = F.when(plain, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
-    return F.array_remove(F.split(lower, SEPARATORS), "")
+    return F.split(F.when(plain, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER)), SEPARATORS)
+
+
+def words(text: Column) -> Column:
+    """Words of a text in order; an empty array for null."""
+    return F.array_remove(pieces(text), "")
+
+
+def n_words(text: Column) -> Column:
+    """Size of words(), without making that array."""
+    p = pieces(text)
+    return F.aggregate(F.array(p), F.lit(0).cast("long"), lambda acc, w: acc + F.size(w) - (F.get(w, 0) == "").cast("int") - ((F.size(w) > 1) & (F.element_at(w, -1) == "")).cast("int"))
 
 
 def small(df: DataFrame, rows: int, text: str | None = None) -> DataFrame:
@@ -58,7 +69,9 @@ def is_small(df: DataFrame, rows: int, text: str) -> bool:
 def tokens(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, h (the text's hash, which tells rows with equal ids apart), at, term: every word of every document."""
     h = F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h")
-    return docs.select(F.col(id_col).alias("doc_id"), h, F.posexplode(words(F.col(text_col))).alias("at", "term"))
+    base = docs.select(F.col(id_col).alias("doc_id"), h, pieces(F.col(text_col)).alias("w"))
+    led = base.select("doc_id", "h", (F.get("w", 0) == "").cast("int").alias("led"), F.posexplode("w").alias("at", "term"))
+    return led.filter("term <> ''").select("doc_id", "h", (F.col("at") - F.col("led")).alias("at"), "term")
 
 
 def same_document(a: DataFrame, b: DataFrame) -> Column:
@@ -244,9 +257,12 @@ def contamination(
     if slop is not None:
         close = named(found[1].select("doc_id", "h", "wid").distinct(), windows)
         parts.append(close.groupBy(F.col("doc_id").alias("d"), F.col("h").alias("g")).agg(F.count_distinct("item").alias("n_near")))
-    out = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"), F.size(words(F.col(text_col))).cast("long").alias("n_words"))
-    for part in parts:
-        out = out.join(part, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")), "left").drop("d", "g")
+    out = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"), n_words(F.col(text_col)).alias("n_words"))
+    # One row for each document with any match, so that one join brings all columns.
+    kept = ["hit", "found", "n_near"][: len(parts)]
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    rows = materialise(rows.groupBy("d", "g").agg(*(F.first(c, ignorenulls=True).alias(c) for c in kept)), "hits")
+    out = out.join(rows, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")), "left")
     item_list = F.coalesce("found", F.array().cast("array<string>"))
     return out.select(
         "doc_id",
