@@ -2,7 +2,7 @@
 
 1. The terms of all benchmark (test) windows form the vocabulary; its postings in the (training) documents are
    counted exactly. A window with a term that no document has can't occur and is left out.
-2. The index is stored: term, document, positions (ascending). Its heads are the postings, in all documents, of
+2. The index is stored: one row for each term, document and position, sorted by term and place. Its heads are the postings, in all documents, of
    each window's rarest and second rarest terms.
 3. Each window's lists are intersected from the rarest term on. A position of the rarest term is an alignment; it
    stays if the next rarest term's list of the same document has the position that its offset asks for. For the few
@@ -119,9 +119,9 @@ class Windows:
 
 
 def postings(docs: DataFrame, terms: DataFrame, small_rows: int, id_col: str, text_col: str) -> DataFrame:
-    """A stored part of the index: term, doc_id, h, positions of the terms (term, count), sorted by term within its files."""
-    found = at_terms(tokens(docs, id_col, text_col), terms, small_rows).groupBy("term", "doc_id", "h")
-    return materialise(found.agg(F.array_sort(F.collect_set("at")).alias("positions")).sortWithinPartitions("term"), "index")
+    """A stored part of the index: term, doc_id, h, at of the terms (term, count); the words move nowhere."""
+    found = at_terms(tokens(docs, id_col, text_col), terms, small_rows).select("term", "doc_id", "h", "at")
+    return materialise(found.sortWithinPartitions("term", "doc_id", "at"), "index")
 
 
 @dataclass
@@ -155,9 +155,9 @@ KEY = ["doc_id", "h", "wid", "s"]
 def meets(found: DataFrame, index: DataFrame, wanted: DataFrame, small_rows: int) -> DataFrame:
     """The alignments of found with each wanted list of their window that agrees to them."""
     asked = found.join(small(materialise(wanted, "wanted"), small_rows, "term"), "wid")
-    held = index.select(F.col("doc_id").alias("d"), F.col("h").alias("g"), F.col("term").alias("t"), "positions")
+    held = index.select(F.col("doc_id").alias("d"), F.col("h").alias("g"), F.col("term").alias("t"), "at")
     same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")) & (F.col("term") == F.col("t"))
-    return asked.join(held, same).filter(F.exists("positions", lambda p: (p >= F.col("s") + F.col("low")) & (p <= F.col("s") + F.col("high"))))
+    return asked.join(held, same & F.col("at").between(F.col("s") + F.col("low"), F.col("s") + F.col("high"))).select(*KEY, "place").distinct()
 
 
 def search(docs: DataFrame, windows: Windows, kinds: list[Search], id_col: str, text_col: str) -> list[DataFrame]:
@@ -168,7 +168,7 @@ def search(docs: DataFrame, windows: Windows, kinds: list[Search], id_col: str,
     for kind in kinds:
         heads = heads.unionByName(kind.wanted.filter("place = 1").select("term").join(windows.terms, "term"))
     head_index = postings(docs, materialise(heads.distinct(), "heads"), rows, id_col, text_col)
-    at_first = head_index.join(small(first.drop("count"), rows, "term"), "term").select("doc_id", "h", "wid", F.explode("positions").alias("at"), "off")
+    at_first = head_index.join(small(first.drop("count"), rows, "term"), "term").select("doc_id", "h", "wid", "at", "off")
     seconds, alone, sizes, reached = [], [], [], None
     for kind in kinds:
         found = at_first.select("doc_id", "h", "wid", (F.col("at") - F.col("off") if kind.shifted else F.col("at")).alias("s"))
