@@ -228,13 +228,14 @@ def train(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = [features(t) for t in as_bytes(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], ["y", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(x, pa.list_(pa.float64()))], ["y", "k", "x"])
 
     known = bounded_labels(labels, target, folds, held_out, max_train)
     rows = (
         docs.join(F.broadcast(known), docs[id_col] == known["__id"])
-        .select(F.col("__y").alias("y"), F.col(text_col).alias("text"))
-        .mapInArrow(run, "y int, x array<double>")
+        .select(F.col("__y").alias("y"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("k"))
+        .mapInArrow(run, "y int, k long, x array<double>")
+        .orderBy("k", "x")  # repeated ids may give more rows than labels: the same ones are kept in every run
         .limit(max_train)
         .toPandas()
     )

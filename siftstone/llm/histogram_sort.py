@@ -9,7 +9,9 @@ its target and probes between them, until each splitter is within the tolerance.
 then move once, straight to their partition, and are sorted there.
 
 Edge cases: a null text counts as empty; a null id is hashed as null; repeated rows have
-equal keys and stay in one shard; rows with equal keys are ordered by id, then text; an
+equal keys and stay in one shard (rows that are alike in id and text can't be told apart by any key); other rows
+of one text stand side by side in the order of keys, so they fill a run of places that is cut only where a
+splitter falls among them; rows with equal keys are ordered by id, then text; an
 empty table gives no rows. With fewer rows than shards some shards stay empty. Other
 columns are carried along; the columns this operator adds (size, shard, slot, sort_key)
 replace columns of the same name.
@@ -161,17 +163,20 @@ def shard(
     found = find_splitters(keys, shards * each, each, total, rows, tolerance)
     shard_base = [found.before[i - i % each] for i in range(shards * each)]
     offset = [b - s for b, s in zip(found.before, shard_base, strict=True)]
+    part = "part"
+    while part.lower() in {c.lower() for c in keyed.columns}:
+        part = f"_{part}"
     moved = (
-        keyed.withColumn("part", rank_among(found.keys, F.col("sort_key")))
-        .repartitionById(shards * each, F.col("part"))
+        keyed.withColumn(part, rank_among(found.keys, F.col("sort_key")))
+        .repartitionById(shards * each, F.col(part))
         .sortWithinPartitions("sort_key", id_col, text_col)
     )
     here = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     return moved.withColumns(
         {
-            "shard": F.expr(f"cast(part div {each} as int)"),
-            "slot": here + F.element_at(F.lit(offset).cast("array<bigint>"), F.col("part") + 1)
+            "shard": F.expr(f"cast(`{part}` div {each} as int)"),
+            "slot": here + F.element_at(F.lit(offset).cast("array<bigint>"), F.col(part) + 1)
             if len(offset) > 1
             else here,
         }
-    ).drop("part")
+    ).drop(part)

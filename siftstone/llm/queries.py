@@ -25,10 +25,10 @@ from .common import table
 
 def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = rans.new_path(spark)
-    coder = rans.encode(
+    rans.encode(
         table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), path, end_id=0
     )
-    return rans.read(spark, path, coder).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return rans.read(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,9 @@ Token i of a block belongs to lane i % lanes at step i // lanes; all lanes advan
 (numpy vectors) and share one word stream, so blocks decode independently of each other and
 every checkpoint is a place to start inside a block. The symbol frequencies are shared by all
 blocks; they are exact counts over all documents, scaled to 2**bits with every
-occurring symbol kept. Each payload has a crc32, checked before decoding.
+occurring symbol kept, and stand beside the blocks (folder _model: id, freq, bits), so that a dataset can be
+read by itself. Each payload has a crc32, checked before decoding. A whole block is decoded from all its
+checkpoints at once: each is a row of lanes that advances with the others.
 
 Edge cases: a null or empty text is a document of the end id alone; an empty table gives
 an empty dataset; rows with equal or null ids are kept and ordered by id, then by tokens (nulls
@@ -337,6 +339,43 @@ class Coder:
         return out[start - first * lanes : stop - first * lanes]
 
 
+    def decode_block(self, payload: bytes) -> np.ndarray:
+        """All ids of a block: the segments behind its checkpoints side by side, one vector step for all of them."""
+        magic, lanes, steps, n, bits, interval, written = HEAD.unpack_from(payload)
+        if magic != MAGIC or bits != self.bits:
+            raise ValueError("not a block of this coder")
+        if not n:
+            return np.zeros(0, np.uint32)
+        if self.symbol is None:
+            self.symbol = np.repeat(np.arange(len(self.freq), dtype=np.uint32), self.freq.astype(np.int64))
+        count = -(-steps // interval)
+        one = 4 + 8 * lanes
+        marks = np.frombuffer(payload, np.uint8, count * one, HEAD.size).reshape(count, one)
+        pos = marks[:, :4].copy().view("<u4").ravel().astype(np.int64)
+        x = marks[:, 4:].copy().view("<u8")
+        words = np.frombuffer(payload, "<u4", written, HEAD.size + count * one)
+        shift, mask, low, w32 = np.uint64(bits), np.uint64((1 << bits) - 1), np.uint64(LOW), np.uint64(32)
+        out = np.empty((count, interval, lanes), np.uint32)
+        for j in range(min(interval, steps)):
+            live = count if (count - 1) * interval + j < steps else count - 1
+            y = x[:live]
+            slot = y & mask
+            s = self.symbol[slot]
+            out[:live, j] = s
+            y = self.freq[s] * (y >> shift) + slot - self.cum[s]
+            short = y < low
+            if (live - 1) * interval + j == steps - 1:  # the last step may fill some lanes only
+                short[-1, n - (steps - 1) * lanes :] = False
+            row, lane = np.nonzero(short)
+            if len(row):
+                taken = short.sum(axis=1)
+                before = np.concatenate([[0], np.cumsum(taken)[:-1]])
+                y[row, lane] = (y[row, lane] << w32) | words[pos[row] + np.arange(len(row)) - before[row]]
+                pos[:live] += taken
+            x[:live] = y
+        return out.reshape(-1)[:n]
+
+
 # --- blocks -------------------------------------------------------------------------------
 
 BLOCK_SCHEMA = (
@@ -405,11 +444,33 @@ def encode(
     bits = max(16, vocab.bit_length() + 4)
     coder = Coder(scaled(token_counts(tokens, vocab, width), bits), bits)
     write_blocks(tokens, coder, width, path)
+    write_model(docs.sparkSession, coder, path)
     return coder
 
 
-def read(spark: SparkSession, path: str, coder: Coder) -> DataFrame:
-    """Documents of a block dataset: doc_id, start (ids before it), n_tokens, ids (u32 bytes), ids_crc32."""
+def write_model(spark: SparkSession, coder: Coder, path: str) -> None:
+    """The shared frequencies beside the blocks: one row per id of the vocabulary, and one (id null) for the scale."""
+    ids = np.flatnonzero(coder.freq)
+    rows = pa.table({"id": pa.array([None, *ids.tolist()], pa.int64()), "freq": pa.array([len(coder.freq), *coder.freq[ids].tolist()], pa.int64()), "bits": pa.array([coder.bits] * (len(ids) + 1), pa.int32())})
+    spark.createDataFrame(rows).coalesce(1).write.parquet(f"{path}/_model")
+
+
+def read_model(spark: SparkSession, path: str) -> Coder:
+    rows = spark.read.parquet(f"{path}/_model").collect()  # one row per id of the vocabulary
+    size = next(r for r in rows if r["id"] is None)
+    freq = np.zeros(size["freq"], np.uint64)
+    for r in rows:
+        if r["id"] is not None:
+            freq[r["id"]] = r["freq"]
+    return Coder(freq, size["bits"])
+
+
+def read(spark: SparkSession, path: str, coder: Coder | None = None) -> DataFrame:
+    """Documents of a block dataset: doc_id, start (ids before it), n_tokens, ids (u32 bytes), ids_crc32.
+
+    Without a coder the dataset's own frequencies are loaded.
+    """
+    coder = coder or read_model(spark, path)
     blocks = spark.read.parquet(path)
     # One row per file of the dataset, not per block.
     ends = blocks.groupBy("part").agg(F.max(F.col("start") + F.col("n_tokens")).alias("n")).collect()
@@ -427,7 +488,7 @@ def read(spark: SparkSession, path: str, coder: Coder) -> DataFrame:
             for row in batch.to_pylist():
                 if zlib.crc32(row["payload"]) != row["crc32"]:
                     raise ValueError(f"checksum of block {row['part']}/{row['block']} is wrong")
-                ids = own.decode(row["payload"]).astype("<u4")
+                ids = own.decode_block(row["payload"]).astype("<u4")
                 cut = np.concatenate([[0], np.cumsum(row["doc_tokens"])]).astype(np.int64)
                 texts = [ids[a:b].tobytes() for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(

@@ -103,6 +103,25 @@ def test_rans_checksum_is_checked(spark, docs):
         rans.read(spark, path + "-bad", coder).collect()
 
 
+def test_blocks_decode_from_all_checkpoints_at_once():
+    rng = np.random.default_rng(31)
+    for n, lanes, interval in ((1, 1, 4), (31, 3, 2), (1000, 7, 4), (4096, 16, 64), (5000, 2048, 64), (70_001, 33, 64)):
+        ids = (rng.zipf(1.4, n) % 500).astype(np.uint32)
+        coder = rans.Coder(rans.scaled(np.bincount(ids, minlength=500), 16), 16, lanes, interval)
+        payload = coder.encode(ids)
+        assert (coder.decode_block(payload) == ids).all() and (coder.decode(payload) == ids).all()
+    assert len(coder.decode_block(coder.encode(ids[:0]))) == 0
+
+
+def test_a_dataset_is_read_by_itself(spark, docs, none, tmp_path):
+    for k, table in enumerate((docs, none)):
+        path = f"file://{tmp_path}/blocks{k}"
+        coder = rans.encode(table, BPE, path)
+        mine = rans.read_model(spark, path)
+        assert (mine.freq == coder.freq).all() and mine.bits == coder.bits
+        assert sorted(map(tuple, rans.read(spark, path).collect()), key=repr) == sorted(map(tuple, rans.read(spark, path, coder).collect()), key=repr)
+
+
 def test_pieces_equal_the_library():
     rng = random.Random(3)
     alphabet = list("abcé ßAB12_'.,-!\n ") + ["'s", "'ll", "'re", " '", "don't", "  ", "\t", "—", "<|endoftext|>"]
@@ -347,6 +366,40 @@ def test_proximity_equals_brute_force(spark, small_rows):
 # --- 5: quality --------------------------------------------------------------------------------------
 
 
+def test_training_samples_are_bounded_and_fixed(spark):
+    rng = random.Random(21)
+    rows = [(i % 150, " ".join(rng.choice(("bad", "good", "some", "word")) for _ in range(rng.randrange(1, 40)))) for i in range(300)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0), int(i % 3 == 0)) for i in range(150)] * 2, "doc_id long, quality int, toxic int")
+    models = []
+    for parts in (1, 5):
+        df = frame(spark, rows).repartition(parts)
+        models.append((gam.train(df, labels, max_train=60), cnn.train(df, labels, max_train=60, max_bytes=3000)))
+    assert all((a == b).all() for a, b in zip(models[0][0].tables, models[1][0].tables)) and models[0][0].intercept == models[1][0].intercept
+    assert (models[0][1].word == models[1][1].word).all() and (models[0][1].centre == models[1][1].centre).all()
+
+
+def test_convolution_equals_a_plain_one():
+    rng = np.random.default_rng(23)
+    model = cnn.Cnn()
+    model.shift = rng.normal(size=len(model.shift)).astype(np.float32)
+    texts = [[f"w{rng.integers(50)}".encode() for _ in range(n)] for n in (0, 1, 2, 0, 3, 40)]
+    got = cnn.Scorer(model).logits(texts)
+    for t, z in zip(texts, got):
+        v = [model.word[a] + model.stem[b] for a, b in map(cnn.hashed, t)] + [np.zeros(model.dim)] * cnn.PAD
+        pooled = [max(sum(v[i + k] @ model.taps[w][k][:, f] for k in range(w)) for i in range(max(1, len(t)))) for w in cnn.WIDTHS for f in range(model.filters)]
+        assert abs(np.maximum(np.array(pooled) + model.shift, 0) @ model.out + model.bias - z) < 1e-4
+
+
+def test_scores_equal_added_tables():
+    rng = np.random.default_rng(27)
+    x = rng.normal(size=(400, 3))
+    model = gam.Gam(pairs=2).fit(x, (x[:, 0] + x[:, 1] * x[:, 2] > 0).astype(float))
+    for row, s in zip(x[:50], model.score(x[:50])):
+        z = model.intercept + sum(t[sum(c <= v for c in e)] for e, t, v in zip(model.edges, model.tables, row))
+        z += sum(t[sum(c <= row[i] for c in model.pair_edges[i]), sum(c <= row[j] for c in model.pair_edges[j])] for i, j, t in model.pairs)
+        assert abs(1 / (1 + np.exp(-z)) - s) < 1e-9
+
+
 def test_gam_learns_interactions():
     rng = np.random.default_rng(6)
     x = rng.normal(size=(3000, 4))
