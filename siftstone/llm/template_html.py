@@ -1,26 +1,31 @@
 """Main text of web pages by deducing each host's page template from equivalence classes.
 
-A page becomes a sequence of tokens: tags with their place (names and classes of the block elements
-around them) and, outside the article, short texts. The occurrence vector of a token on a
+A page becomes, once, a sequence of tokens: tags with their place (names and classes of the block elements
+around them) and, outside the article, texts. The occurrence vector of a token on a
 host says how often it occurs on each page; it is aggregated as commutative sums over all
 pages, so no page has to meet another. Tokens of a host with equal vectors and enough
-support form an equivalence class. A class is valid if its tokens stand in the same order on every
-page (each page reports a digest of their order; a valid class has one); classes whose tokens lie
-inside each other's gaps nest, as the tokens carry their place. A text also needs distinct pages: every page has a
-sketch of its texts that copies and most near copies share, a bit of the sketch is or-ed per token, and a text
-belongs to a class only if it has 5 bits and half of its host's. The valid classes are the host's template:
-their tags cut a page into slots, their texts are boilerplate. What is extracted are the slots that
-remain: inside the article element if the page has one, else all but those in menus, headers,
-footers, sidebars, notices, adverts, forms, comments and slots mostly of links where the template has links. A class name or id tells such an
+support form an equivalence class. A class is valid if its tokens stand in the same order on every page that has
+it, as often as they occur there; one page that contradicts this makes it invalid. A text also needs distinct pages:
+every page has a sketch of its texts that copies and most near copies share, its two bits are or-ed per
+token, and a text belongs to a class only if it has 5 bits and half of its host's.
+
+The valid classes nest by the places of their tags: the template is a tree. From its root the main slot is found by
+going down to the part that holds most of the host's text (not counting links, menus and the template's own) as long
+as that is 60 % of what the parent has; the slot is widened to hold the host's headline. What is extracted of a page are the
+slots inside it that are neither template texts nor, where the template has links, mostly links. An article
+or main element that overlaps the main slot takes its place (a tie-break: it may be wider or narrower); one that lies
+elsewhere is a teaser. Menus, headers, footers, sidebars, notices, adverts, forms, scripts and comments go by their
+element names and class words, also inside the slot. A class name or id tells such an
 element only as a whole ("site-footer", not "has-sidebar" or "related-work"), never on html, body, main or headings; on
 an article only if it is a comment.
 
-A host's template needs few pages; hosts with a single page, or none valid, fall back to the
-slots alone. Templates are joined to pages by host (broadcast only when counted to be few).
+A host's template needs few pages; on hosts with a single page, or none valid, and on pages without the main slot's tag,
+the article element or else all slots but those named above are kept. Templates are joined to pages by host: broadcast
+where their bytes were counted to be few, else by a shuffle in which the largest hosts still stay where they are.
 
 Edge cases: null or empty html gives ''; a null url is a host of its own; repeated rows count twice in
-both sums and stay two rows; broken or unclosed markup is read to the end of the page; nothing inside the main
-slots is dropped, repeated passages included; other columns do not matter.
+both sums and stay two rows; broken or unclosed markup is read to the end of the page; texts of any length can be
+template texts; nothing inside an article is dropped, repeated passages included; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -34,10 +39,10 @@ from html import unescape
 from urllib.parse import urlsplit
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_texts, materialise
+from .common import as_texts, hot_join, materialise
 
 # Element names and class words of HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -176,6 +181,9 @@ def squeeze(text: str) -> str:
     return " ".join(text.split())
 
 
+TEXT_TOKEN = re.compile(r"#[0-9a-f]{8}([0-9]+)$")
+
+
 def text_token(path: str, text: str) -> str:
     return f"{path}#{zlib.crc32(text.encode('utf-8', 'replace')):08x}{len(text)}"
 
@@ -186,21 +194,73 @@ def tokens(html: str) -> list[str]:
 
 
 def tokens_and_sketch(html: str) -> tuple[list[str], int]:
-    """Template tokens, and what copies share: the least hash of the long texts, or a hash of all texts if none is long."""
+    """Template tokens, and a mask of one or two bits that copies share: of the two least hashes of the long texts (one of
+    them may be the same on every page), or of a hash of all texts if none is long."""
     out = []
-    least, short = 1 << 32, 0
+    long: set[int] = set()
+    short = 0
     for p in pieces(html):
         if p.text is None:
             if p.block:
                 out.append(p.token)
         elif t := squeeze(p.text):
             if len(t) >= LONG_TEXT:
-                least = min(least, zlib.crc32(t.encode("utf-8", "replace")))
-            elif least == 1 << 32:
+                long.add(zlib.crc32(t.encode("utf-8", "replace")))
+                if len(long) > 2:
+                    long.remove(max(long))
+            elif not long:
                 short = zlib.crc32(t.encode("utf-8", "replace"), short)
-            if not p.main and len(t) <= 400:
+            if not p.main:
                 out.append(text_token(p.token, t))
-    return out, short if least == 1 << 32 else least
+    mask = 0
+    for x in long or {short}:
+        mask |= 1 << (zlib.crc32(b"%d" % x) & 63)
+    return out, mask - ((mask >> 63) << 64)
+
+
+def text_inside(html: str) -> Counter[str]:
+    """Characters of plain text (no links, nothing outside) in the block elements of a page by their places."""
+    own: Counter[str] = Counter()
+    for p in pieces(html):
+        if p.text is not None and not p.link and not p.outside:
+            own[p.token] += len(squeeze(p.text))
+    out: Counter[str] = Counter()
+    for path, n in own.items():
+        while n and path:
+            out[path] += n
+            path = path[: cut_of(path)]
+    return out
+
+
+def cut_of(path: str) -> int:
+    """Where the last element of a place begins; class words in brackets may hold slashes."""
+    depth = 0
+    for i in range(len(path) - 1, -1, -1):
+        c = path[i]
+        depth += (c == "]") - (c == "[")
+        if c == "/" and depth <= 0:
+            return i
+    return 0
+
+
+def main_slot(tags: dict[str, int], whole: int, headline: str | None = None, share: float = 0.6) -> str:
+    """The place in the template tree that holds most text: down from the root to the largest child while it
+    has enough of its parent's text; then up until the headline is inside. '' if the root itself or nothing has."""
+    children: dict[str, list[str]] = {}
+    for path in tags:
+        up = path[: cut_of(path)]
+        while up and up not in tags:
+            up = up[: cut_of(up)]
+        children.setdefault(up, []).append(path)
+    at, held = "", whole
+    while children.get(at) and held:
+        best = max(children[at], key=lambda c: (tags[c], c))
+        if tags[best] < share * held:
+            break
+        at, held = best, tags[best]
+    while at and headline and not headline.startswith(at + "/"):
+        at = at[: cut_of(at)]
+    return "" if at.rsplit("/", 1)[-1].split("[")[0] in ("", "html", "body") else at
 
 
 def host_of(url: str | None) -> str:
@@ -210,9 +270,15 @@ def host_of(url: str | None) -> str:
         return ""
 
 
-def template_text(html: str, template: set[str]) -> str:
-    """The remaining slots of a page as blocks joined by blank lines."""
+def template_text(html: str, template: set[str], slot: str = "") -> str:
+    """The remaining slots of a page, inside its template's main slot if it has that, as blocks joined by blank lines."""
     seen = list(pieces(html))
+    if slot and (there := [p for p in seen if p.token == slot or p.token.startswith(slot + "/")]):
+        if not any(p.main and not p.outside and p.text and not p.text.isspace() for p in there):
+            # No article, or teasers elsewhere on the page: the slot is the main text.
+            for p in seen:
+                p.main = p.token == slot or p.token.startswith(slot + "/")
+            return slots_text(seen, template, True)
     text = slots_text(seen, template)
     if not any(p.main and not p.outside and p.text and not p.text.isspace() for p in seen) and ARTICLE.search(html):
         # An unclosed menu or sidebar may hold the page's article: the longer text is the page's.
@@ -220,10 +286,12 @@ def template_text(html: str, template: set[str]) -> str:
     return text
 
 
-def slots_text(seen: list[Piece], template: set[str]) -> str:
+def slots_text(seen: list[Piece], template: set[str], in_slot: bool = False) -> str:
+    """in_slot: the main pieces are those of the template's main slot, not of an article."""
     has_main = any(p.main for p in seen)
+    judged = in_slot or not has_main  # by the template's texts
     # Places where the template holds the text of a link.
-    menus = {p.token for p in seen if p.link and p.text and text_token(p.token, squeeze(p.text)) in template} if template and not has_main else set()
+    menus = {p.token for p in seen if p.link and p.text and text_token(p.token, squeeze(p.text)) in template} if template and judged else set()
     slots: list[tuple[list[str], bool, bool]] = []  # blocks, wanted, linked
     blocks: list[str] = []
     run: list[str] = []
@@ -241,7 +309,7 @@ def slots_text(seen: list[Piece], template: set[str]) -> str:
         nonlocal blocks, chars, linked
         end_block()
         if blocks:
-            slots.append((blocks, wanted, not has_main and linked * 2 > chars))
+            slots.append((blocks, wanted, judged and linked * 2 > chars))
         blocks, chars, linked = [], 0, 0
 
     for p in seen:
@@ -258,7 +326,7 @@ def slots_text(seen: list[Piece], template: set[str]) -> str:
                 run.append(" ")
         elif wanted:
             t = p.text
-            if not has_main and template:
+            if judged and template:
                 s = squeeze(t)
                 if s and text_token(p.token, s) in template:
                     continue
@@ -273,8 +341,43 @@ def _page_hash(page: str, count: int, seed: int) -> int:
     return zlib.crc32(f"{seed}:{count}:{page}".encode("utf-8", "replace")) & 0x7FFFFFFF
 
 
+def host_column(url: Column) -> Column:
+    """host_of in Arrow batches: the one parser of hosts."""
+
+    @F.arrow_udf("string")
+    def run(x: pa.Array) -> pa.Array:
+        return pa.array([host_of(v) for v in x.to_pylist()], pa.string())
+
+    return run(url)
+
+
+def tokenised(pages: DataFrame) -> DataFrame:
+    """host, key, sketch, tokens, places and the text inside them: each page (host, key, html) is read once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                read = [tokens_and_sketch(x) for x in as_texts(part.column(2))]
+                inside = [text_inside(x) for x in as_texts(part.column(2))]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0),
+                        part.column(1),
+                        pa.array([k for _, k in read], pa.int64()),
+                        pa.array([t for t, _ in read], pa.list_(pa.string())),
+                        pa.array([list(x) for x in inside], pa.list_(pa.string())),
+                        pa.array([list(x.values()) for x in inside], pa.list_(pa.int64())),
+                    ],
+                    ["host", "key", "sketch", "tokens", "places", "chars"],
+                )
+
+    return pages.select("host", "key", "html").mapInArrow(run, "host string, key string, sketch long, tokens array<string>, places array<string>, chars array<bigint>")
+
+
 def occurrence_vectors(pages: DataFrame) -> DataFrame:
-    """host, token, pages, total, the two sums that stand for the token's occurrence vector, and the bits of its pages' sketches."""
+    """host, token, pages, total, the two sums that stand for the token's occurrence vector, the bits of its pages'
+    sketches, and the text inside; of tokenised pages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[str, str], list[int]] = {}
@@ -282,33 +385,32 @@ def occurrence_vectors(pages: DataFrame) -> DataFrame:
         def rows() -> pa.RecordBatch:
             keys, values = list(sums), list(sums.values())
             columns = [pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys])]
-            columns += [pa.array([v[j] for v in values], pa.int64()) for j in range(5)]
-            return pa.RecordBatch.from_arrays(columns, ["host", "token", "pages", "total", "s1", "s2", "bits"])
+            columns += [pa.array([v[j] for v in values], pa.int64()) for j in range(6)]
+            return pa.RecordBatch.from_arrays(columns, ["host", "token", "pages", "total", "s1", "s2", "bits", "inside"])
 
         for batch in batches:
-            for key, url, html in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                host = host_of(url)
-                found, sketch = tokens_and_sketch(html or "")
-                bit = 1 << (zlib.crc32(b"%d" % sketch) & 63)
-                bit -= (bit >> 63) << 64
+            for host, key, mask, found, places, chars in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                inside = dict(zip(places, chars, strict=True))
+                inside["#page"] = sum(n for path, n in inside.items() if not cut_of(path))
                 for token, n in [("#page", 1), *Counter(found).items()]:
-                    v = sums.setdefault((host, token), [0, 0, 0, 0, 0])
+                    v = sums.setdefault((host, token), [0, 0, 0, 0, 0, 0])
                     v[0] += 1
                     v[1] += n
                     v[2] += _page_hash(str(key), n, 1)
                     v[3] += _page_hash(str(key), n, 2)
-                    v[4] |= bit
+                    v[4] |= mask
+                    v[5] += inside.get(token, 0)
             if len(sums) > 100_000:
                 yield rows()
                 sums.clear()
         if sums:
             yield rows()
 
-    schema = "host string, token string, pages long, total long, s1 long, s2 long, bits long"
+    schema = "host string, token string, pages long, total long, s1 long, s2 long, bits long, inside long"
     return (
         pages.mapInArrow(run, schema)
         .groupBy("host", "token")
-        .agg(*(F.sum(c).alias(c) for c in ("pages", "total", "s1", "s2")), F.bit_or("bits").alias("bits"))
+        .agg(*(F.sum(c).alias(c) for c in ("pages", "total", "s1", "s2", "inside")), F.bit_or("bits").alias("bits"))
     )
 
 
@@ -329,32 +431,46 @@ def classes(vectors: DataFrame, support: float = 0.5, least_pages: int = 2, leas
     )
 
 
-def with_host_rows(pages: DataFrame, by_host: DataFrame, few: int = 2000) -> DataFrame:
-    """pages left-joined to one row per host; broadcast only if there are few hosts."""
-    by_host = F.broadcast(by_host) if by_host.limit(few + 1).count() <= few else by_host
-    return pages.join(by_host, "host", "left")
+SMALL_BYTES = 32 << 20
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", support: float = 0.5) -> DataFrame:
-    """page_id, url, text, n_chars, and n_template (tokens of the host's template)."""
-    host = F.coalesce(F.lower(F.regexp_extract(F.coalesce(url_col, F.lit("")), r"^[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
-    base = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host"))
-    key = F.concat_ws("|", F.col("page_id").cast("string"), "url")
-    found = materialise(classes(occurrence_vectors(base.select(key, "url", "html")), support), "classes")
+def with_host_rows(pages: DataFrame, by_host: DataFrame, tokens: Column) -> DataFrame:
+    """pages (a stored table or a scan) joined to the one row of each host (with its number of pages); all of them are
+    broadcast if their tokens are counted to have few bytes, else those of the largest hosts."""
+    size = F.aggregate(tokens, F.lit(0).cast("long"), lambda acc, t: acc + F.length(t) + 16)
+    counted = by_host.agg(F.coalesce(F.sum(size), F.lit(0)).alias("bytes"), F.count(F.lit(1)).alias("n")).first()
+    if counted["bytes"] + 64 * counted["n"] <= SMALL_BYTES:
+        return pages.join(F.broadcast(by_host), "host")
+    return hot_join(pages, by_host, "host", "pages", most=200)
+
+
+def in_order(own: list[str], size: int) -> int:
+    """Digest of the order of a class's tokens on a page: the same as often as they occur, else -1."""
+    first = own[:size]
+    if len(set(first)) != size or len(own) % size or own != first * (len(own) // size):
+        return -1
+    digest = 0
+    for t in first:
+        digest = zlib.crc32(t.encode("utf-8", "replace"), digest)
+    return digest
+
+
+def templates(read: DataFrame, vectors: DataFrame, support: float) -> DataFrame:
+    """host, pages, template (tokens of the valid classes), slot (place of the main slot or '') of every host; of tokenised pages."""
+    sizes = vectors.filter("token = '#page'").select("host", "pages")
+    found = materialise(classes(vectors, support).join(sizes, "host"), "classes")
 
     def orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[str, int, int]] = set()
         for batch in batches:
-            for own, html, many in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for host, own_tokens, many in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 where = {t: k for k, c in enumerate(many) for t in c}
-                digest = [0] * len(many)
-                own_tokens = tokens(html or "")
+                own: dict[int, list[str]] = {}
                 for t in own_tokens:
                     if (k := where.get(t)) is not None:
-                        digest[k] = zlib.crc32(t.encode("utf-8", "replace"), digest[k])
-                # Pages without the class say nothing; a class repeated n times is in order n times over.
-                n = Counter(where[t] for t in own_tokens if t in where) if any(digest) else {}
-                seen.update((own, k, digest[k] if n.get(k) == len(many[k]) else -1) for k in range(len(many)) if digest[k])
+                        own.setdefault(k, []).append(t)
+                # Pages without the class say nothing.
+                seen.update((host, k, in_order(x, len(many[k]))) for k, x in own.items())
         rows = sorted(seen)
         if rows:
             yield pa.RecordBatch.from_arrays(
@@ -363,27 +479,61 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             )
 
     valid = (
-        with_host_rows(base.select("host", "html"), found)
-        .filter("classes is not null")
-        .select("host", "html", "classes")
+        with_host_rows(read.select("host", "tokens"), found, F.flatten("classes"))
+        .select("host", "tokens", "classes")
         .mapInArrow(orders, "host string, class int, digest long")
-        .filter("digest >= 0")
         .groupBy("host", "class")
         .agg(F.min("digest").alias("low"), F.max("digest").alias("high"))
-        .filter("low = high")
-        .groupBy("host")
-        .agg(F.collect_set("class").alias("valid"))
+        .filter("low = high and low >= 0")
+        .select("host", "class")
     )
-    template = materialise(
-        found.join(valid, "host").select("host", F.flatten(F.transform("valid", lambda k: F.get("classes", k))).alias("template")),
-        "templates",
+    chosen = valid.join(found.select("host", F.posexplode("classes").alias("class", "own")), ["host", "class"]).select("host", F.explode("own").alias("token"))
+    known = vectors.select("host", "token", "inside", "pages", "total")
+
+    def nest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for host, own, inside, total, seen, pages, whole in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+                held = {t: n for t, n in zip(own, inside, strict=True) if not TEXT_TOKEN.search(t) and t[:1] == "/" and t[:2] != "//"}
+                on = dict(zip(own, seen, strict=True))
+                left = dict(held)
+                for t, n in zip(own, total, strict=True):
+                    if (m := TEXT_TOKEN.search(t)) and (n := n * int(m.group(1))) <= held.get(t[: m.start()], 0):
+                        # The template's own text, which is no part of what fills the slots.
+                        whole = (whole or 0) - n
+                        path = t[: m.start()]
+                        while path:
+                            if path in left:
+                                left[path] -= n
+                            path = path[: cut_of(path)]
+                tags = {t: max(0, left[t]) for t, n in zip(own, total, strict=True) if t in left and n == on[t]}
+                headlines = [t for t in tags if t.rsplit("/", 1)[-1].split("[")[0] == "h1"]
+                slot = main_slot(tags, max(0, whole or 0), headlines[0] if len(headlines) == 1 else None)
+                columns = [[host], [pages], [own], [slot]]
+                kinds = [pa.string(), pa.int64(), pa.list_(pa.string()), pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["host", "pages", "template", "slot"])
+
+    tokens_of = chosen.join(known, ["host", "token"]).groupBy("host").agg(F.array_sort(F.collect_list(F.struct("token", "inside", "total", F.col("pages").alias("seen")))).alias("x"))
+    rows = (
+        vectors.filter("token = '#page'")
+        .select("host", "pages", F.col("inside").alias("whole"))
+        .join(tokens_of, "host", "left")
+        .select("host", *(F.coalesce(F.col(f"x.{c}"), F.array().cast(f"array<{k}>")).alias(c) for c, k in (("token", "string"), ("inside", "bigint"), ("total", "bigint"), ("seen", "bigint"))), "pages", "whole")
     )
+    return rows.mapInArrow(nest, "host string, pages long, template array<string>, slot string")
+
+
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", support: float = 0.5) -> DataFrame:
+    """page_id, url, text, n_chars, and n_template (tokens of the host's template)."""
+    base = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_column(F.col(url_col)).alias("host"))
+    read = materialise(tokenised(base.withColumn("key", F.concat_ws("|", F.col("page_id").cast("string"), "url"))), "tokens", compression="zstd")
+    vectors = materialise(occurrence_vectors(read), "vectors")
+    found = materialise(templates(read, vectors, support), "templates")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, sizes = [], []
-            for html, tokens_ in zip(as_texts(batch.column(2)), batch.column(3).to_pylist(), strict=True):
-                out.append(template_text(html, set(tokens_ or ())))
+            for html, tokens_, slot in zip(as_texts(batch.column(2)), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+                out.append(template_text(html, set(tokens_ or ()), slot or ""))
                 sizes.append(len(tokens_ or ()))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -398,7 +548,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     kind = base.schema["page_id"].dataType.simpleString()
     return (
-        with_host_rows(base, template)
-        .select("page_id", "url", "html", "template")
+        with_host_rows(base, found, F.col("template"))
+        .select("page_id", "url", "html", "template", "slot")
         .mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long, n_template int")
     )

@@ -621,6 +621,58 @@ def test_cnn_finds_a_word_pair():
     assert ((p >= 0.7) == np.array(y[300:])).mean() > 0.95
 
 
+def pages_frame(spark, rows):
+    return spark.createDataFrame([(i, u, h, 1, "t", "x") for i, u, h in rows], "page_id long, url string, html string, n_chars int, template string, host string").repartition(3)
+
+
+def lorem(rng, n):
+    return " ".join(rng.choice(("stone", "river", "cloud", "green", "seven", "paper", "night", "ocean")) + str(rng.randrange(1000)) for _ in range(n))
+
+
+def test_template_decides_the_main_slot(spark):
+    rng = random.Random(41)
+    body, side = {}, {}
+    rows = []
+    for i in range(12):  # no article, no telling class names
+        body[i], side[i] = [lorem(rng, 40), lorem(rng, 30)], lorem(rng, 9)
+        html = f"<body><div class=q1><span>{side[i]}</span></div><div class=q2><h1>T{i}</h1><p>{body[i][0]}</p><p>{body[i][1]}</p></div></body>"
+        rows.append((i, f"http://a.com/{i}", html))
+    for i in range(12, 24):  # the only article is a teaser beside the main text
+        body[i] = [lorem(rng, 50)]
+        rows.append((i, f"http://b.com/{i}", f"<body><div id=x><div id=y><p>{body[i][0]}</p></div></div><div class=z><article>{lorem(rng, 4)}</article></div></body>"))
+    got = {r["page_id"]: r["text"] for r in template_html.extract(pages_frame(spark, rows)).collect()}
+    for i in range(24):
+        assert got[i] == "\n\n".join(([f"T{i}"] if i < 12 else []) + body[i])
+    html = rows[0][2]  # without its template the page keeps all
+    assert template_html.template_text(html, set()) == "\n\n".join([side[0], "T0", *body[0]])
+
+
+def test_long_banners_are_boilerplate_and_hosts_are_parsed_once(spark):
+    rng = random.Random(43)
+    banner = "Offer of the day. " * 300  # 5,400 characters on every page
+    hosts = ("http://c.com", "//d.com", "http://[::1]:80", "HTTPS://User:pw@E.com:8080")
+    rows = [(i, f"{h}/{i}", f"<div>{banner}</div><p>{lorem(rng, 20)}</p>") for n, h in enumerate(hosts) for i in range(10 * n, 10 * n + 8)]
+    rows += [(100, None, None), (100, None, None), (101, "", "<p>x"), (102, "http://c.com/long", "<p>" + "a &amp; b " * 60_000)]
+    got = [(r["page_id"], r["url"], r["text"], r["n_template"]) for r in template_html.extract(pages_frame(spark, rows)).collect()]
+    assert len(got) == len(rows)
+    for i, _, text, n in got:
+        if i < 100:
+            assert "Offer" not in text and text and n > 0
+    assert [t for i, _, t, _ in got if i == 100] == ["", ""]
+    assert next(t for i, _, t, _ in got if i == 102) == ("a & b " * 60_000).strip()
+    assert template_html.extract(pages_frame(spark, [])).count() == 0
+
+
+def test_classes_that_a_page_contradicts_are_invalid():
+    assert template_html.in_order(list("abcabc"), 3) == template_html.in_order(list("abc"), 3) >= 0
+    assert template_html.in_order(list("abcacb"), 3) == template_html.in_order(list("abca"), 3) == template_html.in_order(list("aab"), 3) == -1
+    tags = {"/html": 100, "/html/body": 100, "/html/body/div[a]": 20, "/html/body/div[b]": 80, "/html/body/div[b]/p": 30, "/html/body/div[b]/h1": 5, "/html/body/div[b]/div": 45}
+    assert template_html.main_slot(tags, 100) == "/html/body/div[b]"
+    assert template_html.main_slot({**tags, "/html/body/div[b]/div": 60}, 100, "/html/body/div[b]/h1") == "/html/body/div[b]"
+    assert template_html.main_slot({"/html": 5, "/html/body": 5}, 5) == template_html.main_slot({}, 0) == ""
+    assert template_html.cut_of("/a/b[x/y]") == 2
+
+
 # --- 10: sharding ------------------------------------------------------------------------------------------------
 
 
