@@ -8,7 +8,9 @@ a = ceil(threshold * n), so a matching block must hold one of the template's fir
 (prefix filter), have a tokens of the templates' vocabulary at all (length filter), and at each shared
 token have enough tokens left on both sides to still reach a (positional filter). The filters judge the
 stretches of text within the longest window's reach of a prefix token, which hold all blocks that can
-match; in those that pass, the windows slide word by word and are verified by their full overlap. Of
+match; in those that pass, the windows slide word by word and are verified by their full overlap. Windows are
+blocks without regard to lines or paragraphs, so wrapped, quoted and commented texts match (the leaders of comments are
+no words). Of
 overlapping windows the best is reported, cut to the shortest span with these words. A window must
 also hold the words by which a template differs from other licenses' notices (their names). The
 templates are a short list in the program, so their index goes to every task.
@@ -32,9 +34,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import licenses
 from .common import WORD_BYTES, as_bytes, extended
 
-# License notices by label.
+# Short license notices by label.
 TEMPLATES: list[tuple[str, str]] = [
     ("mit", "Released under the MIT License."),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software "
@@ -51,6 +54,8 @@ TEMPLATES: list[tuple[str, str]] = [
             "provided that the following conditions are met"),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 ]
+# Notices and whole texts.
+ALL_TEMPLATES = [*TEMPLATES, *licenses.TEXTS]
 # Names that a block must hold if its template does: other licenses have the remaining words.
 NAMES = frozenset("mit apache gnu general public cc nc noncommercial sharealike creative commons mozilla".encode().split())
 # Words of a block per word of the template.
@@ -182,7 +187,7 @@ SPAN = "array<struct<label:string,block:int,first_word:bigint,end_word:bigint,co
 def scan(
     docs: DataFrame,
     threshold: float = 0.8,
-    templates: list[tuple[str, str]] = TEMPLATES,
+    templates: list[tuple[str, str]] = ALL_TEMPLATES,
     phrases: list[tuple[str, str]] = PHRASES,
     id_col: str = "doc_id",
     text_col: str = "text",

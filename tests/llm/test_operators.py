@@ -284,6 +284,45 @@ def test_license_names_decide(spark):
     assert got == {0: "", 1: "apache", 2: "", 3: "", 4: "", 5: "", 6: "", 50: "cc-by-nc", 51: "cc-by-sa", 52: "mit"}
 
 
+def brute_scan(text, templates, index, threshold=0.8):
+    """n_words, base places, base labels, and the templates that some window holds."""
+    w = [x.encode() for x in words(text)]
+    places, base = [], set()
+    for p, label in license_join.PHRASES:
+        own = p.encode().split()
+        at = [i for i in range(len(w)) if w[i : i + len(own)] == own]
+        places += at
+        base |= {label} if at else set()
+    held = set()
+    for k, (label, t) in enumerate(templates):
+        own = {x.encode() for x in words(t)}
+        for i in range(len(w)):
+            have = own.intersection(w[i : i + index.width[k]])
+            if len(have) >= threshold * len(own) - 1e-9 and own & license_join.NAMES <= have:
+                held.add(label)
+                break
+    return len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(held | base))
+
+
+def test_whole_scan_equals_brute_force(spark):
+    rng = random.Random(47)
+    filler = lambda n: " ".join(rng.choice(("alpha", "software", "the", "license", "of", "any", "mit", "public", "bsd")) for _ in range(n))
+    rows = [(0, None), (1, ""), (2, "MIT License"), (3, "the mit\nlicense; Apache\tLicense")]
+    for k, (_, t) in enumerate(license_join.ALL_TEMPLATES):
+        own = t.split()
+        kept = [x for x in own if rng.random() < 0.97]
+        cut = own[: len(own) // 2]
+        for n, body in enumerate((own, kept, cut)):
+            lines = "\n".join("# " + " ".join(body[i : i + 9]) for i in range(0, len(body), 9))
+            rows.append((10 * k + n + 10, f"{filler(30)}\n\n{lines}\n\n{filler(20)}"))
+    df = frame(spark, rows)
+    index = license_join.TemplateIndex(license_join.ALL_TEMPLATES, license_join.token_frequency(df, license_join.ALL_TEMPLATES, "text"), 0.8)
+    got = {r["doc_id"]: (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"], r["labels"]) for r in license_join.scan(df).collect()}
+    for i, t in rows:
+        assert got[i] == brute_scan(t, license_join.ALL_TEMPLATES, index), i
+    assert all(label in got[10 * k + 10][5].split(",") for k, (label, _) in enumerate(license_join.ALL_TEMPLATES))
+
+
 # --- 4: decontamination ----------------------------------------------------------------------------
 
 
