@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, as_bytes, hot_join, words_of
+from .common import Workspace, as_bytes, hot_join, tidy, words_of
 from .components import connected_components
 
 BANDS, ROWS, STEP = 24, 4, 16
@@ -137,7 +137,7 @@ def signatures(docs: DataFrame, shingle: int, id_col: str, text_col: str, hashed
     return (
         docs.filter(F.col(id_col).isNotNull())
         .select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-        .mapInArrow(run, "id long, key binary, n long, signature binary" + (", h long" if hashed else ""))
+        .mapInArrow(tidy(run), "id long, key binary, n long, signature binary" + (", h long" if hashed else ""))
     )
 
 
@@ -266,7 +266,7 @@ def candidates(nodes: DataFrame, threshold: float, tolerance: float, ws: Workspa
     return (
         dealt.repartition("gid")
         .sortWithinPartitions("gid")
-        .mapInArrow(run, "gid long, at int, key binary, copies long, partners array<int>")
+        .mapInArrow(tidy(run), "gid long, at int, key binary, copies long, partners array<int>")
     )
 
 
@@ -348,7 +348,7 @@ def verify(rows: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
         .select("gid", "at", "key", "copies", "partners", "shingles")
         .repartition("gid")
         .sortWithinPartitions("gid")
-        .mapInArrow(run, "key binary, links long, root binary")
+        .mapInArrow(tidy(run), "key binary, links long, root binary")
     )
 
 
@@ -384,7 +384,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, shingle: int, id_col: str,
 
     spot = F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(1 << MAP_BITS))
     texts = docs.filter(F.col(id_col).isNotNull()).select(F.col(text_col).alias("text"), spot.alias("spot"))
-    made = texts.mapInArrow(run, "key binary, shingles binary")
+    made = texts.mapInArrow(tidy(run), "key binary, shingles binary")
     return made.join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"])
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,7 +12,7 @@ from pyspark.sql.types import StructType
 
 from ..storage import Workspace, drop_dir, materialise, shared_dir
 
-__all__ = ["WORD_BYTES", "Workspace", "as_bytes", "as_texts", "drop_dir", "extended", "hot_join", "materialise", "shared_dir", "table", "words_of"]
+__all__ = ["WORD_BYTES", "Workspace", "as_bytes", "as_texts", "drop_dir", "extended", "hot_join", "materialise", "shared_dir", "short_batches", "table", "tidy", "words_of"]
 
 # Word bytes of the pattern [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ after A-Z are lower-cased:
 # digits, a-z and every byte of a non-ASCII character. All others become one blank.
@@ -51,6 +54,39 @@ def as_texts(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+# What workers remember from task to task, by operator.
+LASTING: dict[str, Callable[[], None]] = {}
+
+
+def tidy(run: Run, keeps: str = "") -> Run:
+    """run in a worker that forgets what other operators remembered, and afterwards gives free memory back to the
+    system: workers live on after their tasks and serve one operator after another."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, forget in LASTING.items():
+            if name != keeps:
+                forget()
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # where the C library has it
+                trim(0)
+
+    return wrapped
+
+
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def short_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Arrow batches of fewer rows for whole texts, in a session that has not set their size itself: both sides
+    of a Python worker's pipe hold a batch at a time."""
+    if spark.conf.get(BATCH_ROWS) == "10000":
+        spark.conf.set(BATCH_ROWS, str(rows))
+
+
 def extended(df: DataFrame, columns: list[str], ddl: str) -> StructType:
     """Schema of some columns of df followed by new ones."""
     return StructType([*df.select(*columns).schema.fields, *StructType.fromDDL(ddl).fields])

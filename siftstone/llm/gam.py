@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, extended
+from .common import as_bytes, extended, tidy
 
 FEATURES = (
     "log_bytes", "word_bytes", "upper", "digits", "symbols", "bars", "exclamations", "periods", "commas",
@@ -234,7 +234,7 @@ def train(
     rows = (
         docs.join(F.broadcast(known), docs[id_col] == known["__id"])
         .select(F.col("__y").alias("y"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("k"))
-        .mapInArrow(run, "y int, k long, x array<double>")
+        .mapInArrow(tidy(run), "y int, k long, x array<double>")
         .orderBy("k", "x")  # repeated ids may give more rows than labels: the same ones are kept in every run
         .limit(max_train)
         .toPandas()
@@ -267,4 +267,4 @@ def score(
                 schema.names,
             )
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(tidy(run), schema)

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import as_texts, materialise, shared_dir
+from .common import LASTING, as_texts, materialise, shared_dir, tidy
 
 MAGIC = b"RNS1"
 HEAD = struct.Struct("<4s6I")
@@ -190,6 +190,9 @@ def tokenizer_for(path: str, end_id: int) -> PieceTokenizer:
     return PieceTokenizer(path, end_id)
 
 
+LASTING["rans"] = tokenizer_for.cache_clear
+
+
 def runs(texts: list[str], chars: int = BATCH_CHARS) -> Iterator[slice]:
     """Slices of a batch with about so many characters each."""
     start = size = 0
@@ -222,7 +225,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "d
                 )
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        run, "doc_id long, n_tokens long, ids binary"
+        tidy(run, "rans"), "doc_id long, n_tokens long, ids binary"
     )
 
 

@@ -28,11 +28,11 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_texts, extended
+from .common import LASTING, as_texts, extended, tidy
 
 MARK = "▁"
 NONE = np.int64(1 << 60)
-CACHE_ENTRIES = 150_000
+CACHE_ENTRIES = 60_000
 BATCH_CHARS = 1 << 20
 WIDTHS = (5, 7, 9, 12, 16, 32, 64)
 TABLE_BITS = 19
@@ -246,6 +246,9 @@ def encoder_for(model_file: str) -> Encoder:
     return Encoder(model_file)
 
 
+LASTING["sp_agenda"] = encoder_for.cache_clear
+
+
 def encode_decode(
     docs: DataFrame,
     model_file: str,
@@ -287,4 +290,4 @@ def encode_decode(
                 yield pa.RecordBatch.from_arrays(columns, schema.names)
                 start = stop
 
-    return docs.select(F.col(text_col).alias("__text"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(keep))).mapInArrow(run, schema)
+    return docs.select(F.col(text_col).alias("__text"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(keep))).mapInArrow(tidy(run, "sp_agenda"), schema)
