@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir), where docs are the rows its predecessor kept, and
 returns a DataFrame that is written as Parquet and read again before the next stage. All but the last
-return the columns of documents.
+return the columns of documents. Stages that hand whole texts to Python set Arrow batches of 2,000 rows, unless the
+session has a size of its own.
 """
 
 from __future__ import annotations
@@ -12,17 +13,19 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftstone.llm import bayes_lsh, cnn, gam, positional_index, sp_agenda
-from siftstone.llm.common import materialise, table
+from siftstone.llm.common import materialise, short_batches, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep what the additive model predicts to be of quality (score of 0.3 or more)."""
+    short_batches(spark)
     model = gam.train(docs, table(spark, sf_dir, "labels"), "quality", folds=5, held_out=0)
     return gam.score(docs, model, 0.3, score_col="__score", predicted_col="__kept").filter("__kept = 1").select(*docs.columns)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop what the convolutional classifier predicts to be toxic (score of 0.7 or more)."""
+    short_batches(spark)
     model = cnn.train(docs, table(spark, sf_dir, "labels"), "toxic", folds=3, held_out=1)
     return cnn.score(docs, model, 0.7, score_col="__score", predicted_col="__toxic").filter("__toxic = 0").select(*docs.columns)
 
@@ -30,6 +33,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group stays: the one with the smallest id (of its texts the one with the smallest hash). Texts
     under one id are told apart; rows without an id or without words stay."""
+    short_batches(spark)
     classes = bayes_lsh.similar_documents(docs, threshold=0.8, shingle=5, hashed=True)
     members = classes.filter("doc_id is not null and n_links > 0").groupBy("class_key", F.struct("doc_id", "h").alias("own")).agg(F.count("*").alias("n"))
     members = materialise(members, "members")
@@ -64,6 +68,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of what is left, with their digests and those of the decoded texts."""
+    short_batches(spark)
     return sp_agenda.encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"), digests_only=True)
 
 
