@@ -641,6 +641,56 @@ def test_toxicity_on_awkward_rows(spark, docs, none):
     assert cnn.language(b"the cat of and".split()) == 0 and cnn.language([]) == len(cnn.FUNCTION_WORDS)
 
 
+def test_toxicity_learns_from_every_label(spark):
+    rng = random.Random(31)
+    y = {i: int(i % 5 < 2) for i in range(10_000)}
+    labels = spark.createDataFrame(list(y.items()), "doc_id long, toxic int")
+    # "zap" is toxic only in rows that a sample of 5,000 leaves out, and in those held out.
+    sample = {r["__id"] for r in gam.bounded_labels(labels, "toxic", 3, 1, 5000, positives=1 / 3).collect()}
+    held = {i for i in y if zlib.crc32(str(i).encode()) % 3 == 1}
+    rows = []
+    for i in y:
+        w = [f"w{rng.randrange(300)}" for _ in range(rng.randrange(3, 9))]
+        rows.append((i, " ".join([*w, "bad" if i in sample else "zap"] if y[i] else w)))
+    df = frame(spark, rows)
+    got = {r["doc_id"]: r["predicted"] for r in cnn.score(df, cnn.train(df, labels)).collect()}
+    assert sum(got[i] == y[i] for i in held) > 0.99 * len(held)
+
+
+def test_toxicity_shards_are_fixed_and_whole(spark, monkeypatch):
+    rng = random.Random(33)
+    rows = [(i, " ".join([f"w{rng.randrange(40)}" for _ in range(rng.randrange(0, 30))] + ["bad"] * (i % 4 == 0))) for i in range(600)]
+    rows += [rows[0]] * 50 + [(i, None) for i in range(600, 610)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(610)], "doc_id long, toxic int")
+    seen, calibrate = [], cnn.Cnn.calibrate
+    monkeypatch.setattr(cnn.Cnn, "calibrate", lambda self, z, lang, y, clean, n: (seen.append((n[y > 0].sum(), n.sum())), calibrate(self, z, lang, y, clean, n)))
+    monkeypatch.setattr(cnn, "TOXIC_BYTES", 4000)
+    models = [cnn.train(frame(spark, rows).repartition(p), labels, shard_bytes=8000) for p in (1, 5)]
+    assert all((getattr(models[0], k) == getattr(models[1], k)).all() for k in ("word", "stem", "out", "shift", "centre", "scale"))
+    # Of each row that is not held out (equal ones once) a hash decides; copies in several shards count once.
+    own = frame(spark, rows).filter(gam.fold_of(F.col("doc_id"), 3) != 1).select("doc_id", F.xxhash64("doc_id", "text").alias("k")).distinct().collect()
+    kept = [r["doc_id"] % 4 == 0 for r in own if (r["k"] >> 60) % 4 == 1]
+    assert seen == [(sum(kept), len(kept))] * 2
+    scored = cnn.score(frame(spark, rows), models[0]).filter("text is not null").collect()
+    assert sum(r["predicted"] == int(r["doc_id"] % 4 == 0) for r in scored) > 0.98 * len(scored)
+    blank = cnn.train(frame(spark, [(i, None) for i in range(9)]), labels, shard_bytes=1)
+    assert blank.constant is None and np.isfinite(blank.centre).all()
+
+
+def test_strongest_windows_across_slices(monkeypatch):
+    rng = np.random.default_rng(35)
+    model = cnn.Cnn()
+    texts = [[f"w{rng.integers(50)}".encode() for _ in range(n)] for n in (3, 0, 1, 40, 2, 0, 17)]
+    rows = [np.array([cnn.hashed(w) for w in t], np.uint16).reshape(-1, 2) for t in texts]
+    flat = cnn._flat([(r[:, 0], r[:, 1]) for r in rows])
+    want = model.strongest(*flat)
+    for size in (1, 7, 16):
+        monkeypatch.setattr(cnn, "SLICE", size)
+        top, where = model.strongest(*flat)
+        assert np.allclose(top, want[0], atol=1e-6) and (where == want[1]).all()
+    assert np.allclose(model.logits(top), cnn.Scorer(model).logits(texts), atol=1e-4)
+
+
 def test_cnn_finds_a_word_pair():
     rng = random.Random(9)
     texts, y = [], []
