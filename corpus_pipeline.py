@@ -2,8 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir), where docs are the rows its predecessor kept, and
 returns a DataFrame that is written as Parquet and read again before the next stage. All but the last
-return the columns of documents. Stages that hand whole texts to Python set Arrow batches of 2,000 rows, unless the
-session has a size of its own.
+return the columns of documents. Stages that hand whole texts to Python set Arrow batches of 2,000 rows and 1 MB and
+scans of 512 rows at a time, unless the session has sizes of its own.
 """
 
 from __future__ import annotations

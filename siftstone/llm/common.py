@@ -78,13 +78,17 @@ def tidy(run: Run, keeps: str = "") -> Run:
 
 
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+READ_ROWS = "spark.sql.parquet.columnarReaderBatchSize"
 
 
-def short_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Arrow batches of fewer rows for whole texts, in a session that has not set their size itself: both sides
-    of a Python worker's pipe hold a batch at a time."""
-    if spark.conf.get(BATCH_ROWS) == "10000":
-        spark.conf.set(BATCH_ROWS, str(rows))
+def short_batches(spark: SparkSession, rows: int = 2000, size: str = "1m", read_rows: int = 512) -> None:
+    """Smaller batches for whole texts, in a session that has not set their sizes itself: both sides of a Python
+    worker's pipe hold an Arrow batch at a time (rows, and size in bytes, as texts differ in length), and a scan holds
+    read_rows of each column. Results do not depend on them."""
+    for key, usual, own in ((BATCH_ROWS, "10000", rows), (BATCH_BYTES, "67108864b", size), (READ_ROWS, "4096", read_rows)):
+        if spark.conf.get(key) == usual:
+            spark.conf.set(key, str(own))
 
 
 def extended(df: DataFrame, columns: list[str], ddl: str) -> StructType:

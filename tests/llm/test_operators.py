@@ -8,6 +8,7 @@ from itertools import combinations
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -60,6 +61,22 @@ def none(spark):
     return frame(spark, [])
 
 
+def largest_batch(session):
+    """Bytes of the largest Arrow batch that 3,000 texts of 22 kB are handed to Python in."""
+    rows = session.range(0, 3000, 1, 1).select(F.repeat(F.lit("long words "), 2000).alias("text"))
+    sizes = rows.mapInArrow(lambda batches: (pa.record_batch({"n": [b.nbytes]}) for b in batches), "n long")
+    return sizes.agg(F.max("n")).first()[0]
+
+
+def test_batches_of_long_texts_are_bounded_in_bytes(spark):
+    own, kept = spark.newSession(), spark.newSession()
+    common.short_batches(own)
+    assert largest_batch(own) < 2 << 20
+    kept.conf.set(common.BATCH_BYTES, "8m")
+    common.short_batches(kept)
+    assert kept.conf.get(common.BATCH_BYTES) == "8m"
+
+
 # --- 1: token ids -------------------------------------------------------------------------------
 
 
