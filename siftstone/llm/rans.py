@@ -35,14 +35,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import LASTING, as_texts, materialise, shared_dir, tidy
+from .common import LASTING, as_texts, materialise, shared_dir, short_batches, tidy
 
 MAGIC = b"RNS1"
 HEAD = struct.Struct("<4s6I")
 LOW = 1 << 31
 BLOCK_TOKENS = 1 << 20
 CACHE_ENTRIES = 400_000
-BATCH_CHARS = 8 << 20
+BATCH_CHARS = 4 << 20
+BATCH_SIZE = "4m"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -440,7 +441,11 @@ def write_blocks(tokens: DataFrame, coder: Coder, width: str, path: str, block_t
 def encode(
     docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text"
 ) -> Coder:
-    """Tokenize docs, count all ids, and write the blocks to path. Returns the coder that reads them."""
+    """Tokenize docs, count all ids, and write the blocks to path. Returns the coder that reads them.
+
+    Batches are set to BATCH_SIZE bytes in a session that has no sizes of its own.
+    """
+    short_batches(docs.sparkSession, size=BATCH_SIZE)
     vocab = Tokenizer.from_file(tokenizer_path).get_vocab_size()
     width = "<u2" if vocab <= 65536 else "<u4"
     tokens = materialise(tokenize(docs, tokenizer_path, end_id, id_col, text_col), "rans-ids", compression="zstd")

@@ -98,6 +98,12 @@ def test_rans_round_trip(spark, docs, none):
     assert rans.read(spark, path, rans.encode(none, BPE, path)).count() == 0
 
 
+def test_rans_bounds_its_batches_in_bytes(spark):
+    own = spark.newSession()
+    rans.encode(frame(own), BPE, rans.new_path(own))
+    assert largest_batch(own) < 5 << 20
+
+
 def test_rans_blocks_decode_from_checkpoints():
     rng = np.random.default_rng(1)
     ids = np.minimum(rng.zipf(1.3, 200_000), 999).astype(np.uint32)
