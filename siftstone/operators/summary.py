@@ -13,7 +13,7 @@ def passages(docs: DataFrame, weights: list[tuple[str, float]], column: str = "t
     """id, line, at, hits, score: lines that hold a query term.
 
     A line's score is the sum of tf x weight of its terms, ten for each pair of neighbouring hits and one for
-    each distinct term, in millionths. All of it is computed inside a row.
+    each distinct term, in millionths as a long: 215 pairs exceed an int. All of it is computed inside a row.
     """
     names = [t for t, _ in weights]
     weight = F.create_map(*(F.lit(x) for kv in weights for x in kv))
@@ -32,7 +32,7 @@ def passages(docs: DataFrame, weights: list[tuple[str, float]], column: str = "t
         "at",
         "line",
         F.size("own").alias("hits"),
-        (F.round(total * SUMMARY_SCALE, 2).cast("long") + (pairs * SUMMARY_ADJACENT + F.size(F.array_distinct("own"))) * SUMMARY_SCALE).alias("score"),
+        (F.round(total * SUMMARY_SCALE, 2).cast("long") + (pairs * SUMMARY_ADJACENT + F.size(F.array_distinct("own"))).cast("long") * SUMMARY_SCALE).alias("score"),
     )
 
 

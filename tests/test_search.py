@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from siftstone.operators import index, ingest
+from siftstone.operators import index, ingest, summary
 from siftstone.operators.cache import ResultCache
 from siftstone.operators.search import Search, expand_synonyms
 from siftstone.plans.query import Range, SearchQuery, bits, parse_params
@@ -184,3 +184,10 @@ def test_phrases_count_in_every_text_field(spark):
     docs = spark.createDataFrame([(1, "a b", "a b", 1, 0, 0, 1.0, 0, 0), (2, "x", "a b", 1, 0, 0, 1.0, 0, 0), (3, "b a", None, 1, 0, 0, 1.0, 0, 0)], SCHEMA)
     s = Search(index.build(docs), SearchQuery(terms=("a", "b"), phrase=True, base_phrase=1, hit_fields=2))
     assert {r["id"]: r["score"] // 10**8 for r in s.scored().select("id", "score").collect()} == {1: 12, 2: 12, 3: 0}
+
+
+def test_a_line_of_many_neighbouring_hits(spark):
+    docs = spark.createDataFrame([(1, "a b " * 300)], "id long, text string")
+    found = summary.passages(docs, [("a", 2.5), ("b", 1.5)])
+    assert [(r["hits"], r["score"]) for r in found.collect()] == [(600, (1200 + 599 * 10 + 2) * 10**6)]
+    assert summary.best_passages(found).first()["summary"] == "a b " * 300
