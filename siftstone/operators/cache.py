@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.query import SearchQuery, parse_params
-from .index import Index
+from .index import Index, StoredIndex
 from .search import Search
 
 
@@ -22,7 +22,7 @@ class ResultCache:
     entry longest unused leaves when there are more than ``most``.
     """
 
-    def __init__(self, index: Index, lifetime: float = 600, most: int = 1000, clock: Callable[[], float] = time.monotonic):
+    def __init__(self, index: Index | StoredIndex, lifetime: float = 600, most: int = 1000, clock: Callable[[], float] = time.monotonic):
         self.index, self.lifetime, self.most, self.clock = index, lifetime, most, clock
         self.entries: dict[str, tuple[float, DataFrame]] = {}
         self.queries = self.hits = 0

@@ -12,7 +12,7 @@ from ..functions.text import term_size
 from ..plans.query import SearchQuery
 from ..schema import MAX_GROUPS, MAX_SYNONYMS, PHRASE_FIELD_PAIR, PHRASE_PAIR
 from . import filters, score, summary
-from .index import Index
+from .index import Index, StoredIndex
 
 
 def expand_synonyms(terms: tuple[str, ...], synonyms: DataFrame, most: int = MAX_SYNONYMS) -> tuple[str, ...]:
@@ -51,7 +51,7 @@ def group_counts(docs: DataFrame, column: str, limit: int = MAX_GROUPS) -> DataF
 class Search:
     """One search over an index. ``blocked`` and ``down`` are term states of the collection."""
 
-    index: Index
+    index: Index | StoredIndex
     query: SearchQuery
     blocked: frozenset[str] = frozenset()
     down: frozenset[str] = frozenset()

@@ -58,16 +58,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 _STORED: dict[tuple[str, str, str], str] = {}
 
 
-def stored_index(spark: SparkSession, sf_dir: str) -> index.Index:
-    """The index of the whole collection, written once for the tables as they are and read by every search."""
+def stored_index(spark: SparkSession, sf_dir: str) -> index.StoredIndex:
+    """The index of the whole collection; each of its tables is written once for the tables as they are, when a search first
+    reads it, and read by every later search."""
     version = fingerprint(spark, [f"{sf_dir}/documents.parquet", f"{sf_dir}/labels.parquet"])
     key = (spark.sparkContext.applicationId, sf_dir, version)
-    if key in _STORED:
-        return index.Index.read(spark, _STORED[key])
-    path = shared_dir(spark, "index")
-    out = index.build(documents(spark, sf_dir)).write(path)
-    _STORED[key] = path
-    return out
+    path = _STORED.setdefault(key, shared_dir(spark, "index"))
+    return index.StoredIndex(spark, path, lambda: index.build(documents(spark, sf_dir)))
 
 
 def search(spark: SparkSession, sf_dir: str, q: SearchQuery, **more) -> Search:
@@ -336,7 +333,7 @@ def index_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Term statistics after a third of the documents lost their text and another third was taken over by their sources."""
     docs = documents(spark, sf_dir)
     changed = docs.filter("id % 3 <> 0").withColumn("status", F.when(F.col("id") % 3 == 1, -1).otherwise(0)).withColumn("text", F.col("source"))
-    return index.update(stored_index(spark, sf_dir), changed).terms
+    return index.updated_terms(stored_index(spark, sf_dir), changed)
 
 
 # --- pages, URLs, links --------------------------------------------------------------------------------

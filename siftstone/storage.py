@@ -41,6 +41,12 @@ def drop_dir(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, through Hadoop's file system layer."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 def fingerprint(spark: SparkSession, paths: list[str]) -> str:
     """Changes with the files of some folders: their names, sizes and times."""
     out = []

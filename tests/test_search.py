@@ -209,3 +209,20 @@ def test_postings_and_positions_of_rows_that_share_an_id(spark):
     assert got == {(1, "a"): (3, 3), (1, "b"): (2, 1), (1, "c"): (2, 1), (1, "x"): (2, 2), (2, "a"): (1, 1), (None, "n"): (3, 3), (None, "m"): (1, 1), (4, "z"): (2, 2)}
     got = {(r["id"], r["term"]): r["positions"] for r in index.positions(docs).collect()}
     assert got == {(1, "a"): [1, 1], (1, "b"): [0, 2], (1, "c"): [0, 3], (2, "a"): [0], (None, "n"): [0, 0], (None, "m"): [1]}
+
+
+def test_a_search_stores_the_tables_that_it_reads(spark, docs, built, tmp_path):
+    stored = index.StoredIndex(spark, str(tmp_path / "i"), lambda: index.build(docs))
+    names = lambda: sorted(p.name for p in (tmp_path / "i").iterdir())
+    assert ids(Search(stored, SearchQuery(rank=True, base_rank=10)).scored()) == [1, 2, 3, 4] and names() == ["docs"]
+    assert ids(Search(stored, SearchQuery(terms=("a", "c"))).filtered) == [1, 2, 3] and names() == ["docs", "postings", "stats", "terms"]
+    assert sorted(map(tuple, stored.terms.collect())) == sorted(map(tuple, built.terms.collect()))
+
+
+def test_updated_terms_need_no_stored_postings(spark, docs, built, tmp_path):
+    stored = index.StoredIndex(spark, str(tmp_path / "i"), lambda: index.build(docs))
+    changed = docs.filter("id <> 3").withColumns({"status": F.when(F.col("id") == 1, -1).otherwise(0), "text": F.col("source")})
+    after = index.updated_terms(stored, changed)
+    assert sorted(map(tuple, after.collect())) == sorted(map(tuple, index.update(built, changed).terms.collect()))
+    assert {r["term"]: (r["df"], r["total"]) for r in after.collect()} == {"x": (1, 2), "y": (2, 3), "c": (1, 1), "d": (1, 1)}
+    assert sorted(p.name for p in (tmp_path / "i").iterdir()) == ["docs", "terms"]
