@@ -1,3 +1,4 @@
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -195,3 +196,14 @@ def test_queue(spark):
     state = flows.queue_state(spark.createDataFrame(log, "task long, seq long, at long, op string, head boolean"), timeout=50)
     assert {r["task"]: r["state"] for r in state.collect()} == {1: "waiting", 2: "waiting", 3: "done", 4: "waiting"}
     assert [r["task"] for r in flows.next_tasks(state, 2).collect()] == [2, 1]
+
+
+def test_words_come_in_bounded_batches(spark):
+    d = segment.Dictionary(WORDS)
+    texts = ["中国人民 a.b " * 30_000, None, "", "x y"]
+    batch = pa.record_batch({"id": pa.array([1, 2, 3, 4]), "text": pa.array(texts)})
+    found = list(segment.word_batches([batch, batch.slice(3)], d))
+    assert max(b.num_rows for b in found) <= segment.MOST_WORDS < sum(b.num_rows for b in found)
+    rows = [tuple(r.values()) for b in found for r in b.to_pylist()]
+    assert rows == [(k, *u.values()) for k, t in [*zip((1, 2, 3, 4), texts), (4, "x y")] for u in segment.segment(t, d)]
+    assert segment.segmented(spark.createDataFrame([(7, "x y"), (8, None)], "id long, text string"), d).count() == 2
