@@ -80,23 +80,33 @@ def parent_chains(nodes: DataFrame, max_depth: int | None = None) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+# Rows of a table that one task of a chain join holds in memory.
+CHAIN_ROWS = 250_000
+
+
 def chain_ends(nodes: DataFrame) -> DataFrame:
     """id, depth (number of ancestors), top (the last one) of every node that has a parent; one row a node and round.
 
-    Ids are taken to be distinct, null parents end chains, unknown parents are tops; a cycle is an error.
+    Ids are taken to be distinct, null parents end chains, unknown parents are tops; a cycle is an error. A row is open
+    while its pointer has a parent: rows that have reached their top, which may be one for all, are not joined again.
+    Only the side with one row an id is held in memory, in as many parts as its rows ask for.
     """
     ws = Workspace(nodes.sparkSession, "ends")
-    first = nodes.filter("parent is not null").select("id", F.col("parent").alias("top"), F.lit(1).alias("depth"), F.lit(True).alias("open"))
-    state = ws.table(first, "ends")
-    most, reach = state.count(), 1
+    first = ws.table(nodes.filter("parent is not null").select("id", F.col("parent").alias("top"), F.lit(1).alias("depth")), "ends")
+    most, reach = first.count(), 1
+    parts = most // CHAIN_ROWS + 1
+
+    def beside(rows: DataFrame, above: DataFrame) -> DataFrame:
+        return rows.repartition(parts, "top").join(above.repartition(parts, "top").hint("shuffle_hash"), "top", "left")
+
+    has = first.select(F.col("id").alias("top"), F.lit(True).alias("has"))
+    state = ws.table(beside(first, has).select("id", "top", "depth", F.col("has").isNotNull().alias("open")), "ends")
+    ws.drop(first)
     while state.filter("open").limit(1).count():
         if reach > 2 * most:
             raise ValueError("parents form a cycle")
-        above = state.select(F.col("id").alias("top"), F.col("top").alias("further"), F.col("depth").alias("more"))
-        moved = state.filter("open").join(above, "top", "left")
-        moved = moved.select(
-            "id", F.coalesce("further", "top").alias("top"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("more").isNotNull().alias("open")
-        )
+        above = state.select(F.col("id").alias("top"), F.col("top").alias("further"), F.col("depth").alias("more"), F.col("open").alias("on"))
+        moved = beside(state.filter("open"), above).select("id", F.col("further").alias("top"), (F.col("depth") + F.col("more")).alias("depth"), F.col("on").alias("open"))
         last, state = state, ws.table(moved.unionByName(state.filter("not open")), "ends")
         ws.drop(last)
         reach *= 2

@@ -207,3 +207,19 @@ def test_words_come_in_bounded_batches(spark):
     rows = [tuple(r.values()) for b in found for r in b.to_pylist()]
     assert rows == [(k, *u.values()) for k, t in [*zip((1, 2, 3, 4), texts), (4, "x y")] for u in segment.segment(t, d)]
     assert segment.segmented(spark.createDataFrame([(7, "x y"), (8, None)], "id long, text string"), d).count() == 2
+
+
+def test_chain_joins_hold_bounded_parts(spark, monkeypatch):
+    made, table = [], crawl.Workspace.table
+    monkeypatch.setattr(crawl.Workspace, "table", lambda ws, df, name: made.append(df._jdf.queryExecution().executedPlan().toString()) or table(ws, df, name))
+    monkeypatch.setattr(crawl, "CHAIN_ROWS", 100)
+    nodes = spark.createDataFrame([(i, i // 3 if i > 2 else None) for i in range(1, 1001)] + [(5000 + i, 1) for i in range(500)], "id long, parent long")
+    got = {r["id"]: (r["depth"], r["top"]) for r in crawl.chain_ends(nodes).collect()}
+    want = {}
+    for i in [*range(3, 1001), *range(5000, 5500)]:
+        up, n = i // 3 if i <= 1000 else 1, 1
+        while up > 2:
+            up, n = up // 3, n + 1
+        want[i] = (n, up)
+    joins = [p for p in made if "Join" in p]
+    assert got == want and len(joins) == 4 and all("ShuffledHashJoin" in p and "15)" in p and "Broadcast" not in p for p in joins)
